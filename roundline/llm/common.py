@@ -59,3 +59,22 @@ def write_file(path: str, parts: Iterable[bytes]) -> int:
             size += len(p)
     fs.move(own, at)
     return size
+
+
+class FileWriter:
+    """``write_file`` for callers that produce the parts one by one."""
+
+    def __init__(self, path: str):
+        self._fs, self._at = open_fs(path)
+        self._fs.create_dir(self._at.rpartition("/")[0], recursive=True)
+        self._own = f"{self._at}.{uuid.uuid4().hex}"
+        self._out = self._fs.open_output_stream(self._own)
+        self.size = 0
+
+    def write(self, data: bytes) -> None:
+        self._out.write(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        self._out.close()
+        self._fs.move(self._own, self._at)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec
+from . import curve_packing, sentencepiece_codec, token_shards
 
-_OPERATORS = (sentencepiece_codec.op7_sentencepiece,)
+_OPERATORS = (token_shards.op2_token_shards, curve_packing.op5_curve_packing, sentencepiece_codec.op7_sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
