@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curve_packing, sentencepiece_codec, token_shards
-
-_OPERATORS = (token_shards.op2_token_shards, curve_packing.op5_curve_packing, sentencepiece_codec.op7_sentencepiece)
+from . import bayes_language, curve_packing, ordinal_quality, sentencepiece_codec, token_shards
+
+_OPERATORS = (
+    ordinal_quality.op1_ordinal_quality,
+    token_shards.op2_token_shards,
+    curve_packing.op5_curve_packing,
+    sentencepiece_codec.op7_sentencepiece,
+    bayes_language.op10_language,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,6 +21,10 @@ LONG_BYTES = 2048
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: also cuts at ASCII punctuation
+LETTER_GAPS = np.ones(128, dtype=bool)
+LETTER_GAPS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+LETTER_GAPS = np.concatenate((LETTER_GAPS, np.zeros(128, dtype=bool)))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -33,11 +37,11 @@ class Words:
     are ``first[i]:first[i + 1]``.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, separator: np.ndarray = _SEPARATOR):
         raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         if lower:
             raw = _LOWER[raw]
-        gap = _SEPARATOR[raw]
+        gap = separator[raw]
         before = np.empty_like(gap)
         before[0] = True
         before[1:] = gap[:-1]
