@@ -14,9 +14,9 @@ id; that bound is what the driver and each broadcast hold, at every input size.
 Scoring is map-only over all documents.
 
 Null or empty text: shape features only.  Null id or rating: not used to fit.
-Several ratings of a document: the lowest counts.  No rated documents, or one
-grade only: every document gets that grade (the highest, if there is none) with
-probability 1.  Repeated rows are scored each.  The result columns replace
+Several ratings of a document: the lowest counts.  One grade only: every
+document gets it with probability 1.  No rated documents: expected grade null,
+tail 1, all accepted.  Repeated rows are scored each.  The result columns replace
 input columns of the same names.
 """
 
@@ -97,7 +97,7 @@ def fit(first: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarr
     y = np.searchsorted(grades, grade)
     k = len(grades)
     if k < 2:
-        return OrdinalModel(grades if k else np.array([0]), np.zeros(buckets, dtype=np.float32), np.zeros(0))
+        return OrdinalModel(grades, np.zeros(buckets, dtype=np.float32), np.zeros(0))
     share = np.cumsum(np.bincount(y, minlength=k))[:-1] / len(y)
     cut = np.log(share / (1 - share))
     # thresholds as the first and the logs of the steps, so that they stay in order
@@ -164,6 +164,8 @@ def score_column(spark: SparkSession, model: OrdinalModel, text: Column) -> Colu
 def assess(docs: DataFrame, model: OrdinalModel, at_least: int, accept: float = 0.6, text_col: str = "text") -> DataFrame:
     """``docs`` with ``expected_grade``, ``tail`` = P(grade >= at_least) and ``accepted`` (tail >= accept)."""
     some = docs.drop("expected_grade", "tail", "accepted") if text_col not in ("expected_grade", "tail", "accepted") else docs
+    if not len(model.grades):
+        return some.withColumns({"expected_grade": F.lit(None).cast("double"), "tail": F.lit(1.0), "accepted": F.lit(True)})
     tails = [i for i, g in enumerate(model.grades) if g >= at_least]
     scored = some.withColumn("__rated", score_column(docs.sparkSession, model, F.col(text_col)))
     tail = sum((F.col("__rated.probability")[i] for i in tails), F.lit(0.0))

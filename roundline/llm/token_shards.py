@@ -1,8 +1,8 @@
 """Token ids in raw shard files with a minimal perfect hash index.
 
 ``write_shards`` sorts documents by key across the cluster and writes each
-sorted partition's ids, little-endian unsigned 32-bit and nothing else, to one
-shard file.  ``write_index`` deals the keys by hash over index files; each holds
+sorted partition's ids, little-endian unsigned and nothing else, to one shard file:
+16-bit ids where the vocabulary fits, else 32-bit.  ``write_index`` deals the keys by hash over index files; each holds
 a minimal perfect hash and, slot by slot, the key's stored fingerprint, shard,
 offset and length.  ``find`` and ``read_back`` give access by key: two hashes of
 the key name the index file and the slot, the fingerprint tells absent keys,
@@ -20,7 +20,6 @@ Other columns are not read.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,28 +41,30 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("hash_a"), F.xxhash64(key, F.lit("second")).alias("hash_b")]
 
 
-def shard_path(folder: str, shard: int) -> str:
-    return f"{folder}/shard-{shard:06d}.u32"
+def shard_path(folder: str, shard: int, width: int) -> str:
+    return f"{folder}/shard-{shard:06d}.u{8 * width}"
 
 
 def index_path(folder: str, part: int) -> str:
     return f"{folder}/index-{part:06d}.mph"
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shard files; returns the written entries (key, shard, offset
-    and length in ids), in shard files that ascend with the key."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the shard files with ids of ``width`` bytes; returns the written
+    entries (key, shard, offset and length in ids), in shard files that ascend
+    with the key."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, shard, out, at = tokens.word_table(tokenizer), TaskContext.get().partitionId(), None, 0
         for batch in batches:
-            out = out or FileWriter(shard_path(folder, shard))
+            out = out or FileWriter(shard_path(folder, shard, width))
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids = table_.ids(part.column(1).to_pylist())
                 n = np.fromiter((len(i) // 4 + 1 for i in ids), dtype=np.int64, count=len(ids))
-                out.write(tail.join(ids) + tail)
+                whole = np.frombuffer(tail.join(ids) + tail, dtype="<u4")
+                out.write(whole.astype(f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(n)], names=["key", "shard", "offset", "n_tokens"])
                 at += int(n.sum())
         if out:
@@ -124,19 +125,27 @@ def shard_starts(entries: DataFrame) -> dict[int, int]:
     return out
 
 
-def read_back(found: DataFrame, folder: str, starts: dict[int, int]) -> DataFrame:
-    """The ids of each found row: (key, start, n_tokens, ids_crc32, ids)."""
+def read_back(found: DataFrame, folder: str, width: int, starts: dict[int, int]) -> DataFrame:
+    """The ids of each found row: (key, start, n_tokens, ids), unsigned 32-bit."""
 
-    def read(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
         shard = t.column("shard")[0].as_py()
         t = t.sort_by("offset")
-        fs, at = open_fs(shard_path(folder, shard))
+        fs, at = open_fs(shard_path(folder, shard, width))
         keys, offsets, n = t.column("key").combine_chunks(), t.column("offset").to_pylist(), t.column("n_tokens").to_pylist()
         with fs.open_input_file(at) as f:
-            ids = [f.read_at(4 * k, 4 * o) for o, k in zip(offsets, n, strict=True)]
-        return pa.table([keys, pa.array([starts[shard] + o for o in offsets], pa.int64()), pa.array(n, pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(ids, pa.binary())], names=["key", "start", "n_tokens", "ids_crc32", "ids"])
+            for lo in range(0, len(keys), 256):
+                some = slice(lo, lo + 256)
+                ids = [np.frombuffer(f.read_at(width * k, width * o), dtype=f"<u{width}").astype("<u4").tobytes() for o, k in zip(offsets[some], n[some], strict=True)]
+                yield pa.RecordBatch.from_arrays([keys[some], pa.array([starts[shard] + o for o in offsets[some]], pa.int64()), pa.array(n[some], pa.int64()), pa.array(ids, pa.binary())], names=["key", "start", "n_tokens", "ids"])
 
-    return found.groupBy("shard").applyInArrow(read, "key long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return found.groupBy("shard").applyInArrow(read, "key long, start long, n_tokens long, ids binary")
+
+
+def id_width(vocabulary: int) -> int:
+    """Bytes of an id of a vocabulary of that size."""
+    return 2 if vocabulary <= 1 << 16 else 4
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +153,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "token-shards")
-    entries = write_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    width = id_width(49_408)
+    entries = write_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, width=width)
     parts = index_parts(entries)
     write_index(entries, folder, parts)
     found = find(docs.select("doc_id").distinct(), folder, parts, "doc_id")
-    back = read_back(found, folder, shard_starts(entries))
-    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    back = read_back(found, folder, width, shard_starts(entries))
+    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
