@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_language, curve_packing, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards
+from . import bayes_language, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards
 
 _OPERATORS = (
     ordinal_quality.op1_ordinal_quality,
     token_shards.op2_token_shards,
+    exact_digest.op4_exact_digest,
     curve_packing.op5_curve_packing,
     sentencepiece_codec.op7_sentencepiece,
     simhash.op8_simhash,

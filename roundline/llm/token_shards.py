@@ -38,7 +38,7 @@ _ENTRY = "key long, shard int, offset long, n_tokens long"
 
 
 def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("hash_a"), F.xxhash64(key, F.lit("second")).alias("hash_b")]
+    return [F.xxhash64(key).alias("hash_a"), F.xxhash64(F.lit("second"), key).alias("hash_b")]
 
 
 def shard_path(folder: str, shard: int, width: int) -> str:
