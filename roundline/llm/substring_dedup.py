@@ -13,7 +13,7 @@ copies.  No group is ever gathered; grouping counts rows by a window function
 over those few.
 
 Texts are dealt out once by (id, hash of text); every level reads that exchange
-again.  Hashes of the last level have 128 bits.
+again.  Hashes have 96 bits.
 
 Null text: no words.  Null id: a row like any other.  Rows that share id and
 text are separate documents whose windows repeat each other's.  Empty table:
@@ -36,7 +36,11 @@ from .textops import U64, WindowHash, Words, column_bytes, mix, text_blocks, wor
 
 #: rows of one task's own grouping at once
 FLUSH_ROWS = 1_000_000
-_SEEN = "h1 long, h2 long, seen boolean, key long, tie long, at int"
+#: ``h1`` and the upper half of ``h2_at`` are the window's hash, the lower half is
+#: its place; ``run``: 0 asks whether the window is seen elsewhere, else so many
+#: places from there on are known to be; a null key wants no answer
+_SEEN = "h1 long, h2_at long, key long, tie long, run int"
+_HIGH = U64(0xFFFFFFFF00000000)
 
 
 def levels(window: int, first: int = 24) -> list[int]:
@@ -61,23 +65,36 @@ class _Grouped:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """Rows with ``seen`` where this task has the window twice; all but one of
-        those get a hash of their own place, as nobody has to look for them."""
+        """Windows that this task has twice are known to be repeated: they leave as
+        runs of places, and one row without key stands for them to the others."""
         if not self._n:
             return
         h1, h2, key, tie, at = (np.concatenate(x) for x in zip(*self._parts, strict=True))
         self._parts, self._n = [], 0
+        h2 = h2 & _HIGH
         order = np.lexsort((h2, h1))
         h1, h2, key, tie, at = (x[order] for x in (h1, h2, key, tie, at))
         same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
         after, before = np.concatenate(([False], same)), np.concatenate((same, [False]))
-        own = mix(key.view(U64) ^ mix(tie.view(U64) + at.astype(U64)))
-        h1 = np.where(after, own, h1)
-        h2 = np.where(after, mix(own), h2)
-        seen = after | before
-        for lo in range(0, len(h1), 50_000):
-            c = slice(lo, lo + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h1[c].view(np.int64)), pa.array(h2[c].view(np.int64)), pa.array(seen[c]), pa.array(key[c]), pa.array(tie[c]), pa.array(at[c])], names=["h1", "h2", "seen", "key", "tie", "at"])
+        ask = ~after
+        yield from _rows(h1[ask], h2[ask] | at[ask].astype(U64), key[ask], tie[ask], np.zeros(int(ask.sum()), dtype=np.int32), before[ask])
+        known = after | before
+        key, tie, at = key[known], tie[known], at[known]
+        order = np.lexsort((at, tie, key))
+        key, tie, at = (x[order] for x in (key, tie, at))
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (tie[1:] != tie[:-1]) | (at[1:] > at[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:], [len(at)])) - 1
+        key, tie, run, at = key[first], tie[first], at[last] - at[first] + 1, at[first].astype(U64)
+        own = mix(key.view(U64) ^ mix(tie.view(U64) + at))
+        yield from _rows(own, (mix(own) & _HIGH) | at, key, tie, run, np.zeros(len(run), dtype=bool))
+
+
+def _rows(h1: np.ndarray, h2_at: np.ndarray, key: np.ndarray, tie: np.ndarray, run: np.ndarray, no_answer: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(h1), 50_000):
+        c = slice(lo, lo + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(h1[c].view(np.int64)), pa.array(h2_at[c].view(np.int64)), pa.array(key[c], mask=no_answer[c]), pa.array(tie[c]), pa.array(run[c].astype(np.int32))], names=["h1", "h2_at", "key", "tie", "run"])
 
 
 def _anchors(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -120,11 +137,13 @@ class _Block:
 def _alive(block: _Block, length: int, alive: list[list[int] | None]) -> np.ndarray:
     """Which of ``starts`` have a stand-in of ``length`` among the repeated ones of its document."""
     stand = block.stand_ins(length)
-    mark = np.zeros(len(block.owner), dtype=bool)
+    delta = np.zeros(len(block.owner) + 1, dtype=np.int32)
     for i, places in enumerate(alive):
         if places:
-            mark[block.words.first[i] + np.asarray(places)] = True
-    return mark[stand]
+            at, n = _spans(places)
+            np.add.at(delta, block.words.first[i] + at, 1)
+            np.add.at(delta, block.words.first[i] + at + n, -1)
+    return np.cumsum(delta)[stand] > 0
 
 
 def _level(batches: Iterator[pa.RecordBatch], window: int, length: int, before: int | None) -> Iterator[pa.RecordBatch]:
@@ -140,15 +159,25 @@ def _level(batches: Iterator[pa.RecordBatch], window: int, length: int, before:
             at = np.unique(at)
             owner = block.owner[at]
             h1, h2 = block.hashes(length, at)
-            yield from group.add(h1, h2, key[first + owner], tie[first + owner], (at - block.words.first[owner]).astype(np.int32))
+            yield from group.add(h1, h2, key[first + owner], tie[first + owner], at - block.words.first[owner])
     yield from group.flush()
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Places per document of the windows that are seen twice: (__key, __tie, __places)."""
+    """Places per document of the windows that are seen twice, as runs (place
+    times 2**32 plus length): (__key, __tie, __places)."""
     n = F.count(F.lit(1)).over(W.partitionBy("h1", "h2"))
-    found = rows.withColumn("n", n).where("seen or n > 1")
-    return found.groupBy(F.col("key").alias("__key"), F.col("tie").alias("__tie")).agg(F.collect_list("at").alias("__places"))
+    # the upper half of the hash is taken after the exchange, which so carries less
+    met = rows.repartition("h1").withColumn("h2", F.shiftright("h2_at", 32)).withColumn("n", n)
+    found = met.where("key is not null and (run > 0 or n > 1)")
+    place = F.shiftleft(F.col("h2_at").bitwiseAND(F.lit(0xFFFFFFFF)), 32) + F.greatest("run", F.lit(1))
+    return found.groupBy(F.col("key").alias("__key"), F.col("tie").alias("__tie")).agg(F.collect_list(place).alias("__places"))
+
+
+def _spans(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, lengths) of runs."""
+    packed = np.asarray(places, dtype=np.int64)
+    return packed >> 32, packed & 0xFFFFFFFF
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -177,9 +206,9 @@ def _places(dealt: DataFrame, window: int, text_col: str) -> DataFrame:
 def _covered(n_words: int, places: list[int] | None, window: int) -> np.ndarray:
     delta = np.zeros(n_words + 1, dtype=np.int32)
     if places:
-        at = np.unique(np.asarray(places))
-        delta[at] += 1
-        delta[at + window] -= 1
+        at, n = _spans(places)
+        np.add.at(delta, at, 1)
+        np.add.at(delta, at + n - 1 + window, -1)
     return np.cumsum(delta[:-1]) > 0
 
 
