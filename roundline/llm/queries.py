@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_language, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards
+from . import bayes_language, block_topk, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards
 
 _OPERATORS = (
     ordinal_quality.op1_ordinal_quality,
     token_shards.op2_token_shards,
+    block_topk.op3_block_topk,
     exact_digest.op4_exact_digest,
     curve_packing.op5_curve_packing,
     sentencepiece_codec.op7_sentencepiece,
@@ -24,5 +25,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _OPERATORS}
 
 
+_OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_block_topk": _OP3}
