@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_language, block_topk, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards
+from . import bayes_language, block_topk, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards, warc
 
 _OPERATORS = (
     ordinal_quality.op1_ordinal_quality,
@@ -14,6 +14,7 @@ _OPERATORS = (
     block_topk.op3_block_topk,
     exact_digest.op4_exact_digest,
     curve_packing.op5_curve_packing,
+    warc.op6_warc,
     sentencepiece_codec.op7_sentencepiece,
     simhash.op8_simhash,
     substring_dedup.op9_substring,
