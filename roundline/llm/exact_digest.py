@@ -6,10 +6,12 @@ runs of white space as one space, none at the ends.  Its fingerprint is a
 first member, and a text that differs from it gets a fingerprint of its own.
 ``likeness`` of two digests is 1 if they are equal, else 0.
 
-The texts are dealt out once by (id, hash of text) and that exchange is read
-again.  Buckets are counted by partial sums; only texts of buckets with several
-members move again, and a bucket's first text is dealt to as many slices as the
-bucket has thousands of members, so a text with many copies is no hot group.
+Digests come from a scan of the texts alone.  Order and buckets are made of the
+light (id, hash, digest) rows; buckets are counted by partial sums.  The texts
+are dealt out once, by (id, hash of text), and that exchange gives the heads of
+next documents, the first texts of buckets, and the texts themselves.  A
+bucket's first text is dealt to as many slices as the bucket has thousands of
+members, so a text with many copies is no hot group.
 
 Null text: empty.  Null id: sorts after all others in descending order.  Rows
 that share id and text are one document in the order of documents and have
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, table, text_or_empty, written
+from .common import partitions, scratch, table, text_or_empty, written
 
 #: members of a bucket that one slice of its comparison takes
 SLICE_ROWS = 1000
@@ -56,59 +58,62 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return own.withColumns({"key": F.coalesce("doc_id", F.lit(_NULL_ID)), "tie": F.xxhash64("text")})
 
 
-def next_documents(texts: DataFrame, folder: str) -> DataFrame:
-    """(key, tie, tail, next_key, next_tie): each document's next in descending
-    order of id (the last one's is the first) and a third of its own length.
+def digests(texts: DataFrame) -> DataFrame:
+    """(key, tie, n_chars, digest) of each document, from a scan."""
+    return with_digest(texts, "text", "digest").select("key", "tie", F.char_length("text").cast("long").alias("n_chars"), "digest")
+
+
+def next_documents(light: DataFrame, folder: str) -> DataFrame:
+    """(key, tie, n_chars, digest, next_key, next_tie, next_digest): each document's
+    next in descending order of id (the last one's is the first).
 
     The order is that of range partitions; within each it comes from a window,
     and one row a partition tells where the next one begins."""
-    own = texts.select("key", "tie", F.floor(F.char_length("text") / 3).cast("int").alias("tail")).distinct()
     order = [F.col("key").desc(), F.col("tie").desc()]
-    ranged = written(own.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), f"{folder}/order")
-    here = F.struct("key", "tie")
+    ranged = written(light.distinct().repartitionByRange(*order).withColumn("range", F.spark_partition_id()), f"{folder}/order")
+    here = F.struct("key", "tie", "digest")
     starts = ranged.groupBy("range").agg(F.max(here).alias("start"))  # the order descends
     of_all = W.orderBy("range")  # as many rows as partitions
     following = starts.select("range", F.coalesce(F.lead("start").over(of_all), F.first("start").over(of_all.rowsBetween(W.unboundedPreceding, 0))).alias("start"))
     inside = ranged.withColumn("next", F.lead(here).over(W.partitionBy("range").orderBy(*order)))
     both = inside.join(following, "range").withColumn("next", F.coalesce("next", "start"))
-    return both.select("key", "tie", "tail", F.col("next.key").alias("next_key"), F.col("next.tie").alias("next_tie"))
+    return both.select("key", "tie", "n_chars", "digest", F.col("next.key").alias("next_key"), F.col("next.tie").alias("next_tie"), F.col("next.digest").alias("next_digest"))
+
+
+def first_texts(light: DataFrame, by_key: DataFrame) -> DataFrame:
+    """(key, tie, first_key, first_text) of the documents in buckets of several
+    texts: the canonical text of the bucket's first."""
+    one = light.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "tie")).alias("first")).where("n > 1")
+    sliced = one.withColumn("slices", F.ceil(F.col("n") / SLICE_ROWS).cast("int")).select("digest", "slices", "first.key", "first.tie")
+    head = by_key.join(sliced.drop("digest"), ["key", "tie"]).groupBy("key", "tie", "slices").agg(F.first("text").alias("text"))
+    heads = head.select(F.col("key").alias("first_key"), F.col("tie").alias("first_tie"), canonical(F.col("text")).alias("first_text"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    to = sliced.select("digest", "slices", F.col("key").alias("first_key"), F.col("tie").alias("first_tie"))
+    members = light.select("key", "tie", "digest").distinct().join(to, "digest").withColumn("slice", F.pmod(F.xxhash64("key", "tie"), "slices").cast("int"))
+    return members.join(heads, ["first_key", "first_tie", "slice"]).select("key", "tie", "first_key", "first_text")
 
 
 def compare_with_edited(texts: DataFrame, folder: str) -> DataFrame:
-    """Digests of each text, of its edited form and of the next document."""
-    by_key = texts.repartition("key", "tie")
-    after = next_documents(texts, folder)
-    to_next = after.select(F.col("key").alias("of_key"), F.col("tie").alias("of_tie"), "tail", F.col("next_key").alias("key"), F.col("next_tie").alias("tie"))
-    heads = with_digest(by_key.join(to_next, ["key", "tie"]), "text", "next_digest")
-    # rows that share id and text are alike: any one of them will do
-    heads = heads.groupBy(F.col("of_key").alias("key"), F.col("of_tie").alias("tie")).agg(F.first(F.struct("tail", F.substring("text", F.lit(1), F.col("tail")).alias("head"), "next_digest")).alias("next"))
-    own = by_key.join(heads, ["key", "tie"])
-    n = F.char_length("text")
-    edited = own.select("doc_id", "key", "tie", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.col("next.tail")), "next.head").alias("edited"), "next.next_digest")
-    return with_digest(with_digest(edited, "text", "digest"), "edited", "edited_digest").select("doc_id", "key", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digest", "edited_digest", "next_digest")
-
-
-def groups(digests: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, tie, group_id, apart) of the documents in buckets of several texts:
-    the smallest id with the same canonical bytes; ``apart`` is null for texts
-    equal to the bucket's first, else a digest that tells them from it."""
-    one = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "tie")).alias("first")).where("n > 1")
-    sliced = one.withColumn("slices", F.ceil(F.col("n") / SLICE_ROWS).cast("int"))
-    members = digests.select("key", "tie", "digest").distinct().join(sliced.select("digest", "slices"), "digest")
-    with_text = with_digest(texts.repartition("key", "tie").join(members.select("key", "tie", "slices"), ["key", "tie"]), "text", "own").select("key", "tie", F.col("own").alias("digest"), "own_text", "slices")
-    first = sliced.select(F.col("first.key").alias("key"), F.col("first.tie").alias("tie"))
-    head = with_text.join(first, ["key", "tie"]).groupBy("digest", "slices").agg(F.first("own_text").alias("first_text"), F.min("key").alias("first_key"))
-    heads = head.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    met = with_text.withColumn("slice", F.pmod(F.xxhash64("key", "tie"), "slices").cast("int")).join(heads, ["digest", "slice"])
-    told = met.select("key", "tie", "digest", "first_key", F.when(F.col("own_text") != F.col("first_text"), F.sha2("own_text", 256)).alias("apart"))
-    others = told.where("apart is not null").groupBy("digest", "apart").agg(F.min("key").alias("apart_key"))
-    both = told.join(others, ["digest", "apart"], "left")
-    return both.select("key", "tie", F.nullif(F.coalesce("apart_key", "first_key"), F.lit(_NULL_ID)).alias("group_id"), "apart").distinct()
+    """Digests of each text, of its edited form and of the next document, and the
+    smallest id with the same canonical bytes."""
+    light = written(digests(texts), f"{folder}/light")
+    after = written(next_documents(light, folder), f"{folder}/next")
+    by_key = texts.repartition(2 * partitions(texts.sparkSession), "key", "tie")
+    tail = F.floor(F.col("n_chars") / 3).cast("int")
+    to_next = after.select(F.col("key").alias("of_key"), F.col("tie").alias("of_tie"), tail.alias("tail"), F.col("next_key").alias("key"), F.col("next_tie").alias("tie"))
+    heads = by_key.join(to_next, ["key", "tie"]).select(F.col("of_key").alias("key"), F.col("of_tie").alias("tie"), F.substring("text", F.lit(1), F.col("tail")).alias("head"))
+    # rows that share id and text are alike: any one of their heads will do
+    heads = heads.groupBy("key", "tie").agg(F.first("head").alias("head"))
+    own = by_key.join(after.drop("next_key", "next_tie"), ["key", "tie"]).join(heads, ["key", "tie"]).join(first_texts(light, by_key), ["key", "tie"], "left")
+    cut = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")), "head")
+    apart = F.when(F.col("first_text").isNotNull() & (canonical(F.col("text")) != F.col("first_text")), F.sha2(canonical(F.col("text")), 256))
+    edited = own.select("doc_id", "n_chars", "digest", "next_digest", "first_key", apart.alias("apart"), cut.alias("edited"))
+    return with_digest(edited, "edited", "edited_digest").select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digest", "edited_digest", "next_digest", "first_key", "apart")
 
 
 def op4_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, folder = dealt(table(spark, sf_dir, "documents")), scratch(spark, "digest")
-    digests = written(compare_with_edited(texts, folder), f"{folder}/digests")
-    told = digests.join(groups(digests, texts), ["key", "tie"], "left")
-    apart = F.when(F.col("apart").isNull(), F.col("digest")).otherwise(F.concat_ws("-", "digest", "apart"))
-    return told.withColumn("digest", apart).select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), likeness("digest", "edited_digest").alias("near_edited"), likeness("digest", "next_digest").alias("near_next"), F.coalesce("group_id", "doc_id").alias("group_id"))
+    """Digests of all documents; one that differs from its bucket's first in its
+    canonical bytes has those bytes' own digest added."""
+    found = compare_with_edited(dealt(table(spark, sf_dir, "documents")), scratch(spark, "digest"))
+    own = F.when(F.col("apart").isNull(), F.col("digest")).otherwise(F.concat_ws("-", "digest", "apart"))
+    first = F.when(F.col("apart").isNull(), F.coalesce(F.nullif("first_key", F.lit(_NULL_ID)), "doc_id"))
+    return found.select("doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), likeness("digest", "edited_digest").alias("near_edited"), likeness("digest", "next_digest").alias("near_next"), first.alias("group_id"))
