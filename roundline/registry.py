@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+from .plans import evaluation, intervals, judging, learning, scalars, sequences, sources  # noqa: F401  (they register)
+from .plans.base import PLANS, Query
+from .plans.judging import flagship
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: p.run for name, p in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: p.sql for name, p in PLANS.items() if p.sql}
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]
