@@ -54,9 +54,9 @@ def timeline_report(spark, sf_dir):
 
 @plan("a18_replay_clips")
 def replay_clips(spark, sf_dir):
-    """Clip windows of all aces, from stored readings alone."""
+    """Clip windows of all rounds with kills, from stored readings alone."""
     s, e = guards.ace_window(F.col("s"), F.col("e"), F.col("first_kill"), F.col("ace_sec"))
-    return verdicts(spark, sf_dir).where("ace").select("stem", "seg", s.alias("clip_start"), e.alias("clip_end"))
+    return verdicts(spark, sf_dir).where("kills > 0").select("stem", "seg", "ace", s.alias("clip_start"), e.alias("clip_end"))
 
 
 @plan("e19_kill_attribution")

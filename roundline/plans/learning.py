@@ -1 +1,85 @@
+"""Similarity, clustering and learned verification."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import evaluate, similarity, verify
+from ..sources import adapters as A
+from .base import plan
+
+FEATURES = ["n_chars", "n_words", "n_lines", "share_upper", "position"]
+_BITS = "list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"
+_IOU = "coalesce(list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: z[1] * z[2])) / CAST(nullif(list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: greatest(z[1], z[2]))), 0) AS DOUBLE), 0)"
+_VECTORS = f", v AS (SELECT vec_id, label, {_BITS} AS bits FROM embeddings)"
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "embeddings").select("vec_id", "label", similarity.binary(F.col("embedding")).alias("bits"))
+
+
+@plan("j1_pair_similarity", views="gt", sql=_VECTORS + f" SELECT a.vec_id AS a, b.vec_id AS b, round({_IOU}, 9) AS iou FROM v a JOIN v b ON b.label = a.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 40")
+def pair_similarity(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("bits").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("bits").alias("y"))
+    return a.join(b, "label").where("b > a and b <= a + 40").select("a", "b", F.round(similarity.iou(F.col("x"), F.col("y")), 9).alias("iou"))
+
+
+@plan("j1_shifted_similarity")
+def shifted_similarity(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("bits").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("bits").alias("y"))
+    return a.join(b, "label").where("b > a and b <= a + 40").select("a", "b", F.round(similarity.shifted_iou(F.col("x"), F.col("y")), 9).alias("iou"))
+
+
+plan("j2_leader_clusters")(lambda spark, sf_dir: similarity.leader_clusters(vectors(spark, sf_dir), least=0.5))
+plan("e27_near_repeats")(lambda spark, sf_dir: similarity.without_near_repeats(vectors(spark, sf_dir), least=0.5))
+
+
+@plan("j3_medoids", views="gt", sql=_VECTORS + f""", f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM v), p AS (SELECT a.label, a.vec_id, round(avg({_IOU}), 9) AS mean FROM f a JOIN f b ON b.label = a.label AND b.vec_id <> a.vec_id WHERE a.r <= 60 AND b.r <= 60 GROUP BY a.label, a.vec_id)
+SELECT label, arg_min(vec_id, row(-mean, vec_id)) AS medoid, max(mean) AS mean FROM p GROUP BY label""")
+def medoids(spark, sf_dir):
+    return similarity.medoids(vectors(spark, sf_dir))
+
+
+_CLAIMS = _VECTORS + f""", proto AS (SELECT * FROM v WHERE vec_id IN (SELECT min(vec_id) FROM v GROUP BY label)), s AS (SELECT a.vec_id, b.label, max(round({_IOU}, 9)) AS score FROM v a, proto b GROUP BY a.vec_id, b.label),
+ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS second FROM s)"""
+
+
+@plan("j4_prototype_claims", views="gt", sql=_CLAIMS + " SELECT vec_id, label AS best, score, CASE WHEN score >= 0.55 AND score - second >= 0.06 THEN label END AS claimed FROM r WHERE k = 1")
+def prototype_claims(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    first = v.groupBy("label").agg(F.min_by("bits", "vec_id").alias("bits"))
+    return similarity.claims(v, first, 0.55, 0.06)
+
+
+@plan("j5_nearest_template", views="gt", sql=_CLAIMS + " SELECT vec_id, label AS best, score FROM r WHERE k = 1")
+def nearest_template(spark, sf_dir):
+    return prototype_claims(spark, sf_dir).select("vec_id", "best", "score")
+
+
+@plan("k1_k2_feature_table", sql=r"""SELECT d.doc_id, CAST(l.quality AS BIGINT) AS label, d.source AS grp, CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(len(string_split(d.text, ' ')) AS DOUBLE) AS n_words, CAST(len(string_split(d.text, chr(10))) AS DOUBLE) AS n_lines,
+ round(length(regexp_replace(d.text, '[^A-Z]', '', 'g')) / CAST(greatest(1, length(d.text)) AS DOUBLE), 9) AS share_upper, CAST(d.doc_id % 100 AS DOUBLE) / 100 AS position FROM documents d JOIN labels l ON l.doc_id = d.doc_id""")
+def feature_table(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").join(A.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    upper = F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.lit(1), F.length("text"))
+    return d.select("doc_id", F.col("quality").cast("bigint").alias("label"), F.col("source").alias("grp"), F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", " ")).cast("double").alias("n_words"), F.size(F.split("text", "\n")).cast("double").alias("n_lines"), F.round(upper, 9).alias("share_upper"), ((F.col("doc_id") % 100).cast("double") / 100).alias("position"))
+
+
+@plan("k3_k7_logistic_scores")
+def logistic_scores(spark, sf_dir):
+    rows = feature_table(spark, sf_dir)
+    return verify.scored(verify.fit(rows, FEATURES), rows).select("doc_id", "label", F.round("score", 6).alias("score"))
+
+
+@plan("k4_tree_scores")
+def tree_scores(spark, sf_dir):
+    rows = feature_table(spark, sf_dir)
+    return verify.scored(verify.fit(rows, FEATURES, "trees"), rows).select("doc_id", "label", F.round("score", 6).alias("score"))
+
+
+@plan("k5_k6_out_of_fold")
+def out_of_fold(spark, sf_dir):
+    oof = verify.out_of_fold(feature_table(spark, sf_dir), FEATURES, folds=3)
+    return evaluate.ranking(oof.withColumn("score", F.round("score", 9)))
