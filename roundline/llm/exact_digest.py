@@ -53,9 +53,9 @@ def likeness(a: str, b: str) -> Column:
 
 
 def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, key, tie): the documents by id and hash of text."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return own.withColumns({"key": F.coalesce("doc_id", F.lit(_NULL_ID)), "tie": F.xxhash64("text")})
+    """(key, tie, text): the documents by id (null: the smallest long) and hash of text."""
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("key"), text_or_empty(text_col).alias("text"))
+    return own.select("key", F.xxhash64("text").alias("tie"), "text")
 
 
 def digests(texts: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def compare_with_edited(texts: DataFrame, folder: str) -> DataFrame:
     own = by_key.join(after.drop("next_key", "next_tie"), ["key", "tie"]).join(heads, ["key", "tie"]).join(first_texts(light, by_key), ["key", "tie"], "left")
     cut = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")), "head")
     apart = F.when(F.col("first_text").isNotNull() & (canonical(F.col("text")) != F.col("first_text")), F.sha2(canonical(F.col("text")), 256))
-    edited = own.select("doc_id", "n_chars", "digest", "next_digest", "first_key", apart.alias("apart"), cut.alias("edited"))
+    edited = own.select(F.nullif("key", F.lit(_NULL_ID)).alias("doc_id"), "n_chars", "digest", "next_digest", "first_key", apart.alias("apart"), cut.alias("edited"))
     return with_digest(edited, "edited", "edited_digest").select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digest", "edited_digest", "next_digest", "first_key", "apart")
 
 
