@@ -59,17 +59,6 @@ def replay_clips(spark, sf_dir):
     return verdicts(spark, sf_dir).where("kills > 0").select("stem", "seg", "ace", s.alias("clip_start"), e.alias("clip_end"))
 
 
-@plan("e19_kill_attribution")
-def kill_attribution(spark, sf_dir):
-    """Kills in the first 10 s of a segment belong to the one before it."""
-    k = kill_events(spark, sf_dir).withColumnRenamed("seg", "from_seg")
-    c = sequences.cut(spark, sf_dir).withColumnsRenamed({"s": "start", "e": "end"})
-    near = k.withColumn("t2", F.col("t"))
-    hit = intervals.overlapping(c, near, "start", "end", "t", "t2").where("t < end")
-    own = F.when((F.col("t") - F.col("start") <= 10.0) & (F.col("seg") > 0), F.col("seg") - 1).otherwise(F.col("seg"))
-    return hit.groupBy("stem", own.alias("seg")).agg(F.count("*").alias("kills"), F.min("t").alias("first_kill"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay: stored readings to judged rounds."""
     return verdicts(spark, sf_dir).select("stem", "seg", "s", "e", "k_base", "k_start", "k_end", "kills", "reset", "k_samples", "first_kill", "ace_sec", "ace", "end_reason")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from .plans import evaluation, intervals, judging, learning, scalars, sequences, sources  # noqa: F401  (they register)
+from .plans import evaluation, intervals, judging, learning, live, scalars, sequences, sources  # noqa: F401  (they register)
 from .plans.base import PLANS, Query
 from .plans.judging import flagship
 
