@@ -79,6 +79,8 @@ class _Grouped:
         ask = ~after
         yield from _rows(h1[ask], h2[ask] | at[ask].astype(U64), key[ask], tie[ask], np.zeros(int(ask.sum()), dtype=np.int32), before[ask])
         known = after | before
+        if not known.any():
+            return
         key, tie, at = key[known], tie[known], at[known]
         order = np.lexsort((at, tie, key))
         key, tie, at = (x[order] for x in (key, tie, at))
