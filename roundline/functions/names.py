@@ -49,7 +49,7 @@ def _match(a: Column, b: Column, sa: Column, sb: Column) -> Column:
     shortest = F.least(F.length(a), F.length(b))
     allowed = F.when(shortest <= 3, 1).when(shortest >= 6, 3).otherwise(2)
     same = (is_null_name(a) & is_null_name(b)) | ((sa != "") & (sb != "") & ((sa == sb) | _contains(sa, sb, 4)))
-    return (a != "") & (b != "") & (same | (F.levenshtein(a, b) <= allowed))
+    return (a != "") & (b != "") & (same | F.levenshtein(a, b, 3).between(0, allowed))
 
 
 def names_match(a: Column, b: Column) -> Column:
@@ -57,6 +57,12 @@ def names_match(a: Column, b: Column) -> Column:
     return _match(a, b, stripped(a), stripped(b))
 
 
+def forms_match(na: Column, nb: Column, ca: Column, cb: Column) -> Column:
+    """Whether normal forms, or the kept parts, are one name; for forms made beforehand."""
+    parts = (ca != "") & (cb != "") & ((ca == cb) | _contains(ca, cb, 4) | _match(ca, cb, ca, cb))
+    return _match(na, nb, ca, cb) | parts
+
+
 def texts_match(a: Column, b: Column) -> Column:
     return names_match(normal(a), normal(b))
 

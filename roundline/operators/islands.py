@@ -119,7 +119,9 @@ def without_false_zeros(reads: DataFrame, value: str = "k", within: float = 120.
     w = W.partitionBy(by).orderBy(t)
     some = F.when(F.col(value) > 0, F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
     before = F.last(some, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(some, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    # a running frame in falling order: a frame to the end would be walked for every row
+    falling = W.partitionBy(by).orderBy(F.desc(t)).rowsBetween(W.unboundedPreceding, -1)
+    after = F.last(some, ignorenulls=True).over(falling)
     false = (F.col(value) == 0) & (F.col(t) - F.col("__b.t") <= within) & (F.col("__a.t") - F.col(t) <= within) & (F.col("__a.v") >= F.col("__b.v"))
     return reads.withColumns({"__b": before, "__a": after}).where(~F.coalesce(false, F.lit(False))).drop("__a", "__b")
 

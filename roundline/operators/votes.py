@@ -52,23 +52,18 @@ def soft_accepted(votes: DataFrame, dominance: float = 0.38, core_least: int = 3
     return top.select("stem", F.when(ok, F.col("core")).alias("accepted"))
 
 
-def _matches(pairs: DataFrame) -> DataFrame:
-    """(stem, a, b) of texts, a before b in rank, that are one name."""
-    x, y = F.col("x"), F.col("y")
-    return pairs.where(names.texts_match(x, y) | names.cores_match(names.core(x), names.core(y)))
-
-
 def clusters(votes: DataFrame) -> DataFrame:
     """Leader clusters of the texts of each recording: texts by falling weight join
     the first cluster whose leader they match, else lead one.
 
-    Matching runs as a join of the distinct texts of a recording, where equal
-    cores or near lengths are needed; the fold sees the matched pairs only."""
+    Matching runs as a join of the distinct texts of a recording over forms made
+    once; the fold sees the matched pairs only."""
     d = summed(votes).withColumn("r", F.row_number().over(W.partitionBy("stem").orderBy(F.desc("weight"), "first")))
-    a = d.select("stem", F.col("r").alias("a"), F.col("text").alias("x"))
-    b = d.select("stem", F.col("r").alias("b"), F.col("text").alias("y"))
-    near = a.join(b, "stem").where((F.col("a") < F.col("b")) & (F.abs(F.length("x") - F.length("y")) <= F.greatest(F.lit(3), F.least(F.length("x"), F.length("y")))))
-    links = _matches(near).groupBy("stem", F.col("b").alias("r")).agg(F.sort_array(F.collect_list("a")).alias("leaders"))
+    forms = d.withColumns({"n": names.normal(F.col("text")), "c": names.core(F.col("text"))})
+    a = forms.select("stem", F.col("r").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    b = forms.select("stem", F.col("r").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    one_name = names.forms_match(*(F.col(c) for c in ("na", "nb", "ca", "cb")))
+    links = a.join(b, "stem").where((F.col("a") < F.col("b")) & one_name).groupBy("stem", F.col("b").alias("r")).agg(F.sort_array(F.collect_list("a")).alias("leaders"))
     rows = d.join(links, ["stem", "r"], "left").withColumns({"core": names.core(F.col("text")), "null_name": names.is_null_name(names.normal(F.col("text")))})
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:

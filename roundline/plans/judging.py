@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guards, times
-from ..operators import intervals, settle
+from ..operators import islands, settle
 from ..sources import adapters as A
 from . import sequences
 from .base import plan
@@ -26,9 +26,8 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rounds(spark, sf_dir)
     kt = F.col("kill_times")
     judged = r.withColumns({"first_kill": F.get(kt, F.lit(0)), "ace_sec": F.get(kt, F.lit(2)), "ace": guards.is_ace(F.col("kills"), F.col("reset").cast("int"), kt, F.col("k_samples")), "width_zero": guards.is_width_zero(kt)})
-    wins = sequences.score_events(spark, sf_dir).where("kind = 'win'").select("stem", F.col("t_hi").alias("p"))
-    keyed = judged.select("stem", "seg", "s", "e")
-    n = intervals.overlapping(keyed, wins.select("stem", "p", F.col("p").alias("p2")), "s", "e", "p", "p2").where("p < e").groupBy("stem", "seg").agg(F.count("*").alias("wins"))
+    wins = sequences.score_events(spark, sf_dir).where("kind = 'win'").select("stem", F.col("t_hi").alias("t"))
+    n = islands.assigned(wins, sequences.cut(spark, sf_dir)).groupBy("stem", "seg").agg(F.count("*").alias("wins"))
     both = judged.join(n, ["stem", "seg"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
     revoked = F.col("ace") & F.col("width_zero") & (F.col("wins") >= 2)
     return both.withColumns({"end_reason": F.when(revoked, "score_wins_split").otherwise("boundary"), "ace": F.col("ace") & ~revoked})

@@ -91,7 +91,7 @@ def write_truths(truths: DataFrame, path: str, overwrite: bool = False) -> None:
 def read_truths(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """(stem, g1, g2, source_available); ``whole``: each file is one map over many lines."""
     kind = "map<string,struct<spans:array<array<double>>,source_available:boolean>>"
-    m = spark.read.option("wholetext", whole).text(path).select(F.explode(F.from_json("value", kind)).alias("stem", "x"))
+    m = spark.read.text(path, wholetext=whole).select(F.explode(F.from_json("value", kind)).alias("stem", "x"))
     return m.select("stem", F.explode("x.spans").alias("span"), "x.source_available").select("stem", F.col("span")[0].alias("g1"), F.col("span")[1].alias("g2"), "source_available")
 
 
