@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import labels, names
 from ..operators import evaluate, generate, votes
 from ..sources import adapters as A
 from . import intervals, scalars, sequences
@@ -27,6 +27,16 @@ plan("j6_name_clusters")(lambda spark, sf_dir: votes.clusters(A.votes(spark, sf_
 plan("j8_identities")(lambda spark, sf_dir: votes.identities(A.votes(spark, sf_dir)))
 
 
+@plan("c14_own_cluster")
+def own_cluster(spark, sf_dir):
+    """First cluster of each recording that holds a strongly voted name."""
+    v = A.votes(spark, sf_dir)
+    members = votes.clusters(v).select("stem", "rank", "canonical", F.explode("variants").alias("member"))
+    strong = v.where("weight > 2 and ord < 400").select("stem", F.col("text").alias("own")).distinct()
+    hit = members.join(strong, "stem").where(names.texts_match(F.col("member"), F.col("own")))
+    return hit.groupBy("stem").agg(F.min("rank").alias("rank"), F.min_by("canonical", "rank").alias("canonical"))
+
+
 @plan("j7_cluster_summary")
 def cluster_summary(spark, sf_dir):
     return votes.clusters(A.votes(spark, sf_dir)).where("rank <= 8").select("stem", "rank", "canonical", F.round("weight", 2).alias("weight"), "samples", F.array_join("variants", "|").alias("variants"))

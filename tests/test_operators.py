@@ -86,6 +86,14 @@ def test_ranking_ties_and_ranges(spark):
     assert got.auc == pytest.approx(auc, abs=1e-8)
 
 
+def test_counter_steps_reject_in_order(spark):
+    columns = "stem string, round int, kills long, deaths long, team_sum long, match_total int, team_wins int, play_gap double, inferred boolean, match_score double"
+    row = lambda i, k, gap=45.0, deaths=1, total=None, inferred=False, score=0.9: ("v", i, k, deaths, 100 * i, i if total is None else total, i, gap, inferred, score)
+    rows = [row(1, 0), row(2, 3), row(3, 6, gap=20.0), row(4, 9), row(5, 12, gap=90.0), row(6, 15, deaths=2), row(7, 18, total=9), row(8, 2), row(9, 9), row(10, None), row(11, 12), row(12, 15, inferred=True), row(13, 18, inferred=True, score=0.1)]
+    got = evaluate.counter_steps(spark.createDataFrame(rows, columns)).orderBy("round").collect()
+    assert [r.verdict for r in got] == ["first", "ace", "consecutive_ace", "ace", "play_gap_wide", "deaths_increased", "match_rounds", "reset", "error", "none", "candidate", "match_low"]
+
+
 def test_files(spark, tmp_path):
     path = str(tmp_path / "old.json")
     (tmp_path / "old.json").write_text('{"stem":"v","scan_fps":4,"duration":9,"reads":[[0.5,3,0.9,"T"],[1.0,null,0.2,"R"]]}\n')
