@@ -284,7 +284,7 @@ def chunk_plan(spark, sf_dir):
 
 
 @plan("h3_h4_sample_times", views="hud", sql=sequences.RUNS + """, c AS (SELECT stem, start, last, CAST(ceil((last - start) * 2) AS BIGINT) AS n FROM runs)
-SELECT stem, start, CASE WHEN n = 0 THEN (start + last) / 2 ELSE start + i / CAST(2 AS DOUBLE) END AS at FROM c, (SELECT unnest(range(0, 200)) AS i) WHERE i < greatest(n, 1)""")
+SELECT stem, start, CASE WHEN n = 0 THEN (start + last) / 2 ELSE start + i / CAST(2 AS DOUBLE) END AS at FROM c, (SELECT unnest(range(0, 4000)) AS i) WHERE i < greatest(n, 1)""")
 def sample_times(spark, sf_dir):
     return generate.sample_times(sequences.runs(spark, sf_dir), 2.0)
 
