@@ -389,6 +389,74 @@ def test_op8_edges(spark, odd_docs):
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def grams(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(rows):
+    """Smallest id of each text's component: links are Jaccard similarities of 0.8 or more."""
+    ids, sets = [i for i, _ in rows], [grams(t) for _, t in rows]
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {ids[i]: ids[find(i)] for i in range(len(ids))}
+
+
+@pytest.mark.parametrize("frequent", [0, 100_000])
+def test_near_copies_planted_at_08_to_095(spark, monkeypatch, frequent):
+    from roundline.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "FREQUENT", frequent or 1)
+    rng = random.Random(5)
+    rows, passage = [], [f"p{i}" for i in range(40)]
+    for base in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 300]))] + passage * (base % 3 == 0)
+        for copy in range(7):
+            w = list(words)
+            for _ in range(rng.randrange(1 + len(w) // 45) if copy else 0):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    near = [9 * (o := len(a & b)) / 4 / (len(a) + len(b)) >= 1 and o < 0.97 * len(a | b) for i in range(0, len(rows), 7) for a, b in [(grams(rows[i][1]), grams(rows[i + 1][1]))]]
+    assert sum(near) > 5
+    got = {r.doc_id: r.component_id for r in shingle_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == alike(rows)
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_near_copies_turns(spark, monkeypatch, few):
+    """Chains of copies, in which one leader does not reach all, and texts of few words."""
+    from roundline.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "FEW", few)
+    rows = [(i, " ".join(f"c{k}" for k in range(3 * i, 3 * i + 60))) for i in range(30)]
+    rows += [(100 + i, " ".join([*(f"c{k}" for k in range(80)), f"y{i}"])) for i in range(20)]
+    rows += [(200, "a b"), (201, "A  b"), (202, "a b c"), (203, ""), (204, None)]
+    got = {r.doc_id: r.component_id for r in shingle_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == alike(rows)
+
+
+def test_pipeline_removes_near_copies_beyond_three_bits(spark):
+    """Of the given table's pairs at 0.8 or more, twelve differ in more than three bits."""
+    import corpus_pipeline as pipeline
+    from roundline.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    left = {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()}
+    assert left == {i for i, c in alike([(r.doc_id, r.text) for r in docs.collect()]).items() if i == c}
+    assert not left & {56, 255, 770, 875, 944}  # kept by the three-bit rule
+
+
 def repeated(docs, length):
     count, words = Counter(), []
     for i, t in docs:
