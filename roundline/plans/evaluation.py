@@ -32,7 +32,7 @@ def own_cluster(spark, sf_dir):
     """First cluster of each recording that holds a strongly voted name."""
     v = A.votes(spark, sf_dir)
     members = votes.clusters(v).select("stem", "rank", "canonical", F.explode("variants").alias("member"))
-    strong = v.where("weight > 2 and ord < 400").select("stem", F.col("text").alias("own")).distinct()
+    strong = v.where("weight > 2").select("stem", F.col("text").alias("own")).distinct()
     hit = members.join(strong, "stem").where(names.texts_match(F.col("member"), F.col("own")))
     return hit.groupBy("stem").agg(F.min("rank").alias("rank"), F.min_by("canonical", "rank").alias("canonical"))
 

@@ -30,7 +30,7 @@ def pair_similarity(spark, sf_dir):
 def shifted_similarity(spark, sf_dir):
     v = vectors(spark, sf_dir)
     a, b = v.select("label", F.col("vec_id").alias("a"), F.col("bits").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("bits").alias("y"))
-    return a.join(b, "label").where("b > a and b <= a + 40").select("a", "b", F.round(similarity.shifted_iou(F.col("x"), F.col("y")), 9).alias("iou"))
+    return a.join(b, "label").where("b > a").select("a", "b", F.round(similarity.shifted_iou(F.col("x"), F.col("y")), 9).alias("iou"))
 
 
 plan("j2_leader_clusters")(lambda spark, sf_dir: similarity.leader_clusters(vectors(spark, sf_dir), least=0.5))
