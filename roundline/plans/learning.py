@@ -81,5 +81,5 @@ def tree_scores(spark, sf_dir):
 
 @plan("k5_k6_out_of_fold")
 def out_of_fold(spark, sf_dir):
-    oof = verify.out_of_fold(feature_table(spark, sf_dir), FEATURES, folds=3)
+    oof = verify.out_of_fold(feature_table(spark, sf_dir), FEATURES, folds=None)
     return evaluate.ranking(oof.withColumn("score", F.round("score", 9)))

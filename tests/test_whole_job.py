@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 from roundline import registry
+from roundline.operators import verify
 from roundline.plans import evaluation
 
 
@@ -16,3 +17,24 @@ def test_own_cluster_takes_names_of_any_order(spark, monkeypatch):
     rows = spark.createDataFrame([("s", i, "alpha", 2.5, 0.9) for i in range(1000, 1005)], "stem string, ord long, text string, weight double, conf double")
     monkeypatch.setattr(evaluation.A, "votes", lambda spark, sf_dir: rows)
     assert [r.stem for r in evaluation.own_cluster(spark, "").select("stem", F.lit(1)).collect()] == ["s"]
+
+
+def test_trees_have_fifty_iterations(spark):
+    assert verify.pipelines(["x"])["trees"].getStages()[-1].getMaxIter() == 50
+
+
+def test_each_group_is_left_out_alone(spark, monkeypatch):
+    """Every score comes from a model of all other groups, the one without a name among them."""
+    rows = spark.createDataFrame([(g, i % 2, float(i)) for g in ("a", "b", "c", "d", "e", None) for i in range(4)], "grp string, label int, x double")
+    seen = []
+
+    def fit(train, features, kind):
+        seen.append({r.grp for r in train.select("grp").distinct().collect()})
+        return None
+
+    monkeypatch.setattr(verify, "fit", fit)
+    monkeypatch.setattr(verify, "scored", lambda model, test: test.withColumn("score", F.lit(0.5)))
+    for folds in (None, 6, 9):
+        seen.clear()
+        assert verify.out_of_fold(rows, ["x"], folds=folds).count() == 24
+        assert len(seen) == 6 and all(len(s) == 5 for s in seen)
