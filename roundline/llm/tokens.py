@@ -82,17 +82,14 @@ def word_table(path: str) -> ChunkTable:
             raise ValueError(f"{path}: not a lower-case word tokenizer")
 
         def encode(chunks: list[str]) -> list[list[int]]:
-            # one call for many pre-tokens: ids are cut where the word changes
+            # one call for many chunks: an id belongs to the chunk that its offset falls in
             out = []
             for at in range(0, len(chunks), 512):
                 some = chunks[at : at + 512]
                 e = tok.encode(" ".join(some), add_special_tokens=False)
-                words = np.array(e.word_ids)
-                cuts = np.flatnonzero(np.diff(words)) + 1
-                if len(cuts) == len(some) - 1:
-                    out += np.split(np.array(e.ids, dtype="<u4"), cuts)
-                else:  # a chunk of no or several pre-tokens is among them
-                    out += [x.ids for x in tok.encode_batch_fast(some, add_special_tokens=False)]
+                ends = np.cumsum([len(c) + 1 for c in some])
+                owner = np.searchsorted(ends, [a for a, _ in e.offsets], side="right")
+                out += np.split(np.array(e.ids, dtype="<u4"), np.searchsorted(owner, np.arange(1, len(some))))
             return out
 
         _TABLES["word", path] = ChunkTable(_pre_tokens, encode)

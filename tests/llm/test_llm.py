@@ -77,6 +77,19 @@ def test_chunk_tables_equal_the_libraries(docs, word, chunked):
     assert small.ids(texts) == table.ids(texts) and len(small._known) <= 3
 
 
+def test_chunks_without_and_with_several_pre_tokens(word):
+    """As many pre-tokens as chunks, but not one a chunk."""
+    tokens._TABLES.pop(("word", WORD), None)
+    try:
+        table = tokens.word_table(WORD)
+        some = ["abc", "", "\u201chi", "x"]
+        assert [list(i) for i in table._encode(some)] == [word(c) for c in some]
+        texts = ["abc  \u201chi x", "ş  y", "\u201chi", "e\u0301  \u0301a \u201c\u201d", "İ  ΑΣ 🙂👩‍👩‍👧"]
+        assert [np.frombuffer(i, "<u4").tolist() for i in table.ids(texts)] == [word(t) for t in texts]
+    finally:
+        tokens._TABLES.pop(("word", WORD), None)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**63, (2, 5000)).astype(np.uint64)
