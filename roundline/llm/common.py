@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -17,9 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors
-    share; a folder of this machine only where the setting is absent (tests)."""
+    share.  Without that setting a local session takes a folder of its machine,
+    and a cluster is refused (ValueError): its executors would not see the files.
+    Folders are left for the cluster's own clean-up."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.conf.get("spark.master", "local").partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -35,6 +40,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, amount: int | None, most: int) -> int:
+    """Number of partitions that hold ``most`` each (bytes or rows), the session's own at least."""
+    return max(partitions(spark), math.ceil((amount or 0) / most))
+
+
+#: rows of one key from which a join takes the key's row by broadcast, and the
+#: share of all rows that such a key has at least: no more keys than the inverse
+HOT_ROWS, HOT_SHARE = 100_000, 1e-5
+
+
+def joined_to_one(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``one``, a row for each ``key`` with the number
+    ``n`` of its rows; inner join.
+
+    A key with a large share of the rows would fill one task: such keys, at most
+    ``1 / HOT_SHARE`` rows, are broadcast, and their rows stay where they are.
+    ``one`` should be a written table, it is read twice."""
+    total, top = one.agg(F.sum("n"), F.max("n")).first()
+    least = max(HOT_ROWS, math.ceil((total or 0) * HOT_SHARE))
+    if not top or top < least:
+        return rows.join(one, key)
+    hot = F.broadcast(one.where(F.col("n") >= least))
+    rest = rows.join(F.broadcast(one.where(F.col("n") >= least).select(key)), key, "left_anti").join(one.where(F.col("n") < least), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

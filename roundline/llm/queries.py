@@ -43,5 +43,24 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: base32 of a SHA-1: 32 digits of five bits each, from the 160 bits as a string
+_OP6 = f"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS first,
+    list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', digest[i]) - 1), 4, '0')), 'string_agg', '') AS bits FROM p
+)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: '{_BASE32}'[CAST(
+    16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT)
+    + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT) AS INT) + 1]), 'string_agg', '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_block_topk": _OP3}
+    return {"op3_block_topk": _OP3, "op6_warc": _OP6}

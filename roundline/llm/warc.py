@@ -12,7 +12,8 @@ pieces; a task holds one record and ``CHUNK`` bytes.
 
 Tasks write under a name of their own and rename; a retried task leaves whole
 files.  Payloads are matched by 160-bit digest; bucket minima are partial sums
-and only (id, digest) rows are joined, the payloads move once.
+and only (id, digest) rows are joined, frequent digests by broadcast; the payloads
+move once, by id, digest and url.  The number of archives follows their bytes.
 
 Null payload: empty.  Null id: a record without id, which never is the one that
 others refer to unless all ids are null (then each is a response).  Rows that
@@ -33,12 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FileWriter, open_fs, scratch, table, text_or_empty, written
+from .common import FileWriter, joined_to_one, open_fs, parts_for, scratch, table, text_or_empty, written
 
 CHUNK = 1 << 20
+#: payload bytes of one archive
+ARCHIVE_BYTES = 1 << 30
+_PIECE = 1 << 14
 _VERSION = b"WARC/1.0\r\n"
 _MEMBER = b"\x1f\x8b\x08"
-_ARCHIVE = "path string, records long, bytes long"
+_ARCHIVE = "part int, path string, records long, bytes long"
 _FOUND = "path string, at long, size long, gap boolean, reason string, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, uri string, payload binary"
 
 
@@ -68,19 +72,25 @@ def record(page_id: int | None, uri: str | None, payload: bytes, digest: str, re
     return _VERSION + "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, level: int = 4, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes one archive a partition; returns their written list."""
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, level: int = 4, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archives of about ``archive_bytes`` of payload, one a partition; returns
+    their written list (part, path, records, bytes)."""
+    spark = pages.sparkSession
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), text_or_empty(payload_col).alias("payload"))
-    # spread by id and content, so that neither a hot id nor a hot payload fills a task
-    dealt = own.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary")))).withColumn("tie", F.xxhash64("page_id", "digest"))
-    light = dealt.select("page_id", "tie", "digest", F.octet_length("payload").alias("size"))
-    first = light.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
-    again = light.where(F.col("size") >= min_revisit).join(first, "digest").where(~F.col("first").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull())
-    refers = again.select("tie", "first").distinct()
-    rows = dealt.repartition("tie").join(refers, "tie", "left").select("page_id", "uri", "payload", "digest", "first")
+    # keys without nulls; the url's hash only spreads rows that share id and payload
+    key = {"digest": F.unhex(F.sha1(F.col("payload").cast("binary"))), "id": F.coalesce("page_id", F.lit(0).cast("long")), "none": F.col("page_id").isNull(), "spread": F.xxhash64("uri")}
+    dealt = own.withColumns(key)
+    light = written(dealt.select("page_id", *key, F.octet_length("payload").alias("size")), f"{folder}/light")
+    large = light.where(F.col("size") >= min_revisit)
+    first = written(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), f"{folder}/first")
+    again = joined_to_one(large, first, "digest").where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
+    refers = again.select(*key, "first").distinct()
+    files = parts_for(spark, light.agg(F.sum("size")).first()[0], archive_bytes)
+    rows = dealt.repartition(files, *key).join(refers, list(key), "left").select("page_id", "uri", "payload", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
+        part = TaskContext.get().partitionId()
+        path = f"{folder}/part-{part:06d}.warc.gz"
         out, n = None, 0
         for b in batches:
             out = out or FileWriter(path)
@@ -91,28 +101,42 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, level: i
                 n += 1
         if out:
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [out.size]})
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([out.size], pa.int64())], names=["part", "path", "records", "bytes"])
 
     return written(rows.mapInArrow(run, _ARCHIVE), f"{folder}/archives")
 
 
 class _Window:
-    """A file read in pieces, with the bytes from ``at`` on kept."""
+    """A file read in pieces: ``data`` from ``pos`` on, which is byte ``at`` of the file."""
 
     def __init__(self, file, size: int):
-        self._file, self.size, self.at, self.data = file, size, 0, b""
+        self._file, self.size, self.at, self.data, self.pos = file, size, 0, b"", 0
+
+    @property
+    def held(self) -> int:
+        return len(self.data) - self.pos
 
     def fill(self, n: int) -> bool:
         """Makes ``n`` bytes available if the file has them."""
-        while len(self.data) < n and self.at + len(self.data) < self.size:
-            more = self._file.read(max(CHUNK, n - len(self.data)))
+        while self.held < n and self.at + self.held < self.size:
+            more = self._file.read(max(CHUNK, n - self.held))
             if not more:
                 break
-            self.data += more
-        return len(self.data) >= n
+            self.data, self.pos = self.data[self.pos :] + more, 0
+        return self.held >= n
+
+    def starts(self, prefix: bytes) -> bool:
+        return self.fill(len(prefix)) and self.data.startswith(prefix, self.pos)
+
+    def find(self, what: bytes, after: int = 0) -> int:
+        """Place of ``what`` from the window's start on, -1 if it is not held."""
+        return max(-1, self.data.find(what, self.pos + after) - self.pos)
+
+    def part(self, a: int, b: int) -> bytes:
+        return self.data[self.pos + a : self.pos + b]
 
     def skip(self, n: int) -> None:
-        self.data = self.data[n:]
+        self.pos += n
         self.at += n
 
 
@@ -124,14 +148,14 @@ def _member(window: _Window) -> tuple[bytes, int]:
     """The content of the gzip member at the window's start and its length in the file."""
     unpack, used, out = zlib.decompressobj(31), 0, []
     while not unpack.eof:
-        if used == len(window.data) and not window.fill(used + 1):
+        if used == window.held and not window.fill(used + 1):
             raise Damaged("member ends early")
-        part = window.data[used:]
+        piece = window.part(used, used + _PIECE)
         try:
-            out.append(unpack.decompress(part))
+            out.append(unpack.decompress(piece))
         except zlib.error as e:
             raise Damaged(f"member: {e}") from None
-        used += len(part) - len(unpack.unused_data)
+        used += len(piece) - len(unpack.unused_data)
     return b"".join(out), used
 
 
@@ -162,12 +186,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 def _plain(window: _Window) -> tuple[dict[str, str], bytes, int]:
     """The uncompressed record at the window's start."""
-    while (end := window.data.find(b"\r\n\r\n")) < 0 and len(window.data) < CHUNK and window.fill(len(window.data) + 1):
+    while (end := window.find(b"\r\n\r\n")) < 0 and window.held < CHUNK and window.fill(window.held + 1):
         pass
-    length = [x for x in window.data[: max(end, 0)].lower().split(b"\r\n") if x.startswith(b"content-length:")]
-    if length and length[0].partition(b":")[2].strip().isdigit():
-        window.fill(end + 8 + int(length[0].partition(b":")[2]))
-    return parse(window.data)
+    length = [x for x in window.part(0, max(end, 0)).lower().split(b"\r\n") if x.startswith(b"content-length:")]
+    told = length[0].partition(b":")[2].strip() if length else b""
+    if not told.isdigit() or not window.fill(whole := end + 8 + int(told)):
+        raise Damaged("record ends early or has no length")
+    return parse(window.part(0, whole))
 
 
 def records(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
@@ -177,12 +202,12 @@ def records(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, s
     gap, why = None, ""
     while window.fill(1):
         try:
-            if window.fill(3) and window.data.startswith(_MEMBER):
+            if window.starts(_MEMBER):
                 content, used = _member(window)
                 head, block, n = parse(content)
                 if n != len(content):
                     raise Damaged("more than a record in the member")
-            elif window.data.startswith(b"WARC/") or window.fill(5) and window.data.startswith(b"WARC/"):
+            elif window.starts(b"WARC/"):
                 head, block, used = _plain(window)
             else:
                 raise Damaged("neither member nor version line")
@@ -191,16 +216,15 @@ def records(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, s
                 gap, why = window.at, str(e)
             step = 1
             while True:  # to the next place that may begin a record
-                places = [p for p in (window.data.find(_MEMBER, step), window.data.find(b"WARC/1.", step)) if p >= 0]
+                places = [p for p in (window.find(_MEMBER, step), window.find(b"WARC/1.", step)) if p >= 0]
                 if places:
                     window.skip(min(places))
                     break
-                keep = min(len(window.data), 6)
-                window.skip(len(window.data) - keep)
-                step = 0 if window.fill(keep + 1) else 1
-                if step:
-                    window.skip(len(window.data))
+                window.skip(max(0, window.held - 6))  # a mark may lie across two pieces
+                if not window.fill(window.held + 1):
+                    window.skip(window.held)
                     break
+                step = 0
             continue
         if gap is not None:
             yield gap, window.at - gap, why, {}, b""
@@ -225,7 +249,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for path in b.column(0).to_pylist():
                 fs, at = open_fs(path)
                 rows, held = [], 0
-                with fs.open_input_stream(at) as f:
+                # the members are unpacked here, one by one: Arrow would do it by the file's name
+                with fs.open_input_stream(at, compression=None) as f:
                     for place, n, why, head, block in records(f, fs.get_file_info(at).size):
                         kind = head.get("warc-type")
                         size, digest = len(block), head.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -240,12 +265,17 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    spread = archives.select("path").repartition(max(1, archives.count()), "path")
-    return spread.mapInArrow(run, _FOUND)
+    last = archives.agg(F.max("part")).first()[0] or 0
+    return archives.select("path", "part").repartitionById(last + 1, "part").select("path").mapInArrow(run, _FOUND)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to an archive and read back."""
-    archives = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
-    found = read_archives(archives, payloads=False).where(~F.col("gap"))
+    """Every page written to an archive and read back; fails if a record is missing or damaged."""
+    folder = scratch(spark, "warc")
+    archives = write_archives(table(spark, sf_dir, "pages"), folder)
+    found = written(read_archives(archives, payloads=False), f"{folder}/found")
+    sound, gaps = found.agg(F.count_if(~F.col("gap")), F.count_if("gap")).first()
+    made = archives.agg(F.sum("records")).first()[0] or 0
+    if gaps or sound != made:
+        raise RuntimeError(f"{made} records were written, {sound} are read back with {gaps} gaps")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

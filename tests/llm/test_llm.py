@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from roundline.llm import bayes_language, block_topk, curve_packing, exact_digest, graph, ordinal_quality, perfect_hash, queries, sentencepiece_codec, simhash, substring_dedup, textops, token_shards, tokens, warc
+from roundline.llm import bayes_language, block_topk, common, curve_packing, exact_digest, graph, ordinal_quality, perfect_hash, queries, sentencepiece_codec, simhash, substring_dedup, textops, token_shards, tokens, warc
 from roundline.llm.common import scratch
 
 P = pytest.importorskip("public_tokenizers")
@@ -240,13 +240,6 @@ def test_op7_edges(spark, odd_docs):
 # --- 3: search -----------------------------------------------------------------
 
 
-def test_op3_equals_sql(spark, data):
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{data}/embeddings.parquet'")
-    expected = sorted(c.execute(queries.oracle_sql()["op3_block_topk"]).fetchall())
-    assert expected == sorted(map(tuple, queries.queries()["op3_block_topk"](spark, data).select("query_id", "rank", "vec_id", "score").collect()))
-
-
 def test_op3_ties_and_unsound_vectors(spark, monkeypatch):
     monkeypatch.setattr(block_topk, "BLOCK_ROWS", 16)
     rows = [(i, [float(i % 3), -1.0 * (i % 2), 0.5]) for i in range(300)]
@@ -304,6 +297,16 @@ def test_op4_edges(spark, monkeypatch, odd_docs):
 # --- 6: archives -------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, data, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    theirs = c.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in theirs.description]
+    assert sorted(map(str, theirs.fetchall())) == sorted(str(tuple(r)) for r in queries.queries()[name](spark, data).select(*names).collect())
+
+
 def test_op6_equals_brute_force(spark, data):
     got = {r.page_id: r for r in queries.queries()["op6_warc"](spark, data).collect()}
     first = {}
@@ -344,6 +347,66 @@ def test_salvage(packed):
     assert len([g for g in got if g[2]]) == 3 and sum(g[1] for g in got) == len(cut)
 
 
+def archive_pages(spark, n=3000):
+    """Pages whose payloads do not shrink: several MiB of archive in few files."""
+    rows = [(i, f"http://a/{i}", base64.b64encode(random.Random(i // 2 if i % 10 < 2 else i).randbytes(2400)).decode()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+
+
+def test_op6_reads_large_archives_whole(spark, monkeypatch):
+    rows, pages = archive_pages(spark)
+    archives = warc.write_archives(pages, scratch(spark, "w"))
+    sizes = [r["bytes"] for r in archives.collect()]
+    assert sum(sizes) > 5 << 20 and max(sizes) > 2 * warc.CHUNK
+    got = warc.read_archives(archives).collect()
+    assert not any(r.gap for r in got) and sorted(r.page_id for r in got) == list(range(len(rows)))
+    assert all(bytes(r.payload).decode() == rows[r.page_id][2] for r in got if r.record_type == "response")
+    monkeypatch.setattr(warc, "table", lambda *a: pages)
+    assert warc.op6_warc(spark, "").count() == len(rows)
+    small = warc.write_archives(pages, scratch(spark, "w"), archive_bytes=1 << 20)
+    assert small.count() > archives.count() and warc.read_archives(small).where("not gap").count() == len(rows)
+
+
+def test_op6_salvages_damaged_archives(spark, monkeypatch):
+    _, pages = archive_pages(spark)
+    folder = scratch(spark, "w")
+    archives = warc.write_archives(pages, folder)
+    whole = warc.read_archives(archives).collect()
+    path = max(archives.collect(), key=lambda r: r["bytes"]).path
+    own = sorted((r.at, r["size"], r.page_id) for r in whole if r.path == path)
+    hurt = own[len(own) // 2]
+    with open(path.removeprefix("file://"), "r+b") as f:
+        f.seek(hurt[0] + hurt[1] // 2)
+        f.write(bytes(40))
+    got = warc.read_archives(archives).collect()
+    assert {r.page_id for r in whole} - {r.page_id for r in got if not r.gap} == {hurt[2]}
+    assert [(r.path, r.at, r["size"]) for r in got if r.gap] == [(path, *hurt[:2])]
+    monkeypatch.setattr(warc, "write_archives", lambda *a: archives)
+    monkeypatch.setattr(warc, "table", lambda *a: pages)
+    with pytest.raises(RuntimeError, match="1 gaps"):
+        warc.op6_warc(spark, "")
+
+
+def test_op6_frequent_payloads(spark, monkeypatch):
+    """Digests over the bound are joined by broadcast, with the same result."""
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rows = [(i, f"u{i}", "" if i % 3 == 0 else f"p{i % 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = {}
+    for i, _, x in rows:
+        first.setdefault(x, i)
+    got = {r.page_id: r.refers_to for r in warc.read_archives(warc.write_archives(df, scratch(spark, "w"))).collect()}
+    assert got == {i: None if first[x] == i else first[x] for i, _, x in rows}
+
+
+def test_scratch_refuses_a_cluster_without_a_shared_folder():
+    class Session:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch(Session, "x")
+
+
 # --- 8 and 9: duplicates -------------------------------------------------------------
 
 
