@@ -7,9 +7,13 @@ cluster, so neighbours in a sequence are alike, and each sorted partition packs
 its own: ids are laid end to end and cut every ``width`` ids.  What is left at a
 partition's end is cut into sequences of powers of two, which need no padding.
 
-One shuffle of the texts.  The range sort also orders by id and hash of text,
-so many equal keys are split over partitions.  A task holds one batch of texts
-and the pieces of one open sequence.
+The ranges' bounds come from the keys of a sample of ``SAMPLE`` rows a range (at
+most ``MOST_SAMPLED`` in all, as in Spark's own range sort), so each text is
+projected once, on its way into the one shuffle of the texts; the sample only
+sets how even the ranges are.  The order goes on by id and hash of text, so many
+equal keys are split over partitions, whose number follows the bytes of text.
+A task holds one batch of texts and the pieces of one open sequence; the driver
+one bound a range.
 
 Null or empty text: its end id only, at the curve's start.  Repeated rows are
 packed each.  Null doc_id: kept, as null.  Empty table: no pieces.  Other
@@ -21,20 +25,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table, text_or_empty
-from .textops import U64, Words, text_blocks, word_hashes
+from .common import parts_for, table, text_or_empty
+from .textops import U64, Words, column_bytes, text_blocks, word_hashes
 
 WIDTH = 2048
 BINS = 4096
 DIMS = 3
 BITS = 10
+#: bytes of text of one range, rows sampled for each, and in all
+RANGE_BYTES, SAMPLE, MOST_SAMPLED = 1 << 30, 100, 1_000_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -83,18 +88,49 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def curve_key(seed: int = 7, spread: float = 0.5):
-    """Pandas UDF text -> place on the curve; ``spread`` is the half width of the cube."""
-
-    @F.pandas_udf("long")
-    def key(texts: pd.Series) -> pd.Series:
-        matrix, out = projection(seed), []
-        for _, block in text_blocks(texts):
-            cells = (project(block, matrix) / spread + 1) / 2 * (1 << BITS)
-            out.append(hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=np.int64))
-
-    return key
+def places(texts, matrix: np.ndarray, spread: float = 0.5) -> np.ndarray:
+    """Place on the curve of each text; ``spread`` is the half width of the cube."""
+    out = []
+    for _, block in text_blocks(texts):
+        cells = (project(block, matrix) / spread + 1) / 2 * (1 << BITS)
+        out.append(hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def ranges(bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many of ``bounds`` (columns place, id, tie; ascending) each row is not smaller than."""
+    both = np.concatenate((bounds, rows))
+    is_row = np.arange(len(both)) >= len(bounds)
+    order = np.lexsort((is_row, both[:, 2], both[:, 1], both[:, 0]))
+    out = np.empty(len(both), dtype=np.int64)
+    out[order] = np.cumsum(~is_row[order])
+    return out[len(bounds) :]
+
+
+def placed(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, text) range-sorted along the curve, by id and hash of text where places are equal."""
+    spark = docs.sparkSession
+    own = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("tie"))
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    parts = parts_for(spark, size, RANGE_BYTES)
+    share = min(MOST_SAMPLED, SAMPLE * parts) / max(1, n)
+
+    def keyed(batches: Iterator[pa.RecordBatch], bounds: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        matrix = projection(seed)
+        for b in batches:
+            place = places(column_bytes(b.column(1)), matrix)
+            key = np.stack((place, b.column(2).to_numpy(), b.column(3).to_numpy()), axis=1)
+            if bounds is None:
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, i]) for i in range(3)], names=["place", "id", "tie"])
+            else:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place), pa.array(ranges(bounds, key).astype(np.int32))], names=[*b.schema.names, "place", "range"])
+
+    some = own.sample(share, seed) if share < 1 else own
+    got = some.mapInArrow(lambda x: keyed(x, None), "place long, id long, tie long").orderBy("place", "id", "tie").toArrow()
+    keys = np.stack([c.to_numpy() for c in got.columns], axis=1) if got.num_rows else np.zeros((0, 3), dtype=np.int64)
+    bounds = keys[np.unique(np.arange(1, parts) * len(keys) // parts)] if len(keys) else keys
+    dealt = own.mapInArrow(lambda x: keyed(x, bounds), "doc_id long, text string, id long, tie long, place long, range int").repartitionById(parts, "range")
+    return dealt.sortWithinPartitions("place", "id", "tie").select("doc_id", "text")
 
 
 class _Packer:
@@ -160,9 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = WIDTH, i
         yield rows()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    placed = own.withColumn("place", curve_key()("text")).withColumn("tie", F.xxhash64("text"))
-    order = ["place", "doc_id", "tie"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return placed(own).mapInArrow(run, SCHEMA)
 
 
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

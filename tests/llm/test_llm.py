@@ -221,6 +221,20 @@ def test_op5_curve_and_edges(spark, odd_docs):
     assert curve_packing.pack(odd_docs.limit(0), WORD).count() == 0
 
 
+def test_op5_ranges(spark, monkeypatch):
+    """Each row lies between the bounds around it; equal places are split by id and text."""
+    rng = np.random.default_rng(2)
+    rows, bounds = rng.integers(0, 4, (200, 3)), np.array(sorted(map(tuple, rng.integers(0, 4, (9, 3)))))
+    got = curve_packing.ranges(bounds, rows)
+    assert got.tolist() == [sum(tuple(b) <= tuple(r) for b in bounds) for r in rows]
+    monkeypatch.setattr(curve_packing, "RANGE_BYTES", 200)
+    df = spark.createDataFrame([(i, "the same words") for i in range(300)], "doc_id long, text string")
+    spread = curve_packing.placed(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 21 and max(r["count"] for r in spread) < 40
+    pieces = curve_packing.pack(df, WORD, width=16).collect()
+    assert sum(r.length for r in pieces) == 300 * 4 and Counter(r.doc_id for r in pieces if r.start == 0) == Counter(range(300))
+
+
 def test_op7_equals_the_library(spark, data, docs):
     sp = tokens.piece_processor(PIECE)
     got = {r.doc_id: r for r in queries.queries()["op7_sentencepiece"](spark, data).collect()}
