@@ -19,9 +19,10 @@ block.
 Queries against all rows is what is asked for, so rows x query groups is the
 work's bound; only summaries and blocks within reach travel.
 
-Vectors null, empty, with a null or non-finite component, or with one beyond
-32 bits after scaling take no part, nor do rows without id.  Shorter vectors end
-in zeros.  Ties go to the smaller id.  Rows that share a query's id are its own
+Vectors null or with a null or non-finite component take no part, nor do rows
+without id.  Shorter vectors end in zeros, an empty one is all zeros.  Sums are
+exact integers; a component or a score beyond 64 bits, which no long can hold,
+counts as the nearest one that does.  Ties go to the smaller id.  Rows that share a query's id are its own
 and are left out; repeated rows of other ids are found each.  Fewer than k
 candidates: all.  Empty table: empty result.  Other columns are not read.
 """
@@ -44,16 +45,17 @@ QUERY_GROUP = 1024
 SUMMARIES = 2048
 SLICE_BLOCKS = 16
 _SIGNS = 12
-_NONE = -(2**62)
+#: below every score; scores and components lie within plus and minus ``_MOST``
+_NONE, _MOST = -(2**63), 2**63 - 1
 _HITS = "query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v): integer vectors of the rows that take part."""
     x = F.transform(F.col(vector_col), lambda e: e.cast("double"))
-    sound = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(2.0**31 / scale)))
+    sound = F.col("x").isNotNull() & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull()).where(F.coalesce(sound, F.lit(False)))
-    return rows.select("vec_id", F.transform("x", lambda e: F.floor(F.lit(scale) * e).cast("int")).alias("v"))
+    return rows.select("vec_id", F.transform("x", lambda e: F.greatest(F.floor(F.lit(float(scale)) * e), F.lit(-_MOST))).alias("v"))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -66,28 +68,32 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of integers, exactly: in floating point where that is exact."""
-    if a.size and b.size and int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] < 2**53:
+    """a @ b.T of integers, exactly: in floating point where that is exact, in
+    whole numbers of any size where 64 bits may not do (then cut to ``_MOST``)."""
+    top = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] if a.size and b.size else 0
+    if top < 2**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if top <= _MOST:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -_MOST, _MOST).astype(np.int64)
 
 
 def _bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Upper bounds of the scores of queries (rows) in blocks (columns)."""
-    return _products(np.maximum(q, 0), hi) + _products(np.minimum(q, 0), lo)
+    return _products(np.concatenate((np.maximum(q, 0), np.minimum(q, 0)), axis=1), np.concatenate((hi, lo), axis=1))
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    order = np.lexsort((ids, ~score), axis=1)[:, :k]
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _bytes(rows: np.ndarray) -> bytes:
-    return rows.astype("<i4").tobytes()
+def _bytes(rows: np.ndarray, width: int) -> bytes:
+    return rows.astype(f"<i{width}").tobytes()
 
 
-def _ints(column, dims: int) -> list[np.ndarray]:
-    return [np.frombuffer(b, dtype="<i4").astype(np.int64).reshape(-1, dims) for b in column.to_pylist()]
+def _ints(column, dims: int, width: int) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype=f"<i{width}").astype(np.int64).reshape(-1, dims) for b in column.to_pylist()]
 
 
 def _longs(column) -> list[np.ndarray]:
@@ -97,7 +103,7 @@ def _longs(column) -> list[np.ndarray]:
 _BLOCKS = "block long, lo binary, hi binary, ids binary, rows binary, query_rows binary, thresholds binary"
 
 
-def make_blocks(rows: DataFrame, dims: int, k: int, is_query: str) -> DataFrame:
+def make_blocks(rows: DataFrame, dims: int, width: int, k: int, is_query: str) -> DataFrame:
     """Blocks of ``rows`` (vec_id, v, ``is_query``), and with each block its queries
     and their first thresholds."""
     signs = np.random.default_rng(5).standard_normal((dims, _SIGNS))
@@ -121,14 +127,14 @@ def make_blocks(rows: DataFrame, dims: int, k: int, is_query: str) -> DataFrame:
             for lo in range(0, len(ids), BLOCK_ROWS):
                 c = slice(lo, lo + BLOCK_ROWS)
                 asked = np.flatnonzero(asks[c])
-                yield pa.RecordBatch.from_pydict({"block": pa.array([number]), "lo": pa.array([_bytes(x[c].min(0))]), "hi": pa.array([_bytes(x[c].max(0))]), "ids": pa.array([ids[c].astype("<i8").tobytes()]), "rows": pa.array([_bytes(x[c])]), "query_rows": pa.array([asked.astype("<i4").tobytes()]), "thresholds": pa.array([threshold[c][asked].astype("<i8").tobytes()])})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([number]), "lo": pa.array([_bytes(x[c].min(0), width)]), "hi": pa.array([_bytes(x[c].max(0), width)]), "ids": pa.array([ids[c].astype("<i8").tobytes()]), "rows": pa.array([_bytes(x[c], width)]), "query_rows": pa.array([asked.astype("<i4").tobytes()]), "thresholds": pa.array([threshold[c][asked].astype("<i8").tobytes()])})
                 number += 1
 
-    placed = rows.select("vec_id", "v", F.expr(is_query).alias("is_query")).mapInArrow(place, "place long, vec_id long, v array<int>, is_query boolean")
+    placed = rows.select("vec_id", "v", F.expr(is_query).alias("is_query")).mapInArrow(place, "place long, vec_id long, v array<long>, is_query boolean")
     return placed.repartitionByRange("place", "vec_id").sortWithinPartitions("place", "vec_id").select("vec_id", "v", "is_query").mapInArrow(build, _BLOCKS)
 
 
-def query_groups(blocks: DataFrame, dims: int, folder: str) -> DataFrame:
+def query_groups(blocks: DataFrame, dims: int, width: int, folder: str) -> DataFrame:
     """(g, ids, rows, thresholds): the queries of neighbouring blocks, ``QUERY_GROUP`` at most in a row."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +142,10 @@ def query_groups(blocks: DataFrame, dims: int, folder: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"g": pa.array([number]), "ids": pa.array([np.concatenate(ids).tobytes()]), "rows": pa.array([_bytes(np.concatenate(rows))]), "thresholds": pa.array([np.concatenate(least).tobytes()])})
+            return pa.RecordBatch.from_pydict({"g": pa.array([number]), "ids": pa.array([np.concatenate(ids).tobytes()]), "rows": pa.array([_bytes(np.concatenate(rows), width)]), "thresholds": pa.array([np.concatenate(least).tobytes()])})
 
         for b in batches:
-            for own, x, at, t in zip(_longs(b.column(0)), _ints(b.column(1), dims), (np.frombuffer(q, dtype="<i4") for q in b.column(2).to_pylist()), _longs(b.column(3)), strict=True):
+            for own, x, at, t in zip(_longs(b.column(0)), _ints(b.column(1), dims, width), (np.frombuffer(q, dtype="<i4") for q in b.column(2).to_pylist()), _longs(b.column(3)), strict=True):
                 if n + len(at) > QUERY_GROUP:
                     yield out()
                     ids, rows, least, n, number = [], [], [], 0, number + 1
@@ -169,26 +175,27 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, scale: int = 1024, id
     spark = vectors.sparkSession
     folder = scratch(spark, "topk")
     rows = quantised(vectors, scale, id_col, vector_col)
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    blocks = written(make_blocks(rows, dims, k, is_query), f"{folder}/blocks")
-    queries = query_groups(blocks, dims, folder)
+    dims, top = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    dims, width = dims or 1, 4 if (top or 0) < 2**31 else 8
+    blocks = written(make_blocks(rows, dims, width, k, is_query), f"{folder}/blocks")
+    queries = query_groups(blocks, dims, width, folder)
     groups = queries.select(F.col("g").alias("g"))
 
     def reach(left: pa.Table, right: pa.Table) -> pa.Table:
         keep = np.zeros(left.num_rows, dtype=bool)
-        lo, hi = (np.concatenate(_ints(left.column(c), dims)) if left.num_rows else np.zeros((0, dims), dtype=np.int64) for c in ("lo", "hi"))
-        for q, t in zip(_ints(right.column("rows"), dims), _longs(right.column("thresholds")), strict=True):
+        lo, hi = (np.concatenate(_ints(left.column(c), dims, width)) if left.num_rows else np.zeros((0, dims), dtype=np.int64) for c in ("lo", "hi"))
+        for q, t in zip(_ints(right.column("rows"), dims, width), _longs(right.column("thresholds")), strict=True):
             keep |= (_bounds(q, lo, hi) >= t[:, None]).any(axis=0)
         return left.select(["g", "block"]).filter(pa.array(keep))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        ids, x = _longs(left.column("ids")), _ints(left.column("rows"), dims)
-        lo, hi = (np.concatenate(_ints(left.column(c), dims)) if left.num_rows else np.zeros((0, dims), dtype=np.int64) for c in ("lo", "hi"))
-        for own, q, t in zip(_longs(right.column("ids")), _ints(right.column("rows"), dims), _longs(right.column("thresholds")), strict=True):
+        ids, x = _longs(left.column("ids")), _ints(left.column("rows"), dims, width)
+        lo, hi = (np.concatenate(_ints(left.column(c), dims, width)) if left.num_rows else np.zeros((0, dims), dtype=np.int64) for c in ("lo", "hi"))
+        for own, q, t in zip(_longs(right.column("ids")), _ints(right.column("rows"), dims, width), _longs(right.column("thresholds")), strict=True):
             bound = _bounds(q, lo, hi)
             order = np.argsort(-bound, axis=1, kind="stable")
-            best, found, kth = np.full((len(q), k), _NONE), np.full((len(q), k), 2**62), t.copy()
+            best, found, kth = np.full((len(q), k), _NONE), np.full((len(q), k), _MOST), t.copy()
             active = np.arange(len(q))
             for turn in range(len(ids)):
                 which = order[active, turn]

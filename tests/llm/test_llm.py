@@ -257,9 +257,9 @@ def test_op7_edges(spark, odd_docs):
 def test_op3_ties_and_unsound_vectors(spark, monkeypatch):
     monkeypatch.setattr(block_topk, "BLOCK_ROWS", 16)
     rows = [(i, [float(i % 3), -1.0 * (i % 2), 0.5]) for i in range(300)]
-    rows += [(None, [1.0, 1.0, 1.0]), (400, None), (500, []), (600, [1.0, None]), (700, [float("nan")]), (800, [5.0]), (100, [2.0, 2.0, 2.0])]
+    rows += [(None, [1.0, 1.0, 1.0]), (400, None), (500, []), (501, []), (600, [1.0, None]), (601, [float("-inf")] * 3), (700, [float("nan")]), (800, [5.0]), (100, [2.0, 2.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("g", F.lit("clash"))
-    v = [(i, [int(np.floor(1024 * y)) for y in x] + [0] * (3 - len(x))) for i, x in rows if i is not None and x and all(y is not None and y == y for y in x)]
+    v = [(i, [int(np.floor(1024 * y)) for y in x] + [0] * (3 - len(x))) for i, x in rows if i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x)]
     got = defaultdict(list)
     for r in block_topk.search(df, "vec_id % 100 = 0", 4).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -270,6 +270,23 @@ def test_op3_ties_and_unsound_vectors(spark, monkeypatch):
     assert block_topk.search(df.limit(0), "vec_id % 100 = 0").count() == 0
 
 
+@pytest.mark.parametrize("big", [2.0**22, 2.0**40, 1e300])
+def test_op3_large_components(spark, big):
+    """Finite components of any size take part; what no long holds is the nearest long."""
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([-big, -1.5, 0.25, big, big / 2]) for _ in range(3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = 2**63 - 1
+    cut = lambda x: max(-most, min(most, x))
+    v = [(i, [cut(int(np.floor(np.float64(1024) * y))) for y in x]) for i, x in rows]
+    got = defaultdict(list)
+    for r in block_topk.search(df, "vec_id % 20 = 0", 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, x in v[::20]:
+        best = sorted((-cut(sum(a * b for a, b in zip(x, y, strict=True))), i) for i, y in v if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in best]
+
+
 # --- 4: digests --------------------------------------------------------------------
 
 
