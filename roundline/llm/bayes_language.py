@@ -5,7 +5,9 @@ Texts are lower-cased, everything but letters becomes a space, and n-grams of
 per language over all training rows: tasks count their own rows, one grouping
 adds them up, and languages x ``BUCKETS`` sums reach the driver (at most
 ``MAX_LANGUAGES`` languages, else ValueError).  The log-probability matrix is
-broadcast; a task adds up the rows of a document's cells in numpy.
+broadcast; a task adds up the rows of a document's cells in numpy.  A letter is
+what Unicode calls one, in all planes; more than ``MAX_LANGUAGES`` languages raise
+ValueError, as the matrix would have no bound.
 
 Null text or one without a letter: ``und``, score 0.  Null language or id: a row
 without a language is not learned from; without an id it belongs to the training
@@ -38,8 +40,8 @@ _BLOCK_CHARS = 500_000
 
 @cache
 def _letters() -> np.ndarray:
-    """Which code points up to U+FFFF are letters; those above count as letters."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000)
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def _segments(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
@@ -64,8 +66,7 @@ def cells(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     chars = np.frombuffer("".join(f" {p} " for p in parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
     size = np.fromiter((len(p) + 2 for p in parts), dtype=np.int64, count=len(parts))
     end = np.cumsum(size)
-    known = _letters()
-    letter = known[np.minimum(chars, 0xFFFF)] | (chars > 0xFFFF)
+    letter = _letters()[chars]
     chars[~letter] = 32
     found = np.add.reduceat(letter, end - size) > 0
     return chars, np.concatenate(([0], end)), found
@@ -88,10 +89,16 @@ class LanguageModel:
     languages: list[str]
     matrix: np.ndarray
 
-    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of probabilities, whether the text has a letter)."""
+    def expected(self) -> np.ndarray:
+        """Mean log-probability of an n-gram of each language in that language."""
+        logs = self.matrix[:-1].astype(np.float64)
+        return (np.exp(logs) * logs).sum(axis=0)
+
+    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of probabilities, whether the text has a letter, and by language the
+        mean log-probability of the text's n-grams less the expected one)."""
         total = np.tile(self.matrix[-1].astype(np.float64), (len(texts), 1))
-        has = np.zeros(len(texts), dtype=bool)
+        has, grams = np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=np.int64)
         for owners, parts in _segments(texts):
             chars, at, found = cells(parts)
             for order in ORDERS:
@@ -100,10 +107,11 @@ class LanguageModel:
                 cut = np.stack((at[:-1], np.minimum(at[1:] - order + 1, len(rows))), axis=1).ravel()
                 rows = np.concatenate((rows, np.zeros((1, rows.shape[1]), dtype=rows.dtype)))
                 np.add.at(total, owners, np.add.reduceat(rows, cut, axis=0, dtype=np.float64)[::2])
+                np.add.at(grams, owners, np.diff(at) - order + 1)
             np.logical_or.at(has, owners, found)
-        top = total - total.max(axis=1, keepdims=True) if total.size else total
-        p = np.exp(top)
-        return p / p.sum(axis=1, keepdims=True), has
+        typical = (total - self.matrix[-1]) / np.maximum(1, grams)[:, None] - self.expected()
+        p = np.exp(total - total.max(axis=1, keepdims=True) if total.size else total)
+        return p / p.sum(axis=1, keepdims=True), has, typical
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> LanguageModel:
@@ -151,26 +159,29 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
 
 
 def predicted(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
-    """Struct (lang, score) of a text column."""
+    """Struct (lang, score, typical) of a text column."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, typical double")
     def run(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
         if not m.languages:
-            return pd.DataFrame({"lang": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts)})
-        p, has = m.posteriors([t if isinstance(t, str) else None for t in texts])
+            return pd.DataFrame({"lang": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts), "typical": [0.0] * len(texts)})
+        p, has, typical = m.posteriors([t if isinstance(t, str) else None for t in texts])
         best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
-        score = np.where(has, p[np.arange(len(p)), best], 0.0)
-        return pd.DataFrame({"lang": [m.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], "score": score})
+        own = np.arange(len(p)), best
+        return pd.DataFrame({"lang": [m.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], "score": np.where(has, p[own], 0.0), "typical": typical[own]})
 
     return run(text)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (posterior of that language)."""
+    """``docs`` with ``lang_pred``, ``score`` (posterior of that language) and ``typical``:
+    how much the text's n-grams differ from that language's in mean log-probability.
+    The posterior of all but very short texts is near 1 for some language; a text in
+    none of them, or of random letters, has a ``typical`` of some units below 0."""
     found = docs.withColumn("__lang", predicted(docs.sparkSession, model, F.col(text_col)))
-    return found.withColumns({"lang_pred": F.col("__lang.lang"), "score": F.col("__lang.score")}).drop("__lang")
+    return found.withColumns({"lang_pred": F.col("__lang.lang"), "score": F.col("__lang.score"), "typical": F.col("__lang.typical")}).drop("__lang")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -160,8 +160,49 @@ def test_op10_edges(spark, odd_docs):
     assert {r.text: r.lang_pred for r in got.collect() if not r.text} == {None: "und", "": "und"}
     assert all(r.lang_pred == "und" and r.score == 0 for r in bayes_language.identify(odd_docs, bayes_language.train(odd_docs.limit(0))).collect())
     long = "bonjour " * 400_000
-    p, _ = model.posteriors([long, "bonjour " * 3])
-    assert p.shape == (2, 2) and np.isfinite(p).all()
+    p, _, typical = model.posteriors([long, "bonjour " * 3])
+    assert p.shape == typical.shape == (2, 2) and np.isfinite(p).all()
+    with pytest.raises(ValueError, match="languages"):
+        bayes_language.train(spark.range(300).selectExpr("id AS doc_id", "'a' AS text", "string(id) AS lang"))
+
+
+def test_op10_letters_of_all_planes(spark, odd_docs):
+    model = bayes_language.train(odd_docs)
+    rows = [(1, "\U0001f642\U0001f469\u200d\U0001f467 12 !"), (2, "\U00010400\U00010401"), (3, "\U00020000"), (4, "\U0001f642 a"), (5, "\u0301 \u20ac")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in bayes_language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == got[5] == ("und", 0.0) and all(got[i][0] in ("en", "fr") and got[i][1] > 0 for i in (2, 3, 4))
+
+
+def test_op10_equals_brute_force(spark, data):
+    """Counts, smoothing, priors and scores by plain dictionaries."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+
+    def grams(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        for n in (2, 3):
+            for i in range(len(s) - n + 1):
+                h = n
+                for c in s[i : i + n]:
+                    h = (h * 0x85EBCA6B + ord(c)) % 2**32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                yield h >> 17
+
+    counts, n = defaultdict(Counter), Counter()
+    for r in docs:
+        if r.lang and r.text is not None and not held(r.doc_id):
+            counts[r.lang].update(grams(r.text))
+            n[r.lang] += 1
+    got = {r.doc_id: r for r in queries.queries()["op10_language"](spark, data).collect()}
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.5 * bayes_language.BUCKETS for x in langs}
+    for r in docs[:60]:
+        own = Counter(grams(r.text or ""))
+        s = np.array([np.log(n[x] / n.total()) + sum(k * np.log((counts[x][c] + 0.5) / total[x]) for c, k in own.items()) for x in langs])
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        found = got[r.doc_id]
+        assert found.held_out == held(r.doc_id)
+        assert (found.lang_pred, found.score) == ("und", 0.0) if not any(c.isalpha() for c in r.text or "") else found.lang_pred == langs[int(p.argmax())] and abs(found.score - p.max()) < 1e-3
 
 
 # --- 2, 5, 7: token ids ----------------------------------------------------------
