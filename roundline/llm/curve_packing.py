@@ -39,7 +39,7 @@ BINS = 4096
 DIMS = 3
 BITS = 10
 #: bytes of text of one range, rows sampled for each, and in all
-RANGE_BYTES, SAMPLE, MOST_SAMPLED = 1 << 30, 100, 1_000_000
+RANGE_BYTES, SAMPLE, MOST_SAMPLED = 1 << 29, 100, 1_000_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -126,8 +126,9 @@ def placed(docs: DataFrame, seed: int = 7) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place), pa.array(ranges(bounds, key).astype(np.int32))], names=[*b.schema.names, "place", "range"])
 
     some = own.sample(share, seed) if share < 1 else own
-    got = some.mapInArrow(lambda x: keyed(x, None), "place long, id long, tie long").orderBy("place", "id", "tie").toArrow()
+    got = some.mapInArrow(lambda x: keyed(x, None), "place long, id long, tie long").toArrow()
     keys = np.stack([c.to_numpy() for c in got.columns], axis=1) if got.num_rows else np.zeros((0, 3), dtype=np.int64)
+    keys = keys[np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))]
     bounds = keys[np.unique(np.arange(1, parts) * len(keys) // parts)] if len(keys) else keys
     dealt = own.mapInArrow(lambda x: keyed(x, bounds), "doc_id long, text string, id long, tie long, place long, range int").repartitionById(parts, "range")
     return dealt.sortWithinPartitions("place", "id", "tie").select("doc_id", "text")

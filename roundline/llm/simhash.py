@@ -3,19 +3,21 @@
 Fingerprints: every bit is the majority of that bit over the XXH64 of all word
 shingles.  Two fingerprints link at ``max_bits`` differing bits or fewer.
 
-Pairs of distinct fingerprints are met in blocks: with ``max_bits + 2`` bit
-segments, two linked fingerprints agree on two segments at least, so each pair
-of segments makes a table of blocks and no link is lost.  Within a block the
-pivot tables work: the Hamming distances of each fingerprint to ``PIVOTS``
-reference fingerprints are computed once; by the triangle inequality a pair
-whose distances to any pivot differ by more than ``max_bits`` cannot link.
-Blocks are walked in order of the first distance, so a row stops at the first
-partner too far away, the other coordinates are compared by their maximum
-difference, and only survivors are verified bit by bit.
-
-Blocks beyond ``BLOCK_ROWS`` are cut into chunks and dealt out as pairs of
-chunks.  A task hands on a spanning forest of the links that it finds, never all
-pairs; ``graph.components`` joins the forests.
+Pivot tables: the Hamming distances of each distinct fingerprint to ``PIVOTS``
+reference fingerprints are computed once, segment by segment, and written with
+it; a distance is the sum of its ``max_bits + 2`` segment distances.  Two linked
+fingerprints agree on two segments at least, so they have all coordinates of two
+segments in common: each pair of segments makes a table of blocks of equal
+coordinates, and no link is lost.  (A filter on whole distances alone would meet
+all pairs.)  Within a block rows are walked in order of the first distance, so a
+row stops at the first partner too far away; by the triangle inequality a pair
+whose coordinates differ by more than ``max_bits`` anywhere is discarded, and
+only survivors are verified bit by bit.
+
+Blocks beyond ``BLOCK_ROWS`` are blocked again by parts of their other bits, one
+of which a linked pair has in common too; what is still larger is cut into chunks
+and dealt out as pairs of chunks.  A task hands on a spanning forest of the links
+that it finds, never all pairs; ``graph.components`` joins the forests.
 
 Null or wordless text: fingerprint zero, linked like any other.  Null id: has a
 component, but is never its smallest id (null, if no member has one).  Repeated
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table, written
+from .common import joined_to_one, scratch, table, written
 from .graph import components
 from .textops import U64, Words, column_bytes, mix, text_blocks, xxh64
 
@@ -96,15 +98,41 @@ def references(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+def segments(count: int) -> list[int]:
+    """Masks of ``count`` segments of about equal width that make up 64 bits."""
+    cut = [64 * i // count for i in range(count + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
 
+def pivot_table(fp: np.ndarray, pivots: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Distances (row, segment, pivot): bits of the segment in which both differ."""
+    apart = fp[:, None, None] ^ pivots[None, None, :]
+    return np.bitwise_count(apart & np.array(masks, dtype=U64)[None, :, None]).astype(np.uint8)
 
-def _forest(fp: np.ndarray, group: np.ndarray, chunk: np.ndarray, cross: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups (sorted by group, then first pivot distance) as a
-    spanning forest of row numbers.  ``cross``: only rows of different chunks."""
-    pivots = references(PIVOTS)
-    tables = pivot_table(fp, pivots)
+
+def with_pivots(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fp`` of ``classes`` with ``table`` (its distance to each pivot, a byte each) and
+    ``blocks`` (for each pair of segments one number of its coordinates there)."""
+    masks = segments(max_bits + 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = references(PIVOTS)
+        odd = mix(np.arange(1, PIVOTS + 1, dtype=U64)) | U64(1)
+        for b in batches:
+            parts = pivot_table(b.column(0).to_numpy().view(U64), pivots, masks)
+            sums = (parts.astype(U64) * odd).sum(axis=2, dtype=U64)  # one number of a segment's coordinates
+            keys = np.stack([mix(sums[:, i] ^ mix(sums[:, j])) for i, j in combinations(range(len(masks)), 2)], axis=1) if len(parts) else np.zeros((0, 1), dtype=U64)
+            table_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PIVOTS), len(parts), [None, pa.py_buffer(parts.sum(axis=1, dtype=np.uint8).tobytes())]).cast(pa.binary())
+            at = np.arange(len(parts) + 1, dtype=np.int32) * keys.shape[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), table_, pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64).ravel()))], names=["fp", "table", "blocks"])
+
+    return classes.select("fp").mapInArrow(run, "fp long, table binary, blocks array<long>")
+
+
+def _forest(fp: np.ndarray, tables: np.ndarray, group: np.ndarray, chunk: np.ndarray, cross: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within groups as a spanning forest of fingerprints; ``tables`` are the
+    distances to the pivots.  ``cross``: only rows of different chunks."""
+    tables = tables.astype(np.int8)
     order = np.lexsort((tables[:, 0], group))
     fp, group, chunk, cross, tables = fp[order], group[order], chunk[order], cross[order], tables[order]
     root = np.arange(len(fp))
@@ -133,26 +161,40 @@ def _forest(fp: np.ndarray, group: np.ndarray, chunk: np.ndarray, cross: np.ndar
     return fp[joined], fp[root[joined]]
 
 
-def _segments(count: int) -> list[int]:
-    """Masks of ``count`` segments of about equal width that make up 64 bits."""
-    cut = [64 * i // count for i in range(count + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _halved(blocks: DataFrame, large: DataFrame, max_bits: int) -> DataFrame:
+    """Rows of large blocks in smaller ones: the bits outside the block's two segments
+    are parted in ``max_bits + 1``, and a linked pair agrees on one part at least."""
+    masks = segments(max_bits + 2)
+    rest = []
+    for i, j in combinations(range(len(masks)), 2):
+        bits = [b for b in range(64) if not (masks[i] | masks[j]) >> b & 1]
+        cut = [len(bits) * k // (max_bits + 1) for k in range(max_bits + 2)]
+        rest.append([_signed(sum(1 << b for b in bits[x:y])) for x, y in zip(cut[:-1], cut[1:], strict=True)])
+    mask = F.array(*(F.array(*(F.lit(m).cast("long") for m in own)) for own in rest))[F.col("kind")]
+    parts = F.transform(mask, lambda m: F.col("fp").bitwiseAND(m))
+    sub = blocks.join(large.select("kind", "part"), ["kind", "part"]).select("kind", "part", "fp", "table", F.posexplode(parts).alias("sub", "bits"))
+    return sub.select((F.lit(1000) + F.col("kind") * 100 + F.col("sub")).alias("kind"), F.xxhash64("part", "bits").alias("part"), "fp", "table")
+
+
+def links(classes: DataFrame, folder: str, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``fp`` of ``classes`` that
-    connect the same fingerprints as all links do."""
-    masks = [_signed(x | y) for x, y in combinations(_segments(max_bits + 2), 2)]
-    blocks = classes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("kind", "part"))
-    large = blocks.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
-    sized = blocks.join(large, ["kind", "part"], "left").withColumn("chunks", F.ceil(F.coalesce("n", F.lit(1)) / block_rows).cast("int"))
+    connect the same fingerprints as all links do.  ``folder`` takes the pivot tables."""
+    tables = written(with_pivots(classes, max_bits), f"{folder}/pivots")
+    blocks = tables.select("fp", "table", F.posexplode("blocks").alias("kind", "part"))
+    size = lambda rows: rows.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+    large = written(size(blocks), f"{folder}/large")
+    rows = blocks
+    if large.limit(1).count():  # at most one in block_rows of the blocks' rows
+        rows = blocks.join(large, ["kind", "part"], "left_anti").unionByName(_halved(blocks, large, max_bits))
+        large = written(size(rows), f"{folder}/larger")
+    sized = rows.join(large, ["kind", "part"], "left").withColumn("chunks", F.ceil(F.coalesce("n", F.lit(1)) / block_rows).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     met = sized.withColumn("chunk", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = met.select("kind", "part", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "chunk", "fp")
+    pairs = met.select("kind", "part", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "chunk", "fp", "table")
     order = ["kind", "part", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +204,8 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_
             kind, part, lo, hi, chunk, fp = (t.column(i).to_numpy() for i in range(6))
             new = np.concatenate(([True], (kind[1:] != kind[:-1]) | (part[1:] != part[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(fp) else np.zeros(0, dtype=bool)
             end = len(fp) if last else int(np.flatnonzero(new)[-1])
-            a, b = _forest(fp[:end].view(U64), np.cumsum(new[:end]), chunk[:end], (lo != hi)[:end], max_bits)
+            table_ = np.frombuffer(b"".join(t.column(6).slice(0, end).to_pylist()), dtype=np.uint8).reshape(-1, PIVOTS)
+            a, b = _forest(fp[:end].view(U64), table_, np.cumsum(new[:end]), chunk[:end], (lo != hi)[:end], max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]), t.slice(end)
 
         for batch in batches:
@@ -181,11 +224,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """Per document (doc_id, fp, component_id): the smallest id that links reach."""
     folder = scratch(docs.sparkSession, "simhash")
     prints = written(fingerprints(docs, shingle, id_col, text_col), f"{folder}/fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/classes")
-    stars = components(links(classes, max_bits), folder)
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), f"{folder}/classes")
+    stars = components(links(classes, folder, max_bits), folder)
     rooted = classes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = written(rooted.join(smallest, "root").select("fp", "n", "component_id"), f"{folder}/named")
+    return joined_to_one(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -511,7 +511,7 @@ def test_op8_equals_brute_force(spark, data, docs):
     assert [(got[i].fingerprint, got[i].component_id) for i, _ in docs] == [(f"{p:016x}", c) for p, c in zip(prints, expected, strict=True)]
 
 
-@pytest.mark.parametrize("block_rows", [16, 2048])
+@pytest.mark.parametrize("block_rows", [4, 16, 2048])
 def test_op8_loses_no_link(spark, block_rows):
     rng = np.random.default_rng(1)
     prints = set()
@@ -524,11 +524,31 @@ def test_op8_loses_no_link(spark, block_rows):
             prints.add(y)
             x = y if rng.random() < 0.3 else x
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
-    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 3, block_rows)
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), scratch(spark, "l"), 3, block_rows)
     stars = {r.a: r.b for r in graph.components(edges, scratch(spark, "g")).collect()}
     assert [stars.get(p, p) for p in signed] == linked(signed, [p % (1 << 64) for p in signed])
 
 
+def test_op8_pivot_tables():
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    pivots, masks = simhash.references(simhash.PIVOTS), simhash.segments(5)
+    parts = simhash.pivot_table(fp, pivots, masks)
+    assert sum(masks) == 2**64 - 1
+    assert (parts.sum(axis=1) == [[bin(int(x) ^ int(p)).count("1") for p in pivots] for x in fp]).all()
+    near = fp ^ np.uint64(0b111)  # three bits of the first segment: all coordinates of the others are the same
+    other = simhash.pivot_table(near, pivots, masks)
+    assert (other[:, 1:] == parts[:, 1:]).all() and np.abs(other.sum(axis=1).astype(int) - parts.sum(axis=1)).max() <= 3
+
+
+def test_op8_frequent_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(i, "a b c d" if i % 2 else f"w{i} x{i} y{i} z{i}") for i in range(40)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ids, prints = [i for i, _ in rows], [fingerprint(t) for _, t in rows]
+    assert [got[i] for i in ids] == linked(ids, prints)
+
+
 def test_op8_edges(spark, odd_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     assert len(rows) == 7
