@@ -614,6 +614,19 @@ def test_near_copies_turns(spark, monkeypatch, few):
     assert got == alike(rows)
 
 
+def test_one_of_each_keeps_one_row(spark):
+    """Repeated ids, rows without id and rows that share all columns: one row of each group stays."""
+    from roundline.llm import shingle_join
+
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "y"), (None, a + " z", "z"), (None, "lone text of its own", "q"), (None, "lone text of its own", "q"), (2, b, "k"), (3, None, None), (4, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tie string").withColumn("component", F.lit(1))
+    got = shingle_join.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.drop("component").collect())) == sorted(map(str, spark.createDataFrame([(1, a, "x"), (1, b, "y"), (None, "lone text of its own", "q"), (3, None, None)], "doc_id long, text string, tie string").collect()))
+    assert shingle_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_pipeline_removes_near_copies_beyond_three_bits(spark):
     """Of the given table's pairs at 0.8 or more, twelve differ in more than three bits."""
     import corpus_pipeline as pipeline
@@ -681,9 +694,7 @@ def test_pipeline(spark, word):
     good, spoken, unique, cut = kept
     toxic = {r.doc_id for r in table(spark, d, "labels").where("toxic = 1").collect()}
     assert len(toxic & set(good)) < 0.1 * len(toxic) and len(spoken) > 0.98 * len(good)
-    ids = sorted(spoken)
-    groups = dict(zip(ids, linked(ids, [fingerprint(spoken[i]) for i in ids]), strict=True))
-    assert set(unique) == {i for i in ids if groups[i] == i}
+    assert set(unique) == {i for i, c in alike(sorted(spoken.items())).items() if i == c}
     brute = repeated(sorted(unique.items()), 35)
     assert set(cut) == {i for i, (n, gone, _) in brute.items() if n == 0 or gone < n}
     for i, text in cut.items():
