@@ -52,12 +52,17 @@ _PLAIN = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
 _LETTERS, _SPACES = "a-zß-öø-ÿ", " \\t\\n\\r\\f\\v"
 #: the pre-tokenizer's pattern over plain lower-case text (fixed value of the tokenizer file)
 _PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_SPACES}{_LETTERS}0-9]+")
+#: with this begin the strings of the file's special tokens
+_SPECIAL = "<|"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _pre_tokens(text: str) -> list[str]:
     """Pre-tokens of plain text; of other text what lies between ASCII white
-    space, which the pre-tokenizer drops and no token crosses."""
+    space, which the pre-tokenizer drops and no token crosses.  A text that may
+    hold a special token's string is left whole to the library."""
+    if _SPECIAL in text:
+        return [text]
     if text.isascii() or _PLAIN.fullmatch(text):
         return _PRE_TOKENS.findall(text.lower())
     for c in "\n\t\r\f\v":
@@ -69,16 +74,16 @@ def _pre_tokens(text: str) -> list[str]:
 def word_table(path: str) -> ChunkTable:
     """For a tokenizers file of the lower-case word kind.
 
-    Raises ValueError for a file with another normalizer or pre-tokenizer.
-    Special tokens' strings in a text are ordinary text."""
+    Raises ValueError for a file with another normalizer, pre-tokenizer or other
+    special tokens.  As by the library's default, special tokens' strings in a
+    text become these tokens."""
     if ("word", path) not in _TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         made = json.loads(tok.to_str())
-        if [n["type"] for n in made["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or made["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": _PATTERN}:
+        if not all(t["content"].startswith(_SPECIAL) and not t["normalized"] for t in made["added_tokens"]) or [n["type"] for n in made["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or made["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": _PATTERN}:
             raise ValueError(f"{path}: not a lower-case word tokenizer")
 
         def encode(chunks: list[str]) -> list[list[int]]:

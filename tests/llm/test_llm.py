@@ -19,7 +19,7 @@ from roundline.llm.common import scratch
 
 P = pytest.importorskip("public_tokenizers")
 WORD, PIECE = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
-ODD = ["", " ", "  a", "a  ", "\n", "▁", "a ▁b▁", "a　b\x1cc\x85d é ́x", "it's don't 're 'story", "<s>x</s>", "<|endoftext|>a", "İstanbul ΑΣ ß tzß", "x" * 3000, "🙂👩‍👩‍👧 è", "²½ª 12", "A" * 50_000 + " b"]
+ODD = ["", " ", "  a", "a  ", "\n", "▁", "a ▁b▁", "a　b\x1cc\x85d é ́x", "it's don't 're 'story", "<s>x</s>", "<|endoftext|>a", "a<|startoftext|>  b <|ENDOFTEXT|> c<|endoftext|>é <| |>", "İstanbul ΑΣ ß tzß", "x" * 3000, "🙂👩‍👩‍👧 è", "²½ª 12", "A" * 50_000 + " b"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -33,7 +33,6 @@ def word():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -222,16 +221,37 @@ def test_op2_edges(spark, odd_docs, word, width):
     folder = scratch(spark, "shards")
     entries = token_shards.write_shards(odd_docs, folder, WORD, 2, width)
     parts = token_shards.index_parts(entries)
-    assert token_shards.write_index(entries, folder, parts).agg(F.sum("n_keys")).first()[0] == 5
+    assert token_shards.write_index(entries, folder, parts).agg(F.sum("n_keys")).first()[0] == 7
     keys = spark.createDataFrame([(None,), (1,), (2,), (4,), (99,)], "key long")
-    got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in token_shards.read_back(token_shards.find(keys, folder, parts), folder, width, token_shards.shard_starts(entries)).collect()}
-    assert set(got) == {None, 1, 2, 4} and got[1] == [*word("a b c"), 2] and got[2] == [2] and len(got[4]) == 20_001
+    got = defaultdict(list)
+    for r in token_shards.read_back(token_shards.find(keys, folder, parts), folder, width, token_shards.shard_starts(entries)).collect():
+        got[r.key].append(np.frombuffer(r.ids, "<u4").tolist())
+    abc = [*word("a b c"), 2]
+    assert set(got) == {None, 1, 2, 4} and got[1] == [abc, abc] and got[2] == [[2]] and len(got[4][0]) == 20_001 and sorted(got[None]) == sorted([abc, [2]])
     folder = scratch(spark, "shards")
     none = token_shards.write_shards(odd_docs.limit(0), folder, WORD, 2, width)
     assert none.count() == 0 and token_shards.find(keys, folder, token_shards.index_parts(none)).count() == 0
     assert token_shards.id_width(70_000) == 4
 
 
+@pytest.mark.parametrize("block", [4, 65_536])
+def test_op2_finds_all_documents_of_a_key(spark, monkeypatch, word, block):
+    """Keys with many documents that lie in several shards, and the query over such a table."""
+    monkeypatch.setattr(token_shards, "SHARD_BYTES", 64)
+    monkeypatch.setattr(token_shards, "_BLOCK", block)
+    rows = [(None, f"n {i % 17}") for i in range(40)] + [(7, "same text")] * 30 + [(8, f"x {i}") for i in range(3)] + [(9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(token_shards, "table", lambda *a: df)
+    got = token_shards.op2_token_shards(spark, "").collect()
+    ids = [[*word(t or ""), 2] for _, t in rows]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((k, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (k, _), i in zip(rows, ids, strict=True))
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [k for k, _ in rows]
+
+
 def test_op5_lays_every_id_once(spark, data, docs, word):
     rows = queries.queries()["op5_curve_packing"](spark, data).collect()
     ids = {i: [*word(t), 1] for i, t in docs}
