@@ -378,6 +378,24 @@ def test_op4_equals_brute_force(spark, monkeypatch, data):
         assert len({r.fingerprint for r in rows.values()}) == len(same)
 
 
+def test_op4_tells_texts_of_one_digest_apart(spark, monkeypatch):
+    """With digests of 3 bits most texts share a bucket: fingerprints are equal only for equal texts."""
+    monkeypatch.setattr(exact_digest, "digest", lambda text: F.hex(F.pmod(F.xxhash64(text), F.lit(8))))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    forms = ["a b", "A  b", "c d e", "", "x", "long text of words", "Long text of  words", "c d e"]
+    df = spark.createDataFrame([(i, forms[i % 8] if i < 24 else f"t {i % 9} {forms[i % 5]}") for i in range(60)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in op4(spark, monkeypatch, df)}
+    docs = sorted(((r.doc_id, r.text) for r in df.collect()), reverse=True)
+    prints = defaultdict(set)
+    for n, (i, x) in enumerate(docs):
+        y, k, r = docs[(n + 1) % len(docs)][1], len(x) // 3, rows[i]
+        e = x[: len(x) - k] + y[:k]
+        prints[r.fingerprint].add(canon(x))
+        prints[r.edited_fingerprint].add(canon(e))
+        assert (r.near_edited, r.near_next) == (float(canon(e) == canon(x)), float(canon(x) == canon(y)))
+    assert all(len(texts) == 1 for texts in prints.values()) and len(prints) == len(set().union(*prints.values()))
+
+
 def test_op4_edges(spark, monkeypatch, odd_docs):
     rows = op4(spark, monkeypatch, odd_docs)
     assert Counter(r.doc_id for r in rows) == {1: 2, 2: 1, 3: 1, None: 2, 4: 1}
