@@ -62,5 +62,25 @@ FROM f
 """
 
 
+_OP9 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35
+), windows AS (
+  SELECT r, i, sha256(array_to_string(w[i : i + 34], ' ')) AS h FROM starts JOIN d USING (r)
+), repeated AS (
+  SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM repeated
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN gone USING (r, j) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_block_topk": _OP3, "op6_warc": _OP6}
+    return {"op3_block_topk": _OP3, "op6_warc": _OP6, "op9_substring": _OP9}

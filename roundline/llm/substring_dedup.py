@@ -13,10 +13,12 @@ copies.  No group is ever gathered; grouping counts rows by a window function
 over those few.
 
 Texts are dealt out once by (id, hash of text); every level reads that exchange
-again.  Hashes have 96 bits.
+again.  Windows are told apart by 96 bits of two hash families over two hashes of
+each word; equal hashes count as equal words.
 
 Null text: no words.  Null id: a row like any other.  Rows that share id and
-text are separate documents whose windows repeat each other's.  Empty table:
+text are separate documents whose windows repeat each other's; what is known of
+them meets as a set of places, whatever their number.  Empty table:
 empty result.  Result columns replace input columns of the same names.
 """
 
@@ -118,8 +120,7 @@ class _Block:
 
     def __init__(self, texts: list[bytes], window: int):
         self.words = Words(texts)
-        hashes = word_hashes(self.words)
-        self._hash = WindowHash(hashes, 0), WindowHash(hashes, 1)
+        self._hash = tuple(WindowHash(word_hashes(self.words, seed), seed) for seed in (0, 1))
         self._window = window
         owner = self.words.owner()
         n = max(0, len(owner) - window + 1)
@@ -173,7 +174,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     met = rows.repartition("h1").withColumn("h2", F.shiftright("h2_at", 32)).withColumn("n", n)
     found = met.where("key is not null and (run > 0 or n > 1)")
     place = F.shiftleft(F.col("h2_at").bitwiseAND(F.lit(0xFFFFFFFF)), 32) + F.greatest("run", F.lit(1))
-    return found.groupBy(F.col("key").alias("__key"), F.col("tie").alias("__tie")).agg(F.collect_list(place).alias("__places"))
+    return found.groupBy(F.col("key").alias("__key"), F.col("tie").alias("__tie")).agg(F.collect_set(place).alias("__places"))
 
 
 def _spans(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
