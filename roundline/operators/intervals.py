@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def _bucketed(df: DataFrame, lo: Column, hi: Column, width: float, name: str) -> DataFrame:
     first = F.floor(lo / width)
@@ -64,16 +66,17 @@ def greedy_matches(truth: DataFrame, found: DataFrame, tolerance: float = 15.0,
     unused detection (d1, d2) in order of ``idx`` that meets it within the
     tolerance.  (by, idx, hit: the detection's idx or null)
 
-    Only candidate lists are gathered, per recording, and folded in order."""
+    Only candidate lists are gathered, one a true span; they are walked in order."""
     pairs = overlapping(truth.select(by, F.col("idx").alias("g"), "g1", "g2"), found.select(by, F.col("idx").alias("d"), "d1", "d2"), "g1", "g2", "d1", "d2", tolerance)
     lists = pairs.groupBy(by, "g").agg(F.sort_array(F.collect_list("d")).alias("cands"))
-    rows = lists.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("g", "cands"))).alias("xs"))
-    zero = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<g:bigint,hit:bigint>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        free = F.get(F.filter(x["cands"], lambda d: ~F.array_contains(a["used"], d)), F.lit(0))
-        used = F.when(free.isNull(), a["used"]).otherwise(F.concat(a["used"], F.array(free)))
-        return F.struct(used.alias("used"), F.concat(a["out"], F.array(F.struct(x["g"].alias("g"), free.alias("hit")))).alias("out"))
+    def step(used, row):
+        g, cands = row
+        used = set() if used is None else used
+        hit = next((d for d in cands if d not in used), None)
+        if hit is not None:
+            used.add(hit)
+        return used, [(g, hit)]
 
-    hits = rows.select(by, F.explode(F.aggregate("xs", zero, step)["out"]).alias("m")).select(by, F.col("m.g").alias("idx"), "m.hit")
+    hits = folds.folded(lists, by, ["g"], step, f"{by} string, idx long, hit long")
     return truth.select(by, "idx").join(hits, [by, "idx"], "left")

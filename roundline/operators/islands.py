@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def _over(by: str, t: str):
     return W.partitionBy(by).orderBy(t)
@@ -56,10 +58,29 @@ def merged_windows(windows: DataFrame, gap: float = 3.0, by: str = "stem", kind:
 
 
 def thinned(events: DataFrame, gap: float = 3.0, by: str = "stem", t: str = "t") -> DataFrame:
-    """Events more than ``gap`` after the last one kept, as a fold over each recording's sorted times."""
-    keep = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) > gap), F.concat(kept, F.array(x))).otherwise(kept)
-    empty = F.array().cast("array<double>")
-    return events.groupBy(by).agg(F.sort_array(F.collect_list(F.col(t).cast("double"))).alias("ts")).select(by, F.explode(F.aggregate("ts", empty, keep)).alias(t))
+    """Events more than ``gap`` after the last one kept, in time order."""
+
+    def step(kept, row):
+        return (row[0], [row]) if kept is None or row[0] - kept > gap else (kept, [])
+
+    return folds.folded(events.select(by, F.col(t).cast("double").alias(t)).where(F.col(t).isNotNull()), by, [t], step, f"{by} string, {t} double")
+
+
+def eliminated(state, t: float, s: str, active: int = 3, ended: int = 3, gap: float = 3.0):
+    """One step of ``streak_ends``: (new state, ends found).  The state: active states
+    in a row, length, kind and start of the streak of eliminations, whether this
+    episode's end was given out, and the time of the last end kept."""
+    live, gone, kind, since, waiting, kept = state or (0, 0, None, None, False, None)
+    if s == "active":
+        return (live + 1, 0, None, since, False, kept), []
+    if s not in ("red_eliminated", "blue_eliminated"):
+        return (0, 0, None, since, waiting, kept), []
+    gone, since = (gone + 1, since) if s == kind else (1, t)
+    if waiting or live < active or gone < ended:
+        return (live, gone, s, since, waiting, kept), []
+    if kept is not None and since - kept <= gap:
+        return (0, gone, s, since, True, kept), []
+    return (0, gone, s, since, True, since), [(since, s.removesuffix("_eliminated"))]
 
 
 def streak_ends(states: DataFrame, active: int = 3, ended: int = 3, gap: float = 3.0, by: str = "stem", t: str = "t", state: str = "state") -> DataFrame:
@@ -68,40 +89,24 @@ def streak_ends(states: DataFrame, active: int = 3, ended: int = 3, gap: float =
     the last one kept go.  (by, t, eliminated)
 
     The streak of active states survives other eliminations but no unknown state."""
-    none = F.lit(None).cast("string")
-    zero = F.struct(F.lit(0).alias("live"), F.lit(0).alias("gone"), none.alias("kind"), F.lit(0.0).alias("since"), F.lit(False).alias("waiting"), F.array().cast("array<struct<t:double,eliminated:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = x["state"]
-        lost = s.isin("red_eliminated", "blue_eliminated")
-        same = lost & (a["kind"] == s)
-        gone = F.when(same, a["gone"] + 1).when(lost, 1).otherwise(0)
-        since = F.when(lost & ~F.coalesce(same, F.lit(False)), x["t"]).otherwise(a["since"])
-        fire = lost & ~a["waiting"] & (a["live"] >= active) & (gone >= ended)
-        live = F.when(s == "active", a["live"] + 1).when(fire | ~lost, 0).otherwise(a["live"])
-        event = F.struct(since.alias("t"), F.when(s == "red_eliminated", "red").otherwise("blue").alias("eliminated"))
-        late = F.when(F.size(a["out"]) == 0, F.lit(True)).otherwise(since - F.element_at(a["out"], -1)["t"] > gap)
-        return F.struct(live.alias("live"), gone.alias("gone"), F.when(lost, s).alias("kind"), since.alias("since"), F.when(s == "active", False).when(fire, True).otherwise(a["waiting"]).alias("waiting"), F.when(fire & late, F.concat(a["out"], F.array(event))).otherwise(a["out"]).alias("out"))
-
-    rows = states.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(state).alias("state")))).alias("xs"))
-    return rows.select(by, F.explode(F.aggregate("xs", zero, step)["out"]).alias("e")).select(by, "e.t", "e.eliminated")
+    rows = states.select(by, F.col(t).cast("double").alias("t"), F.col(state).alias("state"))
+    return folds.folded(rows, by, ["t", "state"], lambda held, row: eliminated(held, *row, active, ended, gap), f"{by} string, t double, eliminated string")
 
 
 def confirmed_transitions(reads: DataFrame, value: str, by: str = "stem", t: str = "t", least: int = 2) -> DataFrame:
     """Changes between values seen ``least`` times in a row: (by, t_lo, t_hi, old, new, kind).
 
     ``t_hi`` is the new run's first time, ``t_lo`` the last time before it that
-    the old value was seen; a fall is a ``reset``, a rise a ``win``."""
+    the old value was seen: a running last sighting of each value, in which the
+    changes ask for their old value.  A fall is a ``reset``, a rise a ``win``."""
     runs = marked_runs(reads.where(F.col(value).isNotNull()), F.col(value), by, t).groupBy(by, "run").agg(F.first(value).alias("v"), F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n"))
-    w = W.partitionBy(by).orderBy("first")
-    sure = runs.where(F.col("n") >= least)
-    sure = sure.withColumn("p", F.lag("v").over(w)).where(F.col("p").isNull() | (F.col("p") != F.col("v")))
-    before = W.partitionBy(by, "v").orderBy("first").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = runs.withColumn("seen", F.max("last").over(before))
-    # the old value's last sighting before the new run: latest of its runs that began earlier
-    old = ends.select(F.col(by).alias("b"), F.col("v").alias("ov"), F.col("first").alias("of"), "seen")
-    both = sure.where("p is not null").join(old, (F.col(by) == F.col("b")) & (F.col("p") == F.col("ov")) & (F.col("of") < F.col("first")))
-    return both.groupBy(by, F.col("first").alias("t_hi"), F.col("p").alias("old"), F.col("v").alias("new")).agg(F.max("seen").alias("t_lo")).select(by, "t_lo", "t_hi", "old", "new", F.when(F.col("new") > F.col("old"), "win").otherwise("reset").alias("kind"))
+    sure = runs.where(F.col("n") >= least).withColumn("p", F.lag("v").over(W.partitionBy(by).orderBy("first"))).where(F.col("p") != F.col("v"))
+    seen = runs.select(by, "v", "first", "last", F.lit(0).alias("asks"), F.lit(None).cast(reads.schema[value].dataType).alias("new"))
+    asks = sure.select(by, F.col("p").alias("v"), "first", F.lit(None).cast("double").alias("last"), F.lit(1).alias("asks"), F.col("v").alias("new"))
+    # at equal times the change comes first: the old value's run began earlier
+    before = W.partitionBy(by, "v").orderBy("first", F.desc("asks")).rowsBetween(W.unboundedPreceding, 0)
+    both = seen.unionByName(asks).withColumn("t_lo", F.max("last").over(before)).where("asks = 1")
+    return both.select(by, "t_lo", F.col("first").alias("t_hi"), F.col("v").alias("old"), "new", F.when(F.col("new") > F.col("v"), "win").otherwise("reset").alias("kind"))
 
 
 def segments(boundaries: DataFrame, totals: DataFrame, least: float = 0.5, by: str = "stem", t: str = "t") -> DataFrame:
@@ -113,9 +118,9 @@ def segments(boundaries: DataFrame, totals: DataFrame, least: float = 0.5, by: s
     return cut.select(by, (F.row_number().over(_over(by, "s")) - 1).cast("bigint").alias("seg"), "s", "e")
 
 
-def without_false_zeros(reads: DataFrame, value: str = "k", within: float = 120.0, by: str = "stem", t: str = "t") -> DataFrame:
-    """Drops zeros between a value and one that is not smaller, both within
-    ``within`` seconds: the counter went on, so the zero was misread."""
+def marked_false_zeros(reads: DataFrame, value: str = "k", name: str = "false_zero", within: float = 120.0, by: str = "stem", t: str = "t") -> DataFrame:
+    """``reads`` with ``name``: a zero between a value and one that is not smaller, both
+    within ``within`` seconds; the counter went on, so the zero was misread."""
     w = W.partitionBy(by).orderBy(t)
     some = F.when(F.col(value) > 0, F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
     before = F.last(some, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
@@ -123,7 +128,12 @@ def without_false_zeros(reads: DataFrame, value: str = "k", within: float = 120.
     falling = W.partitionBy(by).orderBy(F.desc(t)).rowsBetween(W.unboundedPreceding, -1)
     after = F.last(some, ignorenulls=True).over(falling)
     false = (F.col(value) == 0) & (F.col(t) - F.col("__b.t") <= within) & (F.col("__a.t") - F.col(t) <= within) & (F.col("__a.v") >= F.col("__b.v"))
-    return reads.withColumns({"__b": before, "__a": after}).where(~F.coalesce(false, F.lit(False))).drop("__a", "__b")
+    return reads.withColumns({"__b": before, "__a": after}).withColumn(name, F.coalesce(false, F.lit(False))).drop("__a", "__b")
+
+
+def without_false_zeros(reads: DataFrame, value: str = "k", within: float = 120.0, by: str = "stem", t: str = "t") -> DataFrame:
+    """``reads`` less the rows of ``marked_false_zeros``."""
+    return marked_false_zeros(reads, value, "__false", within, by, t).where("not __false").drop("__false")
 
 
 def first_change(reads: DataFrame, value: str = "d", least: int = 2, by: tuple[str, ...] = ("stem", "seg"), t: str = "t") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import islands
@@ -33,6 +34,27 @@ def split_skips(kills: DataFrame, reads: DataFrame, boundaries: DataFrame, low:
     return both.select("stem", F.explode(made).alias("e")).select("stem", "e.*")
 
 
+def injected(kills: DataFrame, reads: DataFrame, boundaries: DataFrame, low: int = 7) -> DataFrame:
+    """Kills and, where one reaches ``low`` and the next starts above the unreadable
+    value after it, two more: to the unreadable value and to the one above it.
+
+    The upper one is at the first reading of that value after the kill (until a
+    second after the next kill, whose time it has if there is none); the lower one
+    at a run of misses between: the last one before the first boundary there, else
+    the first.  Without such a run nothing is added."""
+    w = W.partitionBy("stem").orderBy("t", "to_k")
+    pair = kills.withColumns({"next_t": F.lead("t").over(w), "next_k": F.lead("from_k").over(w)}).where((F.col("to_k") == low) & (F.col("next_k") >= low + 2)).select("stem", "t", "next_t")
+    seen = reads.where((F.col("k") == low + 2) & (F.col("method") == "template")).select("stem", F.col("t").alias("x"))
+    first = pair.join(seen, "stem", "left").groupBy("stem", "t", "next_t").agg(F.min(F.when((F.col("x") > F.col("t")) & (F.col("x") <= F.col("next_t") + 1.0), F.col("x"))).alias("x"))
+    upper = first.select("stem", "t", F.coalesce("x", "next_t").alias("upper"))
+    edge = upper.join(boundaries.select("stem", F.col("t").alias("b")), "stem", "left").groupBy("stem", "t", "upper").agg(F.min(F.when((F.col("b") > F.col("t")) & (F.col("b") < F.col("upper")), F.col("b"))).alias("b"))
+    gaps = edge.join(gap_starts(reads), "stem").where("gap > t and gap < upper").groupBy("stem", "t", "upper").agg(F.max(F.when(F.col("gap") < F.col("b"), F.col("gap"))).alias("before"), F.min("gap").alias("first"))
+    number = lambda n: F.lit(n).cast("bigint")
+    lower = gaps.select("stem", F.coalesce("before", "first").alias("t"), number(low).alias("from_k"), number(low + 1).alias("to_k"))
+    above = gaps.select("stem", F.col("upper").alias("t"), number(low + 1).alias("from_k"), number(low + 2).alias("to_k"))
+    return kills.select("stem", "t", "from_k", "to_k").unionByName(lower).unionByName(above)
+
+
 def attributed(kills: DataFrame, cut: DataFrame, reads: DataFrame, grace: float = 10.0, most: int = 2) -> DataFrame:
     """Kills with the segment they belong to: one or two kills within ``grace`` after
     a boundary are the segment's before it, if the old value was seen there and

@@ -1,10 +1,10 @@
 """Settlement of a noisy counter into rounds.
 
-Stage 1 works on each segment of a recording by itself: native windows drop
-false zeros and unsupported values, then the best chain of readings is found and
-summed up in one row.  Stage 2 folds those few rows of a recording in order,
-carrying the counter over boundaries.  Both shuffle by keys that are bounded by
-the length of a recording.
+Readings and segments of a recording meet once, in windows over one shuffle by
+recording: each reading gets its segment, whether it is a false zero, its value's
+support and its segment's guard change as columns.  One grouped call a recording
+then finds the best chain of each segment and folds these in order, carrying the
+counter over boundaries.  Both are bounded by the length of a recording.
 
 Null counters count for nothing; a recording without readings gives rounds
 without kills; tied readings keep the order of ``t`` then ``rn``.
@@ -26,7 +26,7 @@ MAX_STEP, RESET_COST = 3, 2.0
 CARRY_SEC, GRACE_SEC, GRACE_KILLS = 180.0, 10.0, 2
 GUARD_SEC, EIGHT_READS = 2.0, 2
 
-_CHAIN = "stem string, seg long, s double, e double, k_samples long, chain_reads long, k_start long, k_end long, first_t double, last_t double, reset boolean, rises array<struct<t:double,n:long>>, outer_reads array<struct<t:double,k:long>>"
+_CHAIN = "stem string, seg long, s double, e double, k_samples long, chain_reads long, k_start long, k_end long, first_t double, last_t double, reset boolean"
 ROUNDS = "stem string, seg long, s double, e double, k_base long, k_start long, k_end long, kills long, kill_times array<double>, reset boolean, k_samples long, chain_reads long, guard_dropped long"
 
 
@@ -75,34 +75,94 @@ def best_chain(values: list[int], weights: list[float]) -> tuple[list[int], bool
     return chain[::-1], fell
 
 
-def _summary(rows: pd.DataFrame) -> pd.DataFrame:
+def prepared(reads: DataFrame, cut: DataFrame, guard: bool = True) -> DataFrame:
+    """Rows (stem, t, rn, k, conf, seg, s, e, use, anomaly) of all readings with a
+    counter, and one without for each segment.  ``seg`` is null outside the segments,
+    ``use`` marks what the chain may take, ``anomaly`` is the time of the segment's
+    first supported change of ``d``."""
+    d = F.col("d") if guard else F.lit(None).cast("bigint")
+    left = reads.select("stem", "t", "rn", "k", "conf", d.alias("d"), F.lit(1).alias("side"))
+    right = cut.select("stem", F.col("s").alias("t"), F.lit(0).alias("side"), F.struct("seg", "s", "e").alias("cut"))
+    both = left.where("k is not null or d is not null").unionByName(right, allowMissingColumns=True)
+    so_far = W.partitionBy("stem").orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("cut", F.last("cut", ignorenulls=True).over(so_far))
+    both = both.withColumn("cut", F.when(F.col("t") < F.col("cut.e"), F.col("cut"))).select("*", "cut.seg", "cut.s", "cut.e")
+    both = islands.marked_false_zeros(both, "k", "false_zero")
+    counts = F.col("k").isNotNull() & ~F.col("false_zero")
+    same = W.partitionBy("stem", "seg", "k")
+    use = counts & ((F.count_if(counts).over(same) >= SUPPORT_READS) | (F.max(F.when(counts, F.col("conf"))).over(same) >= SUPPORT_CONF))
+    both = both.withColumn("use", F.coalesce(use & F.col("seg").isNotNull(), F.lit(False)))
+    # the same as islands.first_change, as columns
+    seen = F.col("d").isNotNull() & (F.count("d").over(W.partitionBy("stem", "seg", "d")) >= SUPPORT_READS)
+    both = both.withColumn("seen", seen)
+    first = F.first(F.when(F.col("seen"), F.col("d")), ignorenulls=True).over(W.partitionBy("stem", "seg").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumn("changed", F.when(F.col("seen") & (F.col("d") != first), F.col("t")))
+    both = both.withColumn("anomaly", F.min("changed").over(W.partitionBy("stem", "seg")))
+    return both.where("k is not null or side = 0").select("stem", "t", "rn", "k", "conf", "seg", "s", "e", "use", "anomaly")
+
+
+@dataclass
+class _Chain:
+    """A segment's best chain: its rises (t, n), and all readings outside its span."""
+
+    seg: int
+    s: float
+    e: float
+    anomaly: float | None
+    k_samples: int
+    reads: int = 0
+    k_start: int | None = None
+    k_end: int | None = None
+    first_t: float | None = None
+    last_t: float | None = None
+    reset: bool = False
+    rises: list[tuple[float, int]] = field(default_factory=list)
+    outer: list[tuple[float, int]] = field(default_factory=list)
+
+
+def _chains(rows: pd.DataFrame) -> tuple[list[_Chain], list[tuple[float, int]]]:
+    """The chains of one recording's segments in order, and its readings outside them."""
     rows = rows.sort_values(["t", "rn"], kind="stable")
-    head = rows.iloc[0]
-    known = rows[rows.k.notna()]
-    use = known[known.use]
-    t, k = use.t.tolist(), [int(x) for x in use.k]
-    chain, fell = best_chain(k, use.conf.tolist()) if head.seg >= 0 else ([], False)
-    first, last = (t[chain[0]], t[chain[-1]]) if chain else (None, None)
-    outer = known if not chain else known[(known.t < first) | (known.t > last)]
-    out = {
-        "stem": head.stem, "seg": head.seg, "s": head.s, "e": head.e, "k_samples": len(known), "chain_reads": len(chain),
-        "k_start": k[chain[0]] if chain else None, "k_end": k[chain[-1]] if chain else None, "first_t": first, "last_t": last, "reset": fell,
-        "rises": [{"t": t[b], "n": k[b] - k[a]} for a, b in zip(chain, chain[1:], strict=False) if k[b] > k[a]],
-        "outer_reads": [{"t": float(x), "k": int(y)} for x, y in zip(outer.t, outer.k, strict=True)],
-    }
-    return pd.DataFrame([out]).astype({"k_start": "Int64", "k_end": "Int64"})
+    names = ("seg", "s", "e", "anomaly", "t", "k", "conf", "use")
+    by_seg: dict[int, list[tuple]] = {}
+    spans: dict[int, tuple] = {}
+    lost = []
+    for seg, s, e, anomaly, t, k, conf, use in zip(*(rows[c].tolist() for c in names), strict=True):
+        if seg is None or pd.isna(seg):
+            lost += [] if pd.isna(k) else [(t, int(k))]
+            continue
+        spans[int(seg)] = (s, e, None if pd.isna(anomaly) else anomaly)
+        own = by_seg.setdefault(int(seg), [])
+        if not pd.isna(k):
+            own.append((t, int(k), conf, use))
+    out = []
+    for seg in sorted(spans):
+        known = by_seg[seg]
+        use = [x for x in known if x[3]]
+        chain, fell = best_chain([x[1] for x in use], [x[2] for x in use])
+        made = _Chain(seg, *spans[seg], len(known), len(chain), reset=fell)
+        path = [use[i] for i in chain]
+        if path:
+            made.k_start, made.k_end, made.first_t, made.last_t = path[0][1], path[-1][1], path[0][0], path[-1][0]
+            made.rises = [(b[0], b[1] - a[1]) for a, b in zip(path, path[1:], strict=False) if b[1] > a[1]]
+        made.outer = [(x[0], x[1]) for x in known if not path or x[0] < made.first_t or x[0] > made.last_t]
+        out.append(made)
+    return out, lost
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    columns = [c.split()[:2] for c in schema.split(", ")]
+    return pd.DataFrame(rows, columns=[c for c, _ in columns]).astype({c: "Int64" for c, kind in columns if kind == "long"})
 
 
 def chains(reads: DataFrame, cut: DataFrame) -> DataFrame:
-    """Stage 1: one row a segment of ``cut`` (stem, seg, s, e)."""
-    known = reads.where("k is not null")
-    clean = islands.without_false_zeros(known).select("stem", "rn").withColumn("clean", F.lit(True))
-    placed = islands.assigned(known.select("stem", "rn", "t", "k", "conf"), cut)
-    lost = known.join(placed.select("stem", "rn"), ["stem", "rn"], "left_anti").select("stem", "rn", "t", "k", "conf", F.lit(-1).cast("bigint").alias("seg"), F.lit(0.0).alias("s"), F.lit(0.0).alias("e"))
-    good = supported(placed.join(clean, ["stem", "rn"])).select("stem", "rn").withColumn("use", F.lit(True))
-    rows = placed.withColumnsRenamed({"seg_start": "s", "seg_end": "e"}).unionByName(lost).join(good, ["stem", "rn"], "left").withColumn("use", F.coalesce("use", F.lit(False)))
-    none = cut.select("stem", F.lit(None).cast("bigint").alias("rn"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("double").alias("conf"), "seg", "s", "e", F.lit(False).alias("use"))
-    return rows.unionByName(none).groupBy("stem", "seg").applyInPandas(_summary, _CHAIN)
+    """The best chain of each segment of ``cut`` (stem, seg, s, e)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        stem = rows.stem.iloc[0]
+        return _frame([(stem, c.seg, c.s, c.e, c.k_samples, c.reads, c.k_start, c.k_end, c.first_t, c.last_t, c.reset) for c in _chains(rows)[0]], _CHAIN)
+
+    return prepared(reads, cut, guard=False).groupBy("stem").applyInPandas(run, _CHAIN)
 
 
 @dataclass
@@ -125,7 +185,7 @@ class _Round:
         self.times += [at] * n
 
 
-def _bases(x, r: _Round, before: _Round | None, carry: tuple[int, float] | None, raw: list[tuple[float, int]]) -> None:
+def _bases(x: _Chain, r: _Round, before: _Round | None, carry: tuple[int, float] | None, raw: list[tuple[float, int]]) -> None:
     """Sets the counter that the round began with."""
     held = carry[0] if carry else None
     if carry and x.first_t - carry[1] <= CARRY_SEC and 0 <= r.k_start - held <= MAX_STEP:
@@ -148,16 +208,17 @@ def _bases(x, r: _Round, before: _Round | None, carry: tuple[int, float] | None,
 
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    raw = [(o["t"], int(o["k"])) for x in rows.outer_reads for o in (x if x is not None else [])]
+    found, raw = _chains(rows)
+    raw = raw + [o for c in found for o in c.outer]
     rounds: list[_Round] = []
     carry: tuple[int, float] | None = None
-    for x in rows[rows.seg >= 0].sort_values("seg").itertuples():
-        r = _Round(x.seg, x.s, x.e, x.k_samples, x.chain_reads, reset=bool(x.reset))
+    for x in found:
+        r = _Round(x.seg, x.s, x.e, x.k_samples, x.reads, reset=x.reset)
         before = rounds[-1] if rounds else None
-        if x.chain_reads:
-            r.k_start, r.k_end = int(x.k_start), int(x.k_end)
-            for rise in x.rises:
-                r.times += [rise["t"]] * int(rise["n"])
+        if x.reads:
+            r.k_start, r.k_end = x.k_start, x.k_end
+            for t, n in x.rises:
+                r.times += [t] * n
             _bases(x, r, before, carry, raw)
             gap = r.k_start - r.k_base
             if gap > 0 and before and gap <= GRACE_KILLS and x.first_t - x.s <= GRACE_SEC:
@@ -166,27 +227,19 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
                 r.k_base = r.k_start
             elif gap > 0:
                 r.times = [x.s] * gap + r.times
-            if r.times and not pd.isna(x.anomaly):
+            if r.times and x.anomaly is not None:
                 kept = [t for t in r.times if t <= x.anomaly + GUARD_SEC]
                 r.dropped, r.times = len(r.times) - len(kept), kept
             r.kills = len(r.times)
             carry = (r.k_end, x.last_t)
         rounds.append(r)
     stem = rows.stem.iloc[0]
-    made = [(stem, r.seg, r.s, r.e, r.k_base, r.k_start, r.k_end, r.kills, sorted(r.times), r.reset, r.k_samples, r.chain_reads, r.dropped) for r in rounds]
-    names = [c.split()[0] for c in ROUNDS.split(", ")]
-    return pd.DataFrame(made, columns=names).astype({"k_base": "Int64", "k_start": "Int64", "k_end": "Int64"})
+    return _frame([(stem, r.seg, r.s, r.e, r.k_base, r.k_start, r.k_end, r.kills, sorted(r.times), r.reset, r.k_samples, r.chain_reads, r.dropped) for r in rounds], ROUNDS)
 
 
 def settled_rounds(reads: DataFrame, cut: DataFrame, guard: bool = True) -> DataFrame:
-    """Stage 2: rounds of ``reads`` (stem, rn, t, k, conf, d) over the segments ``cut``.
+    """Rounds of ``reads`` (stem, rn, t, k, conf, d) over the segments ``cut``.
 
     ``guard``: kills more than GUARD_SEC after the first supported change of ``d``
     in the segment do not count."""
-    summed = chains(reads, cut)
-    if guard:
-        seen = islands.assigned(reads.where("d is not null").select("stem", "t", "d"), cut)
-        changes = islands.first_change(seen)
-    else:
-        changes = cut.select("stem", "seg", F.lit(None).cast("double").alias("anomaly"))
-    return summed.join(changes, ["stem", "seg"], "left").groupBy("stem").applyInPandas(_settle, ROUNDS)
+    return prepared(reads, cut, guard).groupBy("stem").applyInPandas(_settle, ROUNDS)

@@ -16,7 +16,7 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle.settled_rounds(A.hud_reads(spark, sf_dir), sequences.cut(spark, sf_dir))
 
 
-plan("e12_best_chain")(lambda spark, sf_dir: settle.chains(A.hud_reads(spark, sf_dir), sequences.cut(spark, sf_dir)).where("seg >= 0").drop("outer_reads", "rises"))
+plan("e12_best_chain")(lambda spark, sf_dir: settle.chains(A.hud_reads(spark, sf_dir), sequences.cut(spark, sf_dir)))
 plan("e13_settled_rounds")(rounds)
 
 

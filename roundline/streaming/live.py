@@ -1,6 +1,6 @@
 """Live twins of the batch operators over unbounded readings.
 
-State per recording is a few values (a tracker keeps the sightings of its window);
+State per recording is a few values (a tracker keeps the readings of its window);
 rows of a micro-batch are taken in time order within a recording.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracker import EVENTS, Tracker
+from ..operators.islands import eliminated
+from ..operators.tracker import EVENTS, Evidence, observe
 
 _TRANSITIONS = "stem string, t_lo double, t_hi double, old long, new long, kind string"
 _ENDS = "stem string, t double, eliminated string"
@@ -60,47 +61,33 @@ def eliminations(stream: DataFrame, active: int = 3, ended: int = 3, gap: float
     """Ends of rounds from states (stem, t, state), thinned to one in ``gap`` seconds."""
 
     def step(state, rows):
-        live, gone, kind, since, waiting, kept = state or (0, 0, None, None, False, None)
         out = []
         for t, s in zip(rows.t, rows.state, strict=True):
-            if s == "active":
-                live, gone, kind, waiting = live + 1, 0, None, False
-            elif s == "unknown":
-                live, gone, kind = 0, 0, None
-            else:
-                gone, since = (gone + 1, since) if s == kind else (1, t)
-                kind = s
-                if not waiting and live >= active and gone >= ended:
-                    if kept is None or since - kept > gap:
-                        out.append((since, "red" if s == "red_eliminated" else "blue"))
-                        kept = since
-                    waiting, live = True, 0
-        return (live, gone, kind, since, waiting, kept), out
+            state, found = eliminated(state, t, s, active, ended, gap)
+            out += found
+        return state, out
 
     return _stateful(stream, _ENDS, "live long, gone long, kind string, since double, waiting boolean, kept double", step)
 
 
 def tracked(stream: DataFrame) -> DataFrame:
-    """Events of the evidence-window tracker from readings (stem, t, k, conf)."""
+    """Events of the evidence tracker from readings (stem, t, k, conf); a kill that is
+    taken back later is followed by an ``undo``."""
 
     def step(state, rows):
+        held = Evidence()
         if state:
-            value, values, times, confs, last = state
-            seen: dict[int, list[tuple[float, float]]] = {}
-            for v, t, c in zip(values, times, confs, strict=True):
-                seen.setdefault(int(v), []).append((t, c))
-            tracker = Tracker(value, seen, (last[0], int(last[1]), int(last[2])) if last else None)
-        else:
-            tracker = Tracker()
+            value, ts, ks, cs, zeros, since, last = state
+            held = Evidence(value, tuple((float(t), int(k), float(c)) for t, k, c in zip(ts, ks, cs, strict=True)), zeros, since, (last[0], int(last[1]), int(last[2])) if len(last) else None)
         out = []
         for x in rows.itertuples():
             if not pd.isna(x.k):
-                out += tracker.update(float(x.t), int(x.k), float(x.conf))
-        flat = [(v, t, c) for v, xs in tracker.seen.items() for t, c in xs]
-        last = [float(x) for x in tracker.last] if tracker.last else []
-        return (tracker.value, [v for v, _, _ in flat], [t for _, t, _ in flat], [c for _, _, c in flat], last), out
+                held, events = observe(held, float(x.t), int(x.k), float(x.conf))
+                out += events
+        ts, ks, cs = ([r[i] for r in held.recent] for i in range(3))
+        return (held.value, ts, ks, cs, held.zeros, held.zero_since, [float(x) for x in held.last or ()]), out
 
-    return _stateful(stream, EVENTS, "value long, vals array<long>, times array<double>, confs array<double>, last array<double>", step)
+    return _stateful(stream, EVENTS, "value long, ts array<double>, ks array<long>, cs array<double>, zeros long, since double, last array<double>", step)
 
 
 def boundary_runs(stream: DataFrame, status: str, least: int) -> DataFrame:
