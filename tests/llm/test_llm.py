@@ -639,12 +639,14 @@ def test_near_copies_planted_at_08_to_095(spark, monkeypatch, frequent):
     assert got == alike(rows)
 
 
-@pytest.mark.parametrize("few", [0, 4])
-def test_near_copies_turns(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "small", "chunk"), [(0, 2, 5), (1000, 2, 65_536), (1000, 32, 65_536)])
+def test_near_copies_turns(spark, monkeypatch, few, small, chunk):
     """Chains of copies, in which one leader does not reach all, and texts of few words."""
     from roundline.llm import shingle_join
 
     monkeypatch.setattr(shingle_join, "FEW", few)
+    monkeypatch.setattr(shingle_join, "SMALL", small)
+    monkeypatch.setattr(shingle_join, "CHUNK", chunk)
     rows = [(i, " ".join(f"c{k}" for k in range(3 * i, 3 * i + 60))) for i in range(30)]
     rows += [(100 + i, " ".join([*(f"c{k}" for k in range(80)), f"y{i}"])) for i in range(20)]
     rows += [(200, "a b"), (201, "A  b"), (202, "a b c"), (203, ""), (204, None)]
