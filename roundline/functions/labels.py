@@ -106,6 +106,7 @@ def is_generated_clip(path: Column) -> Column:
     return F.lower(name).rlike(r"^(doublekill|multikill|save|allkill|background)_[a-f0-9]{12}\.mp4$")
 
 
-def eligible(path: Column, duration: Column, chunk_marker: str = "_chunks", limit: float = 90.0) -> Column:
-    """Index rule: long background recordings stay out, their chunks are always in."""
-    return path.contains(chunk_marker) | ~path.contains("background") | (duration < limit)
+def eligible(label: Column, path: Column, duration: Column, chunk_marker: str = "_chunks", limit: float = 90.0) -> Column:
+    """Index rule: long recordings of the background class stay out, their chunks are
+    always in, and so is one whose length is not known."""
+    return (label != "background") | path.contains(chunk_marker) | F.coalesce(duration < limit, F.lit(True))

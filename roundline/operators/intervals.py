@@ -61,6 +61,21 @@ def latest_before(points: DataFrame, events: DataFrame, furthest: float, nearest
     return both.withColumn("__event", fresh).select(*points.columns, "__event.*")
 
 
+def nearest_middle(left: DataFrame, right: DataFrame, by: str = "stem", m: str = "m", id_col: str = "d") -> DataFrame:
+    """``left`` (by, m, ...) with ``gap`` and ``id_col`` of the nearest row of ``right``
+    (by, m, id_col) by middle, the smaller id of equally near ones: two running
+    values over the union of both."""
+    points = right.groupBy(by, F.col(m).alias("__at")).agg(F.min(id_col).alias("__id")).select(by, "__at", F.lit(1).alias("__side"), F.struct(F.col("__at").alias("m"), F.col("__id").alias("id")).alias("__p"))
+    both = left.withColumns({"__at": F.col(m), "__side": F.lit(0)}).unionByName(points, allowMissingColumns=True)
+    # a point at the same place comes first going up, and counts once
+    up = W.partitionBy(by).orderBy("__at", F.desc("__side")).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(by).orderBy(F.desc("__at"), "__side").rowsBetween(W.unboundedPreceding, 0)
+    near = both.withColumns({"__lo": F.last("__p", ignorenulls=True).over(up), "__hi": F.last("__p", ignorenulls=True).over(down)}).where("__side = 0")
+    lo, hi = (F.struct(F.abs(F.col(m) - F.col(f"{c}.m")).alias("gap"), F.col(f"{c}.id").alias("id")) for c in ("__lo", "__hi"))
+    best = F.least(F.when(F.col("__lo").isNotNull(), lo), F.when(F.col("__hi").isNotNull(), hi))
+    return near.withColumn("__b", best).select(*left.columns, F.col("__b.gap").alias("gap"), F.col("__b.id").alias(id_col))
+
+
 def greedy_matches(truth: DataFrame, found: DataFrame, tolerance: float = 15.0, by: str = "stem") -> DataFrame:
     """One-to-one matches: each true span (g1, g2) in order of ``idx`` takes the first
     unused detection (d1, d2) in order of ``idx`` that meets it within the

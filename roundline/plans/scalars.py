@@ -212,9 +212,9 @@ def layout(spark, sf_dir):
 
 
 @plan("b21_read_quality", views="hud", sql="""SELECT stem, CAST(coalesce(h / nullif(CAST(h + m + r AS DOUBLE), 0), -1) AS DOUBLE) AS quality FROM (
-  SELECT stem, count(*) FILTER (k IS NOT NULL AND stem <> 'v03') AS h, count(*) FILTER (method = 'template_miss' AND stem <> 'v03') AS m, count(*) FILTER (method = 'row_miss' AND stem <> 'v03') AS r FROM hud GROUP BY stem)""")
+  SELECT stem, count(*) FILTER (k IS NOT NULL AND stem <> 'v00003') AS h, count(*) FILTER (method = 'template_miss' AND stem <> 'v00003') AS m, count(*) FILTER (method = 'row_miss' AND stem <> 'v00003') AS r FROM hud GROUP BY stem)""")
 def read_quality(spark, sf_dir):
-    on = F.col("stem") != "v03"
+    on = F.col("stem") != "v00003"
     c = A.hud_reads(spark, sf_dir).groupBy("stem").agg(F.count_if(F.col("k").isNotNull() & on).alias("h"), F.count_if((F.col("method") == "template_miss") & on).alias("m"), F.count_if((F.col("method") == "row_miss") & on).alias("r"))
     return c.select("stem", guards.read_quality(F.col("h"), F.col("m"), F.col("r")).alias("quality"))
 
@@ -236,9 +236,9 @@ def ace_predicate(spark, sf_dir):
     return x.select("stem", "part", guards.is_width_zero(F.col("ts")).alias("width_zero"), guards.is_ace(F.col("n"), F.col("resets"), F.col("ts"), F.col("samples")).alias("ace"))
 
 
-@plan("b24_run_selection", views="det", sql="SELECT DISTINCT stem FROM (SELECT stem, max(d2) - min(d1) AS length FROM det WHERE stem > 'v05' GROUP BY stem HAVING max(d2) - min(d1) >= 900 ORDER BY stem LIMIT 12)")
+@plan("b24_run_selection", views="det", sql="SELECT DISTINCT stem FROM (SELECT stem, max(d2) - min(d1) AS length FROM det WHERE stem > 'v00002' GROUP BY stem HAVING max(d2) - min(d1) >= 900 ORDER BY stem LIMIT 12)")
 def run_selection(spark, sf_dir):
-    runs = A.detections(spark, sf_dir).where("stem > 'v05'").groupBy("stem").agg((F.max("d2") - F.min("d1")).alias("length"))
+    runs = A.detections(spark, sf_dir).where("stem > 'v00002'").groupBy("stem").agg((F.max("d2") - F.min("d1")).alias("length"))
     return runs.where("length >= 900").orderBy("stem").limit(12).select("stem")
 
 
@@ -252,9 +252,10 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(head, name, F.lit(".mp4")).alias("path"), (i % 200).cast("double").alias("d"))
 
 
-@plan("b25_index_eligibility", views="gt", sql=_PATHS + " SELECT o_orderkey, contains(path, '_chunks') OR NOT contains(path, 'background') OR d < 90 AS eligible FROM p")
+@plan("b25_index_eligibility", views="gt", sql=_PATHS + " SELECT o_orderkey, split_part(path, '/', 1) <> 'background' OR contains(path, '_chunks') OR coalesce(nullif(d, 0) < 90, true) AS eligible FROM p")
 def index_eligibility(spark, sf_dir):
-    return _paths(spark, sf_dir).select("o_orderkey", labels.eligible(F.col("path"), F.col("d")).alias("eligible"))
+    p = _paths(spark, sf_dir).withColumn("d", F.nullif("d", F.lit(0.0)))  # some lengths are not known
+    return p.select("o_orderkey", labels.eligible(F.split("path", "/")[0], F.col("path"), F.col("d")).alias("eligible"))
 
 
 @plan("b26_generated_clips", views="gt", sql=_PATHS + " SELECT o_orderkey, path FROM p WHERE NOT regexp_full_match(lower(regexp_extract(path, '([^/]*)$', 1)), '(doublekill|multikill|save|allkill|background)_[a-f0-9]{12}\\.mp4')")
@@ -399,15 +400,23 @@ def normal_names(spark, sf_dir):
     return A.votes(spark, sf_dir).select("ord", names.normal(t).alias("normal"), names.stripped(t).alias("stripped"), names.core(t).alias("core"))
 
 
-@plan("s4_levenshtein", views="votes", sql=f"SELECT a.ord AS a, b.ord AS b, levenshtein({_STRIP('a.text')}, {_STRIP('b.text')}) AS distance FROM votes a JOIN votes b ON a.stem = b.stem AND b.ord > a.ord AND b.ord <= a.ord + 60")
+_DISTINCT = ", s AS (SELECT DISTINCT stem, " + _STRIP("text") + " AS text FROM votes)"
+
+
+@plan("s4_levenshtein", views="votes", sql=_DISTINCT + " SELECT a.stem, a.text AS x, b.text AS y, levenshtein(a.text, b.text) AS distance FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text")
 def levenshtein(spark, sf_dir):
-    v = A.votes(spark, sf_dir)
-    return _pairs(v).select("a", "b", F.levenshtein(names.stripped(F.col("x")), names.stripped(F.col("y"))).cast("bigint").alias("distance"))
+    return _pairs(spark, sf_dir).select("stem", "x", "y", F.levenshtein("x", "y").cast("bigint").alias("distance"))
 
 
-def _pairs(v: DataFrame) -> DataFrame:
-    a, b = v.select("stem", F.col("ord").alias("a"), F.col("text").alias("x")), v.select("stem", F.col("ord").alias("b"), F.col("text").alias("y"))
-    return a.join(b, "stem").where("b > a and b <= a + 60")
+def distinct_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(stem, x, y): the distinct texts of a recording on either side."""
+    return left.distinct().select("stem", F.col("text").alias("x")).join(right.distinct().select("stem", F.col("text").alias("y")), "stem")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # of kept characters, as DuckDB's distance counts bytes
+    v = A.votes(spark, sf_dir).select("stem", names.stripped(F.col("text")).alias("text"))
+    return distinct_pairs(v, v).where("y > x")
 
 
 _NEAR_NULL = """CASE ord % 6 WHEN 0 THEN 'nu11' WHEN 1 THEN ' Null ' WHEN 2 THEN 'nulk' WHEN 3 THEN 'nothing' WHEN 4 THEN text ELSE 'mull' END"""
@@ -422,14 +431,11 @@ def null_names(spark, sf_dir):
     return v.select("ord", names.is_null_name(names.normal(n)).alias("is_null_name"), names.is_null_text(n).alias("is_null_text"), names.canonical(n).alias("canonical"))
 
 
-@plan("s6_s8_name_match", views="votes", sql=f""", s AS (SELECT stem, ord, {_STRIP('text')} AS text FROM votes)
-SELECT a.ord AS a, b.ord AS b, {sql_match(_NORM('a.text'), _NORM('b.text'))} AS matched, {sql_cores('a.text', 'b.text')} AS cores, round({sql_score('a.text', 'b.text')}, 9) AS score
- FROM s a JOIN s b ON a.stem = b.stem AND b.ord > a.ord AND b.ord <= a.ord + 60""")
+@plan("s6_s8_name_match", views="votes", sql=_DISTINCT + f""" SELECT a.stem, a.text AS x, b.text AS y, {sql_match(_NORM('a.text'), _NORM('b.text'))} AS matched, {sql_cores('a.text', 'b.text')} AS cores, round({sql_score('a.text', 'b.text')}, 9) AS score
+ FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text""")
 def name_match(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
-    # of kept characters, as DuckDB's distance counts bytes
-    v = A.votes(spark, sf_dir).withColumn("text", names.stripped(F.col("text")))
-    return _pairs(v).select("a", "b", names.texts_match(x, y).alias("matched"), names.cores_match(x, y).alias("cores"), F.round(names.match_score(x, y), 9).alias("score"))
+    return _pairs(spark, sf_dir).select("stem", "x", "y", names.texts_match(x, y).alias("matched"), names.cores_match(x, y).alias("cores"), F.round(names.match_score(x, y), 9).alias("score"))
 
 
 _HEADERS = ["스카우터 (L)", "스카무터2 (L)", "Scouter Z", "(L)", "player one", "  ", "[]", "K 12/3", "win", "x", "77 12", "스무무터"]

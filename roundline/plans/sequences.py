@@ -100,12 +100,20 @@ def merged_windows(spark, sf_dir):
     return islands.merged_windows(w, order=("start", "idx"))
 
 
-@plan("e6_thinned_events")
+@plan("e6_thinned_events", views="probs", sql=""", p AS MATERIALIZED (SELECT stem, t FROM probs WHERE prob >= 0.6),
+ k(stem, t) AS (SELECT stem, min(t) FROM p GROUP BY stem UNION ALL SELECT k.stem, min(p.t) FROM k JOIN p ON p.stem = k.stem AND p.t - k.t > 3 GROUP BY k.stem)
+SELECT stem, t FROM k""")
 def thinned(spark, sf_dir):
     return islands.thinned(A.frame_probs(spark, sf_dir).where("prob >= 0.6"))
 
 
-@plan("e7_streak_ends")
+@plan("e7_streak_ends", views="score", sql=""", s AS MATERIALIZED (SELECT stem, t, row_number() OVER (PARTITION BY stem ORDER BY t) AS r, CASE WHEN red IS NULL OR blue IS NULL THEN 'unknown' WHEN red = 0 AND blue > 0 THEN 'red_eliminated' WHEN blue = 0 AND red > 0 THEN 'blue_eliminated' WHEN red > 0 AND blue > 0 THEN 'active' ELSE 'unknown' END AS s FROM score),
+ f(stem, r, live, gone, kind, since, waiting, kept, hit) AS (SELECT DISTINCT stem, 0::BIGINT, 0, 0, NULL::VARCHAR, NULL::DOUBLE, false, NULL::DOUBLE, false FROM s UNION ALL
+  SELECT stem, r, CASE WHEN s = 'active' THEN live + 1 WHEN fire OR s = 'unknown' THEN 0 ELSE live END, g, CASE WHEN lost THEN s END, since2, CASE WHEN s = 'active' THEN false ELSE waiting OR fire END, CASE WHEN hit THEN since2 ELSE kept END, hit FROM (
+   SELECT *, fire AND (kept IS NULL OR since2 - kept > 3) AS hit FROM (SELECT *, lost AND NOT waiting AND live >= 3 AND g >= 3 AS fire FROM (
+    SELECT s.stem, s.r, s.s, f.live, f.waiting, f.kept, s.s LIKE '%eliminated' AS lost, CASE WHEN s.s NOT LIKE '%eliminated' THEN 0 WHEN f.kind = s.s THEN f.gone + 1 ELSE 1 END AS g,
+     CASE WHEN s.s LIKE '%eliminated' AND f.kind IS DISTINCT FROM s.s THEN s.t ELSE f.since END AS since2 FROM f JOIN s ON s.stem = f.stem AND s.r = f.r + 1))))
+SELECT stem, since AS t, replace(kind, '_eliminated', '') AS eliminated FROM f WHERE hit""")
 def streak_ends(spark, sf_dir):
     s = A.score_reads(spark, sf_dir)
     return islands.streak_ends(s.withColumn("state", guards.elimination_state(F.col("red"), F.col("blue"))))
@@ -232,6 +240,6 @@ def longest_streak(spark, sf_dir):
     return r.groupBy("stem", "run").agg(F.count("*").alias("n")).groupBy("stem").agg(F.max("n").alias("longest"))
 
 
-@plan("a19_window_dump", views="hud", sql="SELECT * FROM hud WHERE stem = 'v07' AND t BETWEEN 300 AND 420")
+@plan("a19_window_dump", views="hud", sql="SELECT * FROM hud WHERE stem = 'v00001' AND t BETWEEN 300 AND 420")
 def window_dump(spark, sf_dir):
-    return A.hud_reads(spark, sf_dir).where((F.col("stem") == "v07") & F.col("t").between(300, 420))
+    return A.hud_reads(spark, sf_dir).where((F.col("stem") == "v00001") & F.col("t").between(300, 420))

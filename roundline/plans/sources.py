@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..sources import adapters as A
@@ -39,10 +40,10 @@ def baseline(spark, sf_dir):
     return files.read_baseline(spark, path)
 
 
-@plan("a6_a7_optional_channels", views="hud score", sql=", s AS (SELECT stem, count(red) AS n FROM score WHERE stem < 'v10' GROUP BY stem) SELECT h.stem, count(*) AS reads, any_value(s.n) AS score_reads, any_value(s.n) IS NOT NULL AS active FROM hud h LEFT JOIN s ON s.stem = h.stem GROUP BY h.stem")
+@plan("a6_a7_optional_channels", views="hud score", sql=", s AS (SELECT stem, count(red) AS n FROM score WHERE stem < 'v00009' GROUP BY stem) SELECT h.stem, count(*) AS reads, any_value(s.n) AS score_reads, any_value(s.n) IS NOT NULL AS active FROM hud h LEFT JOIN s ON s.stem = h.stem GROUP BY h.stem")
 def optional_channels(spark, sf_dir):
     """A recording without the channel keeps null: the feature is off."""
-    s = A.score_reads(spark, sf_dir).where("stem < 'v10'").groupBy("stem").agg(F.count("red").alias("score_reads"))
+    s = A.score_reads(spark, sf_dir).where("stem < 'v00009'").groupBy("stem").agg(F.count("red").alias("score_reads"))
     h = A.hud_reads(spark, sf_dir).groupBy("stem").agg(F.count("*").alias("reads"))
     return h.join(s, "stem", "left").withColumn("active", F.col("score_reads").isNotNull())
 
@@ -88,3 +89,23 @@ def identities(spark, sf_dir):
     n = F.col("samples")
     s.select("stem", F.when(n % 2 == 0, F.concat(F.lit("name"), n.cast("string"))).alias("nickname"), F.when(n % 3 == 0, 0.5).alias("confidence"), F.when(n % 5 == 0, "direct").alias("mode"), "samples").write.json(path)
     return files.read_identities(spark, path)
+
+
+@plan("a12_media_inventory")
+def media_inventory(spark, sf_dir):
+    """The files of the given tables, as a recording folder is listed; contents are not read."""
+    return files.media_inventory(spark, sf_dir, ("parquet",)).groupBy("name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+@plan("a14_write_guard", views="hud", sql="SELECT stem, count(*) AS reads, true AS refused FROM hud GROUP BY stem")
+def write_guard(spark, sf_dir):
+    """A table written once, read back after a second write was refused."""
+    path = f"{files.scratch(spark, 'guard')}/reads"
+    n = A.hud_reads(spark, sf_dir).groupBy("stem").agg(F.count("*").alias("reads"))
+    files.write_table(n, path)
+    try:
+        files.write_table(n, path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.option("header", True).schema("stem string, reads long").csv(path).withColumn("refused", F.lit(refused))

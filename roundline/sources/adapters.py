@@ -1,12 +1,16 @@
 """Views that give the library's shapes to general fixture tables.
 
 ``reads`` and the others are the shapes that operators take; a user with tables
-of these shapes needs none of the adapters.  All are projections over one scan;
-``events`` is numbered within each recording by one window.
+of these shapes needs none of the adapters.  All are projections over one scan of
+the whole table; ``events`` is numbered within each recording by one window.  A
+recording takes a fixed number of users, customers or suppliers, so the number of
+recordings grows with the tables.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,16 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _stem(number: Column) -> Column:
-    return F.concat(F.lit("v"), F.lpad(number.cast("string"), 2, "0"))
+#: users, suppliers and customers of one recording
+USERS, SUPPLIERS, CUSTOMERS = 8, 5, 40
+
+
+def stem(column: str, size: int) -> Column:
+    return F.concat(F.lit("v"), F.lpad(F.expr(f"{column} div {size}").cast("string"), 5, "0"))
 
 
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``stem``, ``rn`` in time order and ``t`` in seconds."""
     e = table(spark, sf_dir, "events")
     start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    rn = F.row_number().over(W.partitionBy(F.col("user_id") % 20).orderBy("ts", "event_id")).cast("bigint")
-    return e.select("*", _stem(F.col("user_id") % 20).alias("stem"), rn.alias("rn"), ((F.unix_micros(F.col("ts").cast("timestamp")) - start) / F.lit(1440e6)).alias("t"))
+    e = e.withColumn("stem", stem("user_id", USERS))
+    rn = F.row_number().over(W.partitionBy("stem").orderBy("ts", "event_id")).cast("bigint")
+    return e.select("*", rn.alias("rn"), ((F.unix_micros(F.col("ts").cast("timestamp")) - start) / F.lit(1440e6)).alias("t"))
 
 
 def hud_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +63,14 @@ def _day(column: str) -> Column:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stem, idx, d1, d2): detected spans."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    return o.select(_stem(F.col("o_custkey") % 40).alias("stem"), F.col("o_orderkey").alias("idx"), _day("o_orderdate").alias("d1"), (_day("o_orderdate") + F.col("o_orderkey") % 9).alias("d2"))
+    """(stem, idx, d1, d2): detected spans, up to 20 days off the order's date."""
+    start = _day("o_orderdate") + F.expr("(o_orderkey * 7) % 41 - 20")
+    return table(spark, sf_dir, "orders").select(stem("o_custkey", CUSTOMERS).alias("stem"), F.col("o_orderkey").alias("idx"), start.alias("d1"), (start + F.col("o_orderkey") % 9).alias("d2"))
 
 
 def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stem, idx, g1, g2): true spans."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 1")
-    return o.select(_stem(F.col("o_custkey") % 40).alias("stem"), F.col("o_orderkey").alias("idx"), _day("o_orderdate").alias("g1"), (_day("o_orderdate") + 5).alias("g2"))
+    """(stem, idx, g1, g2): true spans from the order's date."""
+    return table(spark, sf_dir, "orders").select(stem("o_custkey", CUSTOMERS).alias("stem"), F.col("o_orderkey").alias("idx"), _day("o_orderdate").alias("g1"), (_day("o_orderdate") + 5).alias("g2"))
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +83,7 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stem, rn, line, row_index, team, kills, deaths): scoreboard rows."""
     i = ((F.col("l_linenumber") - 1) % 6).cast("bigint")
-    return table(spark, sf_dir, "lineitem").select(_stem(F.col("l_suppkey") % 20).alias("stem"), F.col("l_orderkey").alias("rn"), F.col("l_linenumber").cast("bigint").alias("line"), i.alias("row_index"), F.when(i < 3, "red").otherwise("blue").alias("team"), F.col("l_quantity").cast("bigint").alias("kills"), F.when(F.col("l_linenumber") != 3, F.col("l_partkey") % 30).alias("deaths"))
+    return table(spark, sf_dir, "lineitem").select(stem("l_suppkey", SUPPLIERS).alias("stem"), F.col("l_orderkey").alias("rn"), F.col("l_linenumber").cast("bigint").alias("line"), i.alias("row_index"), F.when(i < 3, "red").otherwise("blue").alias("team"), F.col("l_quantity").cast("bigint").alias("kills"), F.when(F.col("l_linenumber") != 3, F.col("l_partkey") % 30).alias("deaths"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +95,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: the same views as DuckDB common table expressions
 SQL = {
-    "ev": """SELECT *, concat('v', lpad(CAST(user_id % 20 AS VARCHAR), 2, '0')) AS stem,
-      row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS rn,
+    "ev": """SELECT *, concat('v', lpad(CAST(user_id // 8 AS VARCHAR), 5, '0')) AS stem,
+      row_number() OVER (PARTITION BY user_id // 8 ORDER BY ts, event_id) AS rn,
       (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / CAST(1440e6 AS DOUBLE) AS t FROM events""",
     "hud": """SELECT stem, rn, t,
       CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 17 = 0 THEN 0 WHEN event_id % 23 = 0 THEN rn // 20 + 7 ELSE rn // 20 END END AS k,
@@ -100,16 +108,16 @@ SQL = {
       CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 29 = 0 THEN 9 ELSE (rn // 12) % 6 END AS red,
       CASE WHEN event_type <> 'signup' THEN (rn // 18) % 6 END AS blue FROM ev""",
     "probs": "SELECT stem, rn, t, least(CAST(1 AS DOUBLE), value / 100) AS prob FROM ev",
-    "det": """SELECT concat('v', lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0')) AS stem, o_orderkey AS idx,
-      CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS d1,
-      CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) + o_orderkey % 9 AS d2 FROM orders WHERE o_orderkey % 3 = 0""",
-    "gt": """SELECT concat('v', lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0')) AS stem, o_orderkey AS idx,
+    "det": """SELECT concat('v', lpad(CAST(o_custkey // 40 AS VARCHAR), 5, '0')) AS stem, o_orderkey AS idx,
+      CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + (o_orderkey * 7) % 41 - 20 AS DOUBLE) AS d1,
+      CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + (o_orderkey * 7) % 41 - 20 + o_orderkey % 9 AS DOUBLE) AS d2 FROM orders""",
+    "gt": """SELECT concat('v', lpad(CAST(o_custkey // 40 AS VARCHAR), 5, '0')) AS stem, o_orderkey AS idx,
       CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS g1,
-      CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) + 5 AS g2 FROM orders WHERE o_orderkey % 20 = 1""",
+      CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) + 5 AS g2 FROM orders""",
     "votes": """SELECT source AS stem, doc_id AS ord, split_part(replace(text, chr(10), ' '), ' ', 1) AS text,
       CASE lang WHEN 'en' THEN CAST(2.5 AS DOUBLE) WHEN 'fr' THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS weight,
       CAST(n_chars % 100 AS DOUBLE) / 100 AS conf FROM documents""",
-    "sb": """SELECT concat('v', lpad(CAST(l_suppkey % 20 AS VARCHAR), 2, '0')) AS stem, l_orderkey AS rn, CAST(l_linenumber AS BIGINT) AS line,
+    "sb": """SELECT concat('v', lpad(CAST(l_suppkey // 5 AS VARCHAR), 5, '0')) AS stem, l_orderkey AS rn, CAST(l_linenumber AS BIGINT) AS line,
       CAST((l_linenumber - 1) % 6 AS BIGINT) AS row_index, CASE WHEN (l_linenumber - 1) % 6 < 3 THEN 'red' ELSE 'blue' END AS team,
       CAST(l_quantity AS BIGINT) AS kills, CASE WHEN l_linenumber <> 3 THEN l_partkey % 30 END AS deaths FROM lineitem""",
     "preds": """SELECT l.doc_id, CAST(l.quality AS BIGINT) AS label, CAST(CASE WHEN n_chars % 5 < 3 THEN 1 ELSE 0 END AS BIGINT) AS pred,
@@ -127,4 +135,5 @@ def with_views(names: str, body: str) -> str:
     views = ",\n".join(f"{n} AS ({SQL[n]})" for n in used)
     if not views:
         return body
-    return f"WITH {views}{'' if body.startswith(',') else chr(10)}{body}"
+    recursive = "RECURSIVE " if " UNION ALL" in body and re.search(r"\w+\([\w, ]+\) AS \(", body) else ""
+    return f"WITH {recursive}{views}{'' if body.startswith(',') else chr(10)}{body}"

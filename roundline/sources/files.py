@@ -21,9 +21,12 @@ _TIMELINE = "stem string, rounds array<struct<seg:bigint,s:double,e:double,kills
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; of this machine only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset a local session
+    takes one of its machine, and a cluster is refused (ValueError)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.conf.get("spark.master", "local").partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -150,7 +153,7 @@ def read_timeline_text(spark: SparkSession, path: str) -> DataFrame:
     return parsed_timeline(spark.read.text(path))
 
 
-def media_inventory(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("mp4", "mkv", "mov", "avi")) -> DataFrame:
+def media_inventory(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("mp4", "mkv", "mov", "avi", "webm")) -> DataFrame:
     """(path, name, length, modified) of files below ``path``; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))

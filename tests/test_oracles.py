@@ -9,7 +9,7 @@ from roundline import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 #: without SQL: covered by tests of their own
-MAY_BE_EMPTY = {"e18_skip_repair", "e7_streak_ends", "l2_live_eliminations", "e17_tracker", "l3_live_tracker", "a18_replay_clips", "l5_live_runs"}
+MAY_BE_EMPTY = {"e18_skip_repair", "l2_live_eliminations"}
 #: variants of what the tests of the settlement and the verdicts run already
 RUN_ELSEWHERE = {"e12_best_chain", "e13_settled_rounds", "e14_kill_events", "a17_timeline_report", "a3_a13_timelines", "e19_kill_attribution", "d6_recall_precision", "c1_greedy_matches", "k4_tree_scores", "k5_k6_out_of_fold", "j7_cluster_summary", "c14_own_cluster"}
 
