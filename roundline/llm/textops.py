@@ -15,7 +15,7 @@ import xxhash
 
 U64 = np.uint64
 #: bytes of text that a helper works on at once; a longer single text is its own block
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: strings longer than this are hashed one by one by the xxhash library
 LONG_BYTES = 2048
 
@@ -215,6 +215,7 @@ def text_blocks(texts: Iterable[str | None], limit: int = BLOCK_BYTES) -> Iterat
         yield first, block
 
 
-def column_bytes(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null is empty."""
-    return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
+def column_bytes(column: pa.Array, rows: int = 512) -> Iterator[bytes]:
+    """The UTF-8 bytes of a string column, some ``rows`` at a time; null is empty."""
+    for at in range(0, len(column), rows):
+        yield from (v or b"" for v in column.slice(at, rows).cast(pa.large_binary()).to_pylist())
