@@ -131,6 +131,38 @@ def test_op1_grades(spark, data):
     assert queries.queries()["op1_ordinal_quality"](spark, data).count() == 200
 
 
+def test_op1_equals_brute_force(spark):
+    """Features, scores and probabilities by plain Python; the thresholds are the best for their weights."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = ordinal_quality.graded(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    model = ordinal_quality.train(d, labels)
+    w, space = model.weights, ordinal_quality.BUCKETS - 4 * 21
+
+    def score(text):
+        raw = (text or "").encode()
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+        cells = {xxhash.xxh64_intdigest(x, 1) % space for x in words}
+        marks = len(re.findall(rb"[^0-9A-Za-z\x80-\xff \t-\r]", raw))
+        size, n = max(1, len(raw)), max(1, len(words))
+        shape = (len(re.findall(rb"[A-Z]", raw)) / size, 2 * marks / size, len(cells) / n, size / n / 20)
+        bands = [space + 21 * j + int(20 * min(1, x)) for j, x in enumerate(shape)]
+        return sum(float(w[c]) for c in cells) / max(1, len(cells)) ** 0.5 + sum(float(w[b]) for b in bands)
+
+    def probabilities(s, thresholds):
+        below = [0.0, *(1 / (1 + np.exp(s - t)) for t in thresholds), 1.0]
+        return np.diff(below)
+
+    got = {r.doc_id: r for r in ordinal_quality.assess(d, model, 2).collect()}
+    for r in list(got.values())[:80]:
+        p = probabilities(score(r.text), model.thresholds)
+        assert r.expected_grade == pytest.approx(p @ model.grades, abs=1e-4) and r.tail == pytest.approx(p[2], abs=1e-4)
+        assert r.accepted == (r.tail >= 0.6)
+    rated = [(score(got[r.doc_id].text), r.grade) for r in labels.where("grade is not null").collect()]
+    fit = lambda thresholds: np.mean([np.log(max(1e-12, probabilities(s, thresholds)[g])) for s, g in rated])
+    best = fit(model.thresholds)
+    assert best > fit([-1.0, 1.0]) and all(fit(model.thresholds + np.array(move)) < best + 1e-3 for move in ([0.2, 0], [-0.2, 0], [0, 0.2], [0, -0.2]))
+
+
 def test_op1_edges(spark, odd_docs):
     rated = spark.createDataFrame([(1, 0), (4, 2), (None, 1), (2, None), (1, 2)], "doc_id long, grade int")
     model = ordinal_quality.train(odd_docs, rated)
