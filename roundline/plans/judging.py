@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import guards, times
 from ..operators import islands, settle
 from ..sources import adapters as A
+from ..sources import files
 from . import sequences
 from .base import plan
 
 
-def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle.settled_rounds(A.hud_reads(spark, sf_dir), sequences.cut(spark, sf_dir))
+def rounds(spark: SparkSession, sf_dir: str, cut: DataFrame | None = None) -> DataFrame:
+    return settle.settled_rounds(A.hud_reads(spark, sf_dir), sequences.cut(spark, sf_dir) if cut is None else cut)
 
 
 plan("e12_best_chain")(lambda spark, sf_dir: settle.chains(A.hud_reads(spark, sf_dir), sequences.cut(spark, sf_dir)))
@@ -23,11 +24,12 @@ plan("e13_settled_rounds")(rounds)
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds with first and last kill, the ace verdict, and its revocation where
     all kills share one instant and two or more score events fall in the round."""
-    r = rounds(spark, sf_dir)
+    cut = files.written(sequences.cut(spark, sf_dir), "segments")  # used twice, a few rows a recording
+    r = rounds(spark, sf_dir, cut)
     kt = F.col("kill_times")
     judged = r.withColumns({"first_kill": F.get(kt, F.lit(0)), "ace_sec": F.get(kt, F.lit(2)), "ace": guards.is_ace(F.col("kills"), F.col("reset").cast("int"), kt, F.col("k_samples")), "width_zero": guards.is_width_zero(kt)})
     wins = sequences.score_events(spark, sf_dir).where("kind = 'win'").select("stem", F.col("t_hi").alias("t"))
-    n = islands.assigned(wins, sequences.cut(spark, sf_dir)).groupBy("stem", "seg").agg(F.count("*").alias("wins"))
+    n = islands.assigned(wins, cut).groupBy("stem", "seg").agg(F.count("*").alias("wins"))
     both = judged.join(n, ["stem", "seg"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
     revoked = F.col("ace") & F.col("width_zero") & (F.col("wins") >= 2)
     return both.withColumns({"end_reason": F.when(revoked, "score_wins_split").otherwise("boundary"), "ace": F.col("ace") & ~revoked})

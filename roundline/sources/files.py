@@ -32,6 +32,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: its lineage ends here and no row is computed twice."""
+    path = f"{scratch(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
