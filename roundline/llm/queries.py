@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_language, block_topk, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards, warc
+from . import bayes_language, block_topk, collocations, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards, warc
 
 _OPERATORS = (
     ordinal_quality.op1_ordinal_quality,
@@ -19,6 +19,7 @@ _OPERATORS = (
     simhash.op8_simhash,
     substring_dedup.op9_substring,
     bayes_language.op10_language,
+    collocations.op11_collocations,
 )
 
 
@@ -82,5 +83,33 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, unnest(list_transform(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]'), lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) AS w FROM d
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), runs AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 6) t(m) WHERE len(w) >= m)
+), f AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS a FROM runs GROUP BY lang, m, phrase HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, m, phrase, a, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS w FROM f WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n, CAST(CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 :], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest s
+  WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.lang = s.lang AND b.phrase <> s.phrase AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.a >= 100 * s.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_block_topk": _OP3, "op6_warc": _OP6, "op9_substring": _OP9}
+    return {"op3_block_topk": _OP3, "op6_warc": _OP6, "op9_substring": _OP9, "op11_collocations": _OP11}
