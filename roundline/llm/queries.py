@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_language, block_topk, collocations, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards, warc
+from . import bayes_language, block_topk, collocations, conversation_repair, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards, warc
 
 _OPERATORS = (
     ordinal_quality.op1_ordinal_quality,
@@ -20,6 +20,7 @@ _OPERATORS = (
     substring_dedup.op9_substring,
     bayes_language.op10_language,
     collocations.op11_collocations,
+    conversation_repair.op12_repair,
 )
 
 
@@ -111,5 +112,61 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
 
+def _edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+
+def _insert(state: str, role: str) -> str:
+    return _edit(state, "5", "I", f"chr(10) || '{role}:'")
+
+
+def _keep(state: str, initial: str) -> str:
+    return _edit(state, f"stay + CASE WHEN c = '{initial}' THEN 0 ELSE 1000000 END", "K", "chr(10) || role || ':' || text")
+
+
+def _rerole(state: str, role: str) -> str:
+    return _edit(state, "stay + 1", "R", f"chr(10) || '{role}:' || text")
+
+
+_NEVER = "{'c': 1000000::BIGINT, 'a': '', 't': ''}"
+#: a step of the recursion is a row of a conversation: e, s, u, a hold the cheapest edits that end in each state
+_OP12 = f"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda b: CAST(ascii(b) AS BIGINT))),
+      lambda x, b: list_reduce(list_prepend(xor(x, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 20 AS code
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM coded WHERE code <> 0
+), numbered AS (
+  SELECT *, left(role, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS bare
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged)
+), f AS MATERIALIZED (
+  SELECT *, CASE fault WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 1000000 END AS stay FROM (
+    SELECT *, CASE WHEN bare = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+      lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM numbered)
+), walk(conv_id, i, e, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 't': ''}}, {_NEVER}, {{'c': 5::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}}, {{'c': 10::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT conv_id, i, e, s, u, least(a, {_insert("u", "assistant")}) FROM (
+    SELECT conv_id, i, e, s, a, least(u, {_insert("e", "user")}, {_insert("s", "user")}, {_insert("a", "user")}) AS u FROM (
+      SELECT w.conv_id, f.i, {_edit("w.e", "2", "D")} AS e,
+        least({_edit("w.s", "2", "D")}, {_keep("w.e", "s")}) AS s,
+        least({_edit("w.u", "2", "D")}, {_keep("w.e", "u")}, {_keep("w.s", "u")}, {_keep("w.a", "u")}, {_rerole("w.e", "user")}, {_rerole("w.s", "user")}, {_rerole("w.a", "user")}) AS u,
+        least({_edit("w.a", "2", "D")}, {_keep("w.u", "a")}, {_rerole("w.u", "assistant")}) AS a
+      FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))
+), ends AS (
+  SELECT conv_id, least(e, a) AS z FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(z.c, 0) AS cost, coalesce(z.a, '') AS audit, sha256(coalesce(z.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_block_topk": _OP3, "op6_warc": _OP6, "op9_substring": _OP9, "op11_collocations": _OP11}
+    return {"op3_block_topk": _OP3, "op6_warc": _OP6, "op9_substring": _OP9, "op11_collocations": _OP11, "op12_repair": _OP12}
