@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch, table, text_or_empty, written
-from .textops import U64, mix, text_blocks, xxh64
+from .textops import U64, differs, mix, text_blocks, xxh64
 
 UNDETERMINED = "und"
 LONGEST = 5
@@ -207,23 +207,6 @@ def counted(rows: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, p
     return rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def differs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the ``size`` bytes at ``a`` differ from those at ``b``; ``buf`` is padded."""
-    lanes = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
-    out = np.zeros(len(a), dtype=bool)
-    todo = np.flatnonzero(size > 0)
-    done = 0
-    while len(todo):
-        x = lanes[a[todo] + done] ^ lanes[b[todo] + done]
-        rest = size[todo] - done
-        short = rest < 8
-        x[short] &= (U64(1) << (rest[short] * 8).astype(U64)) - U64(1)
-        out[todo] = x != 0
-        done += 8
-        todo = todo[(x == 0) & (rest > 8)]
-    return out
-
-
 def _texts(runs: Runs, size: int, keys: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(key, place of the first occurrence, occurrences) of each text among the runs at ``at``."""
     order = np.argsort(keys, kind="stable")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_language, block_topk, collocations, conversation_repair, curve_packing, exact_digest, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards, warc
+from . import bayes_language, block_topk, collocations, conversation_repair, curve_packing, exact_digest, license_scan, ordinal_quality, sentencepiece_codec, simhash, substring_dedup, token_shards, warc
 
 _OPERATORS = (
     ordinal_quality.op1_ordinal_quality,
@@ -21,6 +21,7 @@ _OPERATORS = (
     bayes_language.op10_language,
     collocations.op11_collocations,
     conversation_repair.op12_repair,
+    license_scan.op13_licenses,
 )
 
 

@@ -161,6 +161,23 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) ->
     return out
 
 
+def differs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at ``a`` differ from those at ``b``; ``buf`` is padded."""
+    lanes = _lanes(buf)
+    out = np.zeros(len(a), dtype=bool)
+    todo = np.flatnonzero(size > 0)
+    done = 0
+    while len(todo):
+        x = lanes[a[todo] + done] ^ lanes[b[todo] + done]
+        rest = size[todo] - done
+        short = rest < 8
+        x[short] &= (U64(1) << (rest[short] * 8).astype(U64)) - U64(1)
+        out[todo] = x != 0
+        done += 8
+        todo = todo[(x == 0) & (rest > 8)]
+    return out
+
+
 def word_hashes(words: Words, seed: int = 0) -> np.ndarray:
     """XXH64 of every word of a block."""
     return xxh64(words.buf, words.start, words.end, seed)
