@@ -49,6 +49,8 @@ _HELD = 1 << 20
 #: bits of the table of frequent fingerprints: at least 16 a fingerprint, up to 64 MB
 _MOST_BITS, _LEAST_BITS, _BITS_EACH = 1 << 29, 1 << 16, 16
 _BLOCK_BITS = 1 << 19
+#: where in a fingerprint its bits of the table begin
+_SHIFTS = (0, 17, 35)
 
 _GAP, _CUT, _LOWER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), np.arange(256, dtype=np.uint8)
 _CUT[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -95,18 +97,23 @@ class Runs:
 
 
 class Bits:
-    """Set of fingerprints by their low bits: answers "no" only for what is not in it."""
+    """Set of fingerprints by three bits of each: answers "no" only for what is not in it."""
 
     def __init__(self, data: np.ndarray):
         self._data, self._mask = data, U64(len(data) * 8 - 1)
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self._mask
-        return (self._data[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+        out = np.zeros(len(keys), dtype=bool)
+        left = np.arange(len(keys))
+        for shift in _SHIFTS:
+            at = (keys[left] >> U64(shift)) & self._mask
+            left = left[(self._data[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
+        out[left] = True
+        return out
 
 
 def bit_table(frequent: DataFrame) -> np.ndarray:
-    """The low bits of column ``key`` as a bit table, put together by the executors."""
+    """Column ``key`` as a bit table, put together by the executors."""
     count = frequent.count()
     size = _LEAST_BITS
     while size < min(_MOST_BITS, _BITS_EACH * count):
@@ -115,8 +122,9 @@ def bit_table(frequent: DataFrame) -> np.ndarray:
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.zeros(size // 8, dtype=np.uint8)
         for b in batches:
-            at = np.asarray(b.column(0)).view(U64) & U64(size - 1)
-            np.bitwise_or.at(data, (at >> U64(3)).astype(np.int64), U64(1).astype(np.uint8) << (at & U64(7)).astype(np.uint8))
+            for shift in _SHIFTS:
+                at = (np.asarray(b.column(0)).view(U64) >> U64(shift)) & U64(size - 1)
+                np.bitwise_or.at(data, (at >> U64(3)).astype(np.int64), U64(1).astype(np.uint8) << (at & U64(7)).astype(np.uint8))
         step = min(size, _BLOCK_BITS) // 8
         for i in range(0, len(data), step):
             if data[i : i + step].any():
