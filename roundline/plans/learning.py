@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, similarity, verify
+from ..operators import similarity, verify
 from ..sources import adapters as A
 from ..sources import files
 from .base import plan
+from .intervals import GREEDY
 
-FEATURES = ["n_chars", "n_words", "n_lines", "share_upper", "position"]
 _BITS = "list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"
 _IOU = "coalesce(list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: z[1] * z[2])) / CAST(nullif(list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: greatest(z[1], z[2]))), 0) AS DOUBLE), 0)"
 _VECTORS = f", v AS (SELECT vec_id, label, {_BITS} AS bits FROM embeddings)"
@@ -82,45 +82,92 @@ def feature_table(spark, sf_dir):
     return d.select("doc_id", F.col("quality").cast("bigint").alias("label"), F.col("source").alias("grp"), F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", " ")).cast("double").alias("n_words"), F.size(F.split("text", "\n")).cast("double").alias("n_lines"), F.round(upper, 9).alias("share_upper"), ((F.col("doc_id") % 100).cast("double") / 100).alias("position"))
 
 
+_READ_QUALITY = ", q AS (SELECT stem, CASE WHEN count(k) + count(*) FILTER (k IS NULL AND method IN ('template_miss', 'triple_incomplete', 'row_miss')) > 0 THEN CAST(count(k) AS DOUBLE) / (count(k) + count(*) FILTER (k IS NULL AND method IN ('template_miss', 'triple_incomplete', 'row_miss'))) ELSE -1 END AS read_quality FROM hud GROUP BY stem)"
+_FEATURES = _READ_QUALITY + """, n AS (SELECT *, lag(kills) OVER w AS p, lead(kills) OVER w AS f, count(*) OVER (PARTITION BY stem) AS total, greatest(e - s, 1) AS longest FROM tl WINDOW w AS (PARTITION BY stem ORDER BY seg)),
+ x AS (SELECT n.stem, n.seg, n.s AS start, n.e AS "end", list_max(kill_times) - list_min(kill_times) AS width, CAST(CASE WHEN list_max(kill_times) = list_min(kill_times) THEN 1 ELSE 0 END AS DOUBLE) AS width0,
+  CAST(len(list_filter(kill_times, lambda t: t = n.s)) AS DOUBLE) AS n_start_kills, first_kill - n.s AS first_kill_off, n.e - ace_sec AS ace_off_end, n.e - n.s AS dur, k_samples / longest AS k_density, CAST(k_samples AS DOUBLE) AS k_samples,
+  CAST(CASE WHEN reset THEN 1 ELSE 0 END AS DOUBLE) AS resets, CAST(coalesce(p, -1) AS DOUBLE) AS prev_kills, CAST(coalesce(f, -1) AS DOUBLE) AS next_kills, coalesce(read_quality, -1) AS read_quality, seg / CAST(total AS DOUBLE) AS round_pos,
+  list_sum(list_transform(kill_times, lambda t: (t - n.s) / longest)) / len(kill_times) AS kt_rel, CAST((SELECT count(*) FROM points o WHERE o.stem = n.stem AND o.t >= n.s AND o.t <= n.e) AS DOUBLE) AS score_win_count
+  FROM n LEFT JOIN q ON q.stem = n.stem WHERE ace)"""
+_ROUNDED = ", ".join(f"round({f}, 9) AS {f}" for f in verify.FEATURES)
+_LABELS = """, gt AS (SELECT * FROM aces), det AS (SELECT stem, seg AS idx, coalesce(nullif(first_kill, 0), s) AS d1, greatest(coalesce(nullif(first_kill, 0), s), coalesce(nullif(ace_sec, 0), e)) AS d2 FROM tl WHERE ace AND stem IN (SELECT stem FROM aces))""" + GREEDY + ", labelled AS (SELECT det.stem, det.idx AS seg, CAST(count(hits.hit) AS BIGINT) AS label FROM det LEFT JOIN hits ON hits.stem = det.stem AND hits.hit = det.idx GROUP BY det.stem, det.idx)"
+
+
+def ace_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.ace_features(A.timelines(spark, sf_dir), A.hud_reads(spark, sf_dir), A.score_wins(spark, sf_dir))
+
+
+def labelled_aces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """(features of all aces, of the labelled ones with ``label``, folder): written tables."""
+    folder = files.scratch(spark, "verifier")
+    aces = files.written(ace_features(spark, sf_dir), "aces")
+    labels = verify.ace_labels(A.timelines(spark, sf_dir), A.true_aces(spark, sf_dir))
+    return aces, files.written(aces.join(labels, ["stem", "seg"]), "labelled"), folder
+
+
+def rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f: F.round(f, 9) for f in verify.FEATURES})
+
+
+@plan("k1_ace_features", views="hud tl points", sql=_FEATURES + f' SELECT stem, seg, start, "end", {_ROUNDED} FROM x')
+def feature_rows(spark, sf_dir):
+    """The 15 features of all aces of the stored rounds."""
+    return rounded(ace_features(spark, sf_dir))
+
+
+@plan("k2_labelled_aces", views="hud tl points aces", sql=_FEATURES + _LABELS + f' SELECT stem, seg, label, start, "end", {_ROUNDED} FROM x JOIN labelled USING (stem, seg)')
+def labelled_rows(spark, sf_dir):
+    """The aces of recordings with truths, labelled by the one-to-one match within 15 s."""
+    labels = verify.ace_labels(A.timelines(spark, sf_dir), A.true_aces(spark, sf_dir))
+    return rounded(ace_features(spark, sf_dir).join(labels, ["stem", "seg"]))
+
+
+def _all_scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    aces, rows, _ = labelled_aces(spark, sf_dir)
+    scores = verify.scored(verify.fit(rows, verify.FEATURES, kind), aces)
+    return scores.join(rows.select("stem", "seg", "label"), ["stem", "seg"], "left").select("stem", "seg", "label", F.round("score", 6).alias("score"))
+
+
 @plan("k3_k7_logistic_scores")
 def logistic_scores(spark, sf_dir):
-    rows = feature_table(spark, sf_dir)
-    return verify.scored(verify.fit(rows, FEATURES), rows).select("doc_id", "label", F.round("score", 6).alias("score"))
+    """All aces, labelled or not, scored by the fit on the labelled ones."""
+    return _all_scored(spark, sf_dir, "logistic")
 
 
 @plan("k4_tree_scores")
 def tree_scores(spark, sf_dir):
-    rows = feature_table(spark, sf_dir)
-    return verify.scored(verify.fit(rows, FEATURES, "trees"), rows).select("doc_id", "label", F.round("score", 6).alias("score"))
+    return _all_scored(spark, sf_dir, "trees")
 
 
 @plan("k5_k6_out_of_fold")
 def out_of_fold(spark, sf_dir):
-    oof = verify.out_of_fold(feature_table(spark, sf_dir), FEATURES, folds=None)
-    return evaluate.ranking(oof.withColumn("score", F.round("score", 9)))
+    """Every labelled ace scored by the regression that saw no ace of its recording."""
+    _, rows, folder = labelled_aces(spark, sf_dir)
+    _, out = verify.left_out(rows, verify.FEATURES, "logistic", folder)
+    return out.select("stem", "seg", "label", F.round("score", 6).alias("score"))
+
+
+@plan("k6_model_choice")
+def model_choice(spark, sf_dir):
+    """Both kinds by AUC with each recording left out in turn; the chosen one is saved."""
+    _, rows, folder = labelled_aces(spark, sf_dir)
+    return verify.choice_report(rows, verify.FEATURES, folder)
+
+
+@plan("k6_permutation_importance")
+def permutation_importance(spark, sf_dir):
+    _, rows, _ = labelled_aces(spark, sf_dir)
+    return verify.permutation_importance(verify.fit(rows, verify.FEATURES), rows)
 
 
+@plan("k1_round_features")
 def round_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of all rounds with kills; label 1 where a true span takes the round
-    in the one-to-one match (urgent orders are the fixture's true spans here)."""
-    from ..operators import intervals
+    """Features and labels of the aces of the settled rounds, which are written once; a round's
+    kills decide what an ace is (urgent orders are the fixture's true spans here)."""
     from . import judging, sequences
 
-    rounds = judging.verdicts(spark, sf_dir).where("seg is not null")
+    rounds = files.written(judging.verdicts(spark, sf_dir).where("seg is not null"), "verdicts")
     wins = sequences.score_events(spark, sf_dir).where("kind = 'win'").select("stem", F.col("t_hi").alias("t"))
-    features = verify.round_features(rounds, A.hud_reads(spark, sf_dir), wins)
-    killed = rounds.where("kills > 0").select("stem", "seg", F.col("first_kill").alias("d1"), F.greatest(F.col("first_kill"), F.coalesce("ace_sec", "e")).alias("d2"))
     urgent = A.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("idx"))
     true = A.truths(spark, sf_dir).join(urgent, "idx")
-    hits = intervals.greedy_matches(true, killed.select("stem", F.col("seg").alias("idx"), "d1", "d2"), 0.0).where("hit is not null")
-    labels = killed.select("stem", "seg").join(hits.select("stem", F.col("hit").alias("seg"), F.lit(1).alias("hit")), ["stem", "seg"], "left")
-    return labels.select("stem", "seg", F.coalesce("hit", F.lit(0)).cast("bigint").alias("label")).join(features, ["stem", "seg"])
-
-
-plan("k1_round_features")(round_rows)
-
-
-@plan("k6_model_choice")
-def model_choice(spark, sf_dir):
-    """Both kinds by out-of-fold AUC over three groups of sources; the chosen one is saved."""
-    return verify.choice_report(feature_table(spark, sf_dir), FEATURES, f"{files.scratch(spark, 'verifier')}/model", folds=3)
+    return verify.ace_labels(rounds, true).join(verify.ace_features(rounds, A.hud_reads(spark, sf_dir), wins), ["stem", "seg"])

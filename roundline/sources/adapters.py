@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import guards
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,6 +88,35 @@ def sb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(stem("l_suppkey", SUPPLIERS).alias("stem"), F.col("l_orderkey").alias("rn"), F.col("l_linenumber").cast("bigint").alias("line"), i.alias("row_index"), F.when(i < 3, "red").otherwise("blue").alias("team"), F.col("l_quantity").cast("bigint").alias("kills"), F.when(F.col("l_linenumber") != 3, F.col("l_partkey") % 30).alias("deaths"))
 
 
+#: seconds of a day of the fixture's order dates
+DAY = 20.0
+
+
+def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stem, seg, key, s, e, kills, kill_times, reset, k_samples, first_kill, ace_sec, ace): stored
+    rounds.  An order is a round, its lines are kills and their quantities readings."""
+    o = table(spark, sf_dir, "orders").select(stem("o_custkey", CUSTOMERS).alias("stem"), F.col("o_orderkey").alias("key"), (_day("o_orderdate") * DAY).alias("s"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_partkey") % 4 == 0, F.lit(0.0)).otherwise((F.col("l_partkey") % 120) / 2).alias("after"), "l_quantity")
+    lines = lines.groupBy("key").agg(F.sort_array(F.collect_list("after")).alias("after"), F.sum("l_quantity").cast("bigint").alias("k_samples"))
+    seg = F.row_number().over(W.partitionBy("stem").orderBy("s", "key")).cast("bigint") - 1
+    r = o.join(lines, "key", "left").withColumns({"seg": seg, "e": F.col("s") + 61 + F.col("key") % 60, "reset": F.col("key") % 11 == 0, "k_samples": F.coalesce("k_samples", F.lit(0).cast("bigint"))})
+    r = r.withColumn("kill_times", F.coalesce(F.transform("after", lambda t: F.col("s") + t), F.array().cast("array<double>")))
+    kills = F.size("kill_times").cast("bigint")
+    r = r.withColumns({"kills": kills, "first_kill": F.get("kill_times", F.lit(0)), "ace_sec": F.get("kill_times", F.lit(2)), "ace": guards.is_ace(kills, F.col("reset").cast("int"), F.col("kill_times"), F.col("k_samples"))})
+    return r.select("stem", "seg", "key", "s", "e", "kills", "kill_times", "reset", "k_samples", "first_kill", "ace_sec", "ace")
+
+
+def true_aces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stem, idx, g1, g2): the true aces of the recordings of ``timelines``."""
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    return o.select(stem("o_custkey", CUSTOMERS).alias("stem"), F.col("o_orderkey").alias("idx"), (_day("o_orderdate") * DAY + 20).alias("g1"), (_day("o_orderdate") * DAY + 40).alias("g2"))
+
+
+def score_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stem, t): score events of the recordings of ``timelines``."""
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(stem("o_custkey", CUSTOMERS).alias("stem"), (_day("o_orderdate") * DAY + 30).alias("t"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, label, pred, score, grp): labelled predictions."""
     d, n = table(spark, sf_dir, "documents"), F.col("n_chars")
@@ -123,6 +154,15 @@ SQL = {
     "preds": """SELECT l.doc_id, CAST(l.quality AS BIGINT) AS label, CAST(CASE WHEN n_chars % 5 < 3 THEN 1 ELSE 0 END AS BIGINT) AS pred,
       CAST(n_chars % 1000 AS DOUBLE) / 1000 AS score, source AS grp FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
 }
+_DAYS = "CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) * 20"
+_STEM = "concat('v', lpad(CAST(o_custkey // 40 AS VARCHAR), 5, '0'))"
+SQL |= {
+    "tl": f"""SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY s, key) - 1 AS seg, key, s, e, len(kill_times) AS kills, kill_times, reset, k_samples, kill_times[1] AS first_kill, kill_times[3] AS ace_sec, len(kill_times) = 3 AND NOT reset AND k_samples >= 10 AS ace FROM (
+      SELECT {_STEM} AS stem, o_orderkey AS key, {_DAYS} AS s, {_DAYS} + 61 + o_orderkey % 60 AS e, o_orderkey % 11 = 0 AS reset, coalesce(k_samples, 0) AS k_samples, coalesce(list_transform(after, lambda t: {_DAYS} + t), []) AS kill_times
+      FROM orders LEFT JOIN (SELECT l_orderkey, list_sort(list(CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE CAST(l_partkey % 120 AS DOUBLE) / 2 END)) AS after, CAST(sum(l_quantity) AS BIGINT) AS k_samples FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)""",
+    "aces": f"SELECT {_STEM} AS stem, o_orderkey AS idx, {_DAYS} + 20 AS g1, {_DAYS} + 40 AS g2 FROM orders WHERE o_totalprice > 200000",
+    "points": f"SELECT {_STEM} AS stem, {_DAYS} + 30 AS t FROM orders WHERE o_orderstatus = 'F'",
+}
 _NEEDS = {"hud": ["ev"], "score": ["ev"], "probs": ["ev"]}
 
 

@@ -222,19 +222,6 @@ def test_round_features(spark):
     assert {r.score_win_count for r in verify.round_features(rounds, reads, None).collect()} == {-1.0}
 
 
-def test_model_choice_saves_and_warns(spark, tmp_path):
-    from pyspark.ml import PipelineModel
-
-    rng = random.Random(1)
-    rows = spark.createDataFrame([(i % 2, "abc"[i % 3], float(i % 2) + rng.random() * 1.5, rng.random()) for i in range(120)], "label int, grp string, x double, y double")
-    path = f"file://{tmp_path}/model"
-    got = {r.kind: r for r in verify.choice_report(rows, ["x", "y"], path).collect()}
-    best = max(got, key=lambda k: got[k].auc)
-    assert set(got) == {"logistic", "trees"} and got[best].chosen and got[best].importances.startswith("x ")
-    assert all(r.weak == (r.auc < 0.75) and 0 <= r.ap <= 1 for r in got.values())
-    assert verify.scored(PipelineModel.load(path), rows.withColumn("weight", F.lit(1.0))).where("score between 0 and 1").count() == 120
-
-
 @pytest.mark.parametrize(("text", "header", "second"), [("스카우터 (L)", True, False), ("스카무터2 (L)", True, True), ("Scouter Z", True, True), ("player", False, False), ("", False, False)])
 def test_headers(spark, text, header, second):
     r = spark.createDataFrame([(text,)], "s string").select(names.is_header(F.col("s")).alias("h"), names.is_second_header(F.col("s")).alias("t")).first()

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 from roundline import registry
-from roundline.operators import verify
+from roundline.operators import boosting, verify
 from roundline.plans import evaluation
+from roundline.sources import files
 
 
 def test_views_cover_their_tables(spark, data):
@@ -22,22 +23,15 @@ def test_own_cluster_takes_names_of_any_order(spark, monkeypatch):
     assert [r.stem for r in evaluation.own_cluster(spark, "").select("stem", F.lit(1)).collect()] == ["s"]
 
 
-def test_trees_have_fifty_iterations(spark):
-    assert verify.pipelines(["x"])["trees"].getStages()[-1].getMaxIter() == 50
+def test_trees_have_fifty_iterations():
+    assert boosting.ROUNDS == 50
 
 
-def test_each_group_is_left_out_alone(spark, monkeypatch):
+def test_each_group_is_left_out_alone(spark):
     """Every score comes from a model of all other groups, the one without a name among them."""
-    rows = spark.createDataFrame([(g, i % 2, float(i)) for g in ("a", "b", "c", "d", "e", None) for i in range(4)], "grp string, label int, x double")
-    seen = []
-
-    def fit(train, features, kind):
-        seen.append({r.grp for r in train.select("grp").distinct().collect()})
-        return None
-
-    monkeypatch.setattr(verify, "fit", fit)
-    monkeypatch.setattr(verify, "scored", lambda model, test: test.withColumn("score", F.lit(0.5)))
-    for folds in (None, 6, 9):
-        seen.clear()
-        assert verify.out_of_fold(rows, ["x"], folds=folds).count() == 24
-        assert len(seen) == 6 and all(len(s) == 5 for s in seen)
+    rows = spark.createDataFrame([(g, 10 * j + i, i % 2, float(i + 7 * j)) for j, g in enumerate(("a", "b", "c", "d", "e", None)) for i in range(4)], "stem string, seg int, label int, x double")
+    numbers, counts = verify._groups(rows, "stem")
+    assert sorted(numbers.values()) == [1, 2, 3, 4, 5, 6] and counts.tolist() == [[12, 12]] + [[10, 10]] * 6
+    for kind, sizes in (("logistic", {}), ("trees", {"rounds": 1})):
+        _, out = verify.left_out(files.written(rows, "six"), ["x"], kind, files.scratch(spark, "six"), **sizes)
+        assert out.count() == 24
