@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names
+from . import name_index
 
 CLUSTERS = "stem string, rank long, canonical string, core string, weight double, samples long, best_conf double, variants array<string>"
 
@@ -56,14 +57,14 @@ def clusters(votes: DataFrame) -> DataFrame:
     """Leader clusters of the texts of each recording: texts by falling weight join
     the first cluster whose leader they match, else lead one.
 
-    Matching runs as a join of the distinct texts of a recording over forms made
-    once; the fold sees the matched pairs only."""
+    Candidates come from the name index over the distinct texts of a recording; the fold
+    sees the matched pairs only."""
     d = summed(votes).withColumn("r", F.row_number().over(W.partitionBy("stem").orderBy(F.desc("weight"), "first")))
-    forms = d.withColumns({"n": names.normal(F.col("text")), "c": names.core(F.col("text"))})
-    a = forms.select("stem", F.col("r").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = forms.select("stem", F.col("r").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    one_name = names.forms_match(*(F.col(c) for c in ("na", "nb", "ca", "cb")))
-    links = a.join(b, "stem").where((F.col("a") < F.col("b")) & one_name).groupBy("stem", F.col("b").alias("r")).agg(F.sort_array(F.collect_list("a")).alias("leaders"))
+    one_name = names.forms_match(names.normal(F.col("x")), names.normal(F.col("y")), names.core(F.col("x")), names.core(F.col("y")))
+    pairs = name_index.candidates(d).where(one_name)
+    rank = lambda side, to: d.select("stem", F.col("text").alias(side), F.col("r").alias(to))
+    links = pairs.join(rank("x", "__x"), ["stem", "x"]).join(rank("y", "__y"), ["stem", "y"])
+    links = links.groupBy("stem", F.greatest("__x", "__y").alias("r")).agg(F.sort_array(F.collect_list(F.least("__x", "__y"))).alias("leaders"))
     rows = d.join(links, ["stem", "r"], "left").withColumns({"core": names.core(F.col("text")), "null_name": names.is_null_name(names.normal(F.col("text")))})
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:

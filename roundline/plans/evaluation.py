@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, names
-from ..operators import evaluate, generate, votes
+from ..operators import evaluate, generate, name_index, votes
 from ..sources import adapters as A
+from ..sources import files
 from . import intervals, scalars, sequences
 from .base import plan
 
@@ -23,23 +24,48 @@ def vote_sums(spark, sf_dir):
     return votes.summed(A.votes(spark, sf_dir)).drop("first")
 
 
-plan("j6_name_clusters")(lambda spark, sf_dir: votes.clusters(A.votes(spark, sf_dir)))
-plan("j8_identities")(lambda spark, sf_dir: votes.identities(A.votes(spark, sf_dir)))
+_SAME = f"({scalars.sql_match(scalars._NORM('a.text'), scalars._NORM('b.text'))} OR (a.text <> '' AND b.text <> '' AND {scalars.sql_match('a.text', 'b.text')}))"
+#: texts of a recording in turn, each with its leader; texts are of kept characters, as DuckDB's distance counts bytes
+CLUSTERS = f""", s AS (SELECT stem, ord, {scalars._STRIP('text')} AS text, weight, conf FROM votes),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY weight DESC, first) AS r FROM (SELECT stem, text, sum(weight) AS weight, max(conf) AS conf, count(*) AS samples, min(ord) AS first FROM s GROUP BY stem, text)),
+ e AS MATERIALIZED (SELECT b.stem, b.r, coalesce(list(a.r ORDER BY a.r) FILTER (a.r IS NOT NULL), []) AS near FROM o b LEFT JOIN o a ON a.stem = b.stem AND a.r < b.r AND {_SAME} GROUP BY b.stem, b.r),
+ turn(stem, r, leader, leaders) AS (SELECT DISTINCT stem, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM o UNION ALL
+  SELECT stem, r, x, CASE WHEN x = r THEN list_append(leaders, r) ELSE leaders END FROM (SELECT e.stem, e.r, t.leaders, coalesce(list_filter(e.near, lambda n: list_contains(t.leaders, n))[1], e.r) AS x FROM turn t JOIN e ON e.stem = t.stem AND e.r = t.r + 1)),
+ g AS (SELECT t.stem, leader, sum(weight) AS weight, CAST(sum(samples) AS BIGINT) AS samples, max(conf) AS best_conf, list(text ORDER BY t.r) AS variants, arg_min(text, t.r) AS lead, bool_or(text IN {scalars._NULLS}) AS is_null FROM turn t JOIN o ON o.stem = t.stem AND o.r = t.r GROUP BY t.stem, leader),
+ clusters AS (SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY weight DESC, leader) AS rank, CASE WHEN is_null THEN 'null' ELSE lead END AS canonical, CASE WHEN is_null THEN 'null' ELSE lead END AS core, weight, samples, best_conf, variants FROM g)"""
 
 
-@plan("c14_own_cluster")
+def stripped_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.votes(spark, sf_dir).withColumn("text", names.stripped(F.col("text")))
+
+
+plan("j6_name_clusters", views="votes", sql=CLUSTERS + " SELECT * FROM clusters")(lambda spark, sf_dir: votes.clusters(stripped_votes(spark, sf_dir)))
+
+
+@plan("j8_identities", views="votes", sql=CLUSTERS + """, totals AS (SELECT stem, sum(weight) AS total, max(samples) AS most, sum(samples) AS n FROM clusters GROUP BY stem),
+ cross_ AS (SELECT stem, count(*) FILTER (weight = 0.5) / CAST(count(*) AS DOUBLE) AS share FROM s GROUP BY stem),
+ cores AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY w DESC, text) AS k, lead(w) OVER (PARTITION BY stem ORDER BY w DESC, text) AS second FROM (SELECT stem, text, sum(weight) AS w, count(*) AS n FROM s WHERE length(text) >= 3 GROUP BY stem, text)),
+ soft AS (SELECT stem, CASE WHEN n >= 2 AND (second IS NULL OR w / (w + second) >= 0.38) THEN text END AS accepted FROM cores WHERE k = 1),
+ z AS (SELECT c.*, accepted, least(1, weight / total * 0.5 + share * 0.3 + most / CAST(n AS DOUBLE) * 0.2) AS sure FROM clusters c JOIN totals t ON t.stem = c.stem JOIN cross_ x ON x.stem = c.stem LEFT JOIN soft f ON f.stem = c.stem WHERE rank = 1)
+SELECT stem, CASE WHEN samples >= 4 AND sure >= 0.35 THEN canonical ELSE accepted END AS name, round(sure, 6) AS confidence, CASE WHEN samples >= 4 AND sure >= 0.35 THEN 'gate' WHEN accepted IS NOT NULL THEN 'soft' ELSE 'none' END AS mode, samples FROM z""")
+def identities(spark, sf_dir):
+    return votes.identities(stripped_votes(spark, sf_dir))
+
+
+@plan("c14_own_cluster", views="votes", sql=CLUSTERS + f""", m AS (SELECT stem, rank, canonical, unnest(variants) AS text FROM clusters), own AS (SELECT DISTINCT stem, text FROM s WHERE weight > 2)
+SELECT a.stem, min(rank) AS rank, arg_min(canonical, rank) AS canonical FROM m a JOIN own b ON b.stem = a.stem AND {scalars.sql_match(scalars._NORM('a.text'), scalars._NORM('b.text'))} GROUP BY a.stem""")
 def own_cluster(spark, sf_dir):
     """First cluster of each recording that holds a strongly voted name."""
-    v = A.votes(spark, sf_dir)
-    members = votes.clusters(v).select("stem", "rank", "canonical", F.explode("variants").alias("member"))
-    strong = v.where("weight > 2").select("stem", F.col("text").alias("own")).distinct()
-    hit = members.join(strong, "stem").where(names.texts_match(F.col("member"), F.col("own")))
+    v = stripped_votes(spark, sf_dir)
+    members = files.written(votes.clusters(v).select("stem", "rank", "canonical", F.explode("variants").alias("x")), "members")
+    strong = v.where("weight > 2").select("stem", "text")
+    hit = members.join(name_index.matches(members.select("stem", F.col("x").alias("text")), strong), ["stem", "x"])
     return hit.groupBy("stem").agg(F.min("rank").alias("rank"), F.min_by("canonical", "rank").alias("canonical"))
 
 
-@plan("j7_cluster_summary")
+@plan("j7_cluster_summary", views="votes", sql=CLUSTERS + " SELECT stem, rank, canonical, round(weight, 2) AS weight, samples, array_to_string(variants, '|') AS variants FROM clusters WHERE rank <= 8")
 def cluster_summary(spark, sf_dir):
-    return votes.clusters(A.votes(spark, sf_dir)).where("rank <= 8").select("stem", "rank", "canonical", F.round("weight", 2).alias("weight"), "samples", F.array_join("variants", "|").alias("variants"))
+    return votes.clusters(stripped_votes(spark, sf_dir)).where("rank <= 8").select("stem", "rank", "canonical", F.round("weight", 2).alias("weight"), "samples", F.array_join("variants", "|").alias("variants"))
 
 
 @plan("d5_zero_filled_counts", sql="SELECT l.label, count(o.o_orderkey) AS n FROM (SELECT unnest(['allkill', 'background', 'doublekill', 'multikill', 'save']) AS label) l LEFT JOIN (SELECT o_orderkey, " + scalars._ALIAS_SQL + " AS label FROM (SELECT o_orderkey, " + scalars._SPELL_SQL + " AS raw FROM orders)) o ON o.label = l.label GROUP BY l.label")

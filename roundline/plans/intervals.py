@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import guards, names
-from ..operators import intervals
+from ..operators import intervals, name_index
 from ..sources import adapters as A
 from . import scalars, sequences
 from .base import plan
@@ -142,7 +142,7 @@ def cross_confirmation(spark, sf_dir):
     """Distinct texts are matched once; a vote's next frame of each matching text is a running value."""
     s = A.votes(spark, sf_dir).withColumn("text", names.stripped(F.col("text")))
     a, b = s.where("weight > 2"), s.where("weight = 0.5")
-    matched = scalars.distinct_pairs(a.select("stem", "text"), b.select("stem", "text")).where(names.texts_match(F.col("x"), F.col("y")))
+    matched = name_index.matches(a, b)
     asks = a.select("stem", F.col("text").alias("x"), "ord").join(matched, ["stem", "x"]).select("stem", "y", "ord", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("frame"))
     frames = b.select("stem", F.col("text").alias("y"), "ord", F.lit(1).alias("side"), F.col("ord").alias("frame"))
     later = W.partitionBy("stem", "y").orderBy(F.desc("ord"), "side").rowsBetween(W.unboundedPreceding, 0)
@@ -226,7 +226,7 @@ def team_by_names(spark, sf_dir):
     """Side on which a team mate is read; distinct texts are matched once."""
     s = A.votes(spark, sf_dir).select("stem", F.expr("ord div 20").alias("n"), names.stripped(F.col("text")).alias("text"))
     mates, rows = s.where("n % 5 = 0").select("stem", "text"), s.where("n % 5 > 0")
-    known = scalars.distinct_pairs(rows.select("stem", "text"), mates).where(names.texts_match(F.col("x"), F.col("y"))).select("stem", F.col("x").alias("text")).distinct()
+    known = name_index.matches(rows, mates).select("stem", F.col("x").alias("text")).distinct()
     return rows.join(known, ["stem", "text"]).groupBy("stem", F.expr("n div 10").alias("round")).agg(F.when(F.bool_or(F.col("n") % 10 <= 5), "red").otherwise("blue").alias("team"))
 
 

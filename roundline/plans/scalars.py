@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guards, labels, names, times
+from ..operators import name_index
 from ..sources import adapters as A
 from .base import plan
 
@@ -403,20 +404,18 @@ def normal_names(spark, sf_dir):
 _DISTINCT = ", s AS (SELECT DISTINCT stem, " + _STRIP("text") + " AS text FROM votes)"
 
 
-@plan("s4_levenshtein", views="votes", sql=_DISTINCT + " SELECT a.stem, a.text AS x, b.text AS y, levenshtein(a.text, b.text) AS distance FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text")
-def levenshtein(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("stem", "x", "y", F.levenshtein("x", "y").cast("bigint").alias("distance"))
+_MATCHED = f"{sql_match(_NORM('a.text'), _NORM('b.text'))}"
 
 
-def distinct_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(stem, x, y): the distinct texts of a recording on either side."""
-    return left.distinct().select("stem", F.col("text").alias("x")).join(right.distinct().select("stem", F.col("text").alias("y")), "stem")
+@plan("s4_levenshtein", views="votes", sql=_DISTINCT + f" SELECT a.stem, a.text AS x, b.text AS y, levenshtein(a.text, b.text) AS distance FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text WHERE {_MATCHED}")
+def levenshtein(spark, sf_dir):
+    """Edits between the names of a recording that are the same but for reading errors."""
+    return name_index.matches(stripped_votes(spark, sf_dir)).select("stem", "x", "y", F.levenshtein("x", "y").cast("bigint").alias("distance"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stripped_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # of kept characters, as DuckDB's distance counts bytes
-    v = A.votes(spark, sf_dir).select("stem", names.stripped(F.col("text")).alias("text"))
-    return distinct_pairs(v, v).where("y > x")
+    return A.votes(spark, sf_dir).select("stem", names.stripped(F.col("text")).alias("text"))
 
 
 _NEAR_NULL = """CASE ord % 6 WHEN 0 THEN 'nu11' WHEN 1 THEN ' Null ' WHEN 2 THEN 'nulk' WHEN 3 THEN 'nothing' WHEN 4 THEN text ELSE 'mull' END"""
@@ -432,10 +431,11 @@ def null_names(spark, sf_dir):
 
 
 @plan("s6_s8_name_match", views="votes", sql=_DISTINCT + f""" SELECT a.stem, a.text AS x, b.text AS y, {sql_match(_NORM('a.text'), _NORM('b.text'))} AS matched, {sql_cores('a.text', 'b.text')} AS cores, round({sql_score('a.text', 'b.text')}, 9) AS score
- FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text""")
+ FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text WHERE {sql_cores('a.text', 'b.text')}""")
 def name_match(spark, sf_dir):
+    """Pairs of names of a recording that match whole or by their cores."""
     x, y = F.col("x"), F.col("y")
-    return _pairs(spark, sf_dir).select("stem", "x", "y", names.texts_match(x, y).alias("matched"), names.cores_match(x, y).alias("cores"), F.round(names.match_score(x, y), 9).alias("score"))
+    return name_index.candidates(stripped_votes(spark, sf_dir)).where(names.cores_match(x, y)).select("stem", "x", "y", names.texts_match(x, y).alias("matched"), names.cores_match(x, y).alias("cores"), F.round(names.match_score(x, y), 9).alias("score"))
 
 
 _HEADERS = ["스카우터 (L)", "스카무터2 (L)", "Scouter Z", "(L)", "player one", "  ", "[]", "K 12/3", "win", "x", "77 12", "스무무터"]

@@ -3,7 +3,7 @@
 ``reads`` and the others are the shapes that operators take; a user with tables
 of these shapes needs none of the adapters.  All are projections over one scan of
 the whole table; ``events`` is numbered within each recording by one window.  A
-recording takes a fixed number of users, customers or suppliers, so the number of
+recording takes a fixed number of users, customers, suppliers or documents, so the number of
 recordings grows with the tables.
 """
 
@@ -22,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: users, suppliers and customers of one recording
-USERS, SUPPLIERS, CUSTOMERS = 8, 5, 40
+#: users, suppliers, customers and documents of one recording
+USERS, SUPPLIERS, CUSTOMERS, DOCUMENTS = 8, 5, 40, 200
 
 
 def stem(column: str, size: int) -> Column:
@@ -79,7 +79,7 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stem, ord, text, weight, conf): readings of a name."""
     word = F.split(F.regexp_replace("text", "\n", " "), " ")[0]
     weight = F.when(F.col("lang") == "en", 2.5).when(F.col("lang") == "fr", 0.5).otherwise(1.0)
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("stem"), F.col("doc_id").alias("ord"), word.alias("text"), weight.alias("weight"), ((F.col("n_chars") % 100) / 100).alias("conf"))
+    return table(spark, sf_dir, "documents").select(stem("doc_id", DOCUMENTS).alias("stem"), F.col("doc_id").alias("ord"), word.alias("text"), weight.alias("weight"), ((F.col("n_chars") % 100) / 100).alias("conf"))
 
 
 def sb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +120,8 @@ def score_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, label, pred, score, grp): labelled predictions."""
     d, n = table(spark, sf_dir, "documents"), F.col("n_chars")
-    rows = table(spark, sf_dir, "labels").join(d.select("doc_id", "source", "n_chars"), "doc_id")
-    return rows.select("doc_id", F.col("quality").cast("bigint").alias("label"), F.when(n % 5 < 3, 1).otherwise(0).cast("bigint").alias("pred"), ((n % 1000) / 1000).alias("score"), F.col("source").alias("grp"))
+    rows = table(spark, sf_dir, "labels").join(d.select("doc_id", "n_chars"), "doc_id")
+    return rows.select("doc_id", F.col("quality").cast("bigint").alias("label"), F.when(n % 5 < 3, 1).otherwise(0).cast("bigint").alias("pred"), ((n % 1000) / 1000).alias("score"), stem("doc_id", DOCUMENTS).alias("grp"))
 
 
 #: the same views as DuckDB common table expressions
@@ -145,14 +145,14 @@ SQL = {
     "gt": """SELECT concat('v', lpad(CAST(o_custkey // 40 AS VARCHAR), 5, '0')) AS stem, o_orderkey AS idx,
       CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS g1,
       CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) + 5 AS g2 FROM orders""",
-    "votes": """SELECT source AS stem, doc_id AS ord, split_part(replace(text, chr(10), ' '), ' ', 1) AS text,
+    "votes": """SELECT concat('v', lpad(CAST(doc_id // 200 AS VARCHAR), 5, '0')) AS stem, doc_id AS ord, split_part(replace(text, chr(10), ' '), ' ', 1) AS text,
       CASE lang WHEN 'en' THEN CAST(2.5 AS DOUBLE) WHEN 'fr' THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS weight,
       CAST(n_chars % 100 AS DOUBLE) / 100 AS conf FROM documents""",
     "sb": """SELECT concat('v', lpad(CAST(l_suppkey // 5 AS VARCHAR), 5, '0')) AS stem, l_orderkey AS rn, CAST(l_linenumber AS BIGINT) AS line,
       CAST((l_linenumber - 1) % 6 AS BIGINT) AS row_index, CASE WHEN (l_linenumber - 1) % 6 < 3 THEN 'red' ELSE 'blue' END AS team,
       CAST(l_quantity AS BIGINT) AS kills, CASE WHEN l_linenumber <> 3 THEN l_partkey % 30 END AS deaths FROM lineitem""",
     "preds": """SELECT l.doc_id, CAST(l.quality AS BIGINT) AS label, CAST(CASE WHEN n_chars % 5 < 3 THEN 1 ELSE 0 END AS BIGINT) AS pred,
-      CAST(n_chars % 1000 AS DOUBLE) / 1000 AS score, source AS grp FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+      CAST(n_chars % 1000 AS DOUBLE) / 1000 AS score, concat('v', lpad(CAST(l.doc_id // 200 AS VARCHAR), 5, '0')) AS grp FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
 }
 _DAYS = "CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) * 20"
 _STEM = "concat('v', lpad(CAST(o_custkey // 40 AS VARCHAR), 5, '0'))"
