@@ -5,7 +5,7 @@ words ``[^\\x20\\x09]+``.  A task turns a block of texts into word hashes and pr
 polynomials over them in numpy: the fingerprint of any run of words is a difference
 of two prefix values.
 
-1. Words, then pairs, then runs of three to five words are counted.  A task adds up
+1. Words, then pairs, then runs of three words or more are counted.  A task adds up
    its own fingerprints first; one shuffle adds up the tasks'.  A run is only looked
    at where all its words (its pairs) may be frequent, as a bit table of the frequent
    fingerprints tells: it has a fixed greatest size, and a full one only costs time.
@@ -13,7 +13,8 @@ of two prefix values.
    bytes of the first one its task met; other texts of that fingerprint become rows of
    their own.  The shuffle adds these up by language, fingerprint and text, each with a
    pointer (document, word) to one occurrence, so counts are of texts, not of
-   fingerprints, and only runs with a frequent fingerprint ever become strings.
+   fingerprints, and only runs with a frequent fingerprint, and their words, ever become
+   strings.
 3. Scores, cuts and the test of longer phrases are joins over the frequent phrases,
    which are at most a hundredth of the words by number.
 
@@ -179,7 +180,8 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 def counted(rows: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, part: int) -> DataFrame:
     """(lang, key, n) of all runs of ``sizes`` words in ``rows`` (lang, doc_id, text) that the
     bit table of runs of ``part`` words lets through.  For size 1 there is also a row a
-    language with all its words, ``key`` null."""
+    language with all its words, ``key`` null; where the table is of pairs, a row with n = 0
+    for each word of a pair in it."""
     shared = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +203,12 @@ def counted(rows: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, p
                     keys.append(k)
                     counts.append(n)
                     held += len(k)
+                if part == 2:
+                    at = _possible(runs, salts, 2, filter_, part)
+                    k = np.unique(runs.fingerprints(1, np.concatenate((at, at + 1)), salts))
+                    keys.append(k)
+                    counts.append(np.zeros(len(k), dtype=np.int64))
+                    held += len(k)
                 if held > 2 * _HELD:
                     k, n = _added(keys, counts)
                     keys, counts, held = [k], [n], len(k)
@@ -284,23 +292,19 @@ def verified(rows: DataFrame, known: np.ndarray, least: int, longest: int = LONG
 
 
 def frequent_phrases(docs: DataFrame, folder: str, least: int = LEAST_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, words, n, doc_id, word), (lang, n)): runs of words that occur ``least``
-    times in a language, and the number of words of each language; written tables."""
+    """((lang, phrase, words, n, doc_id, word), (lang, n)): runs of two words or more that occur
+    ``least`` times in a language and the words they are made of, and the number of words of
+    each language; written tables."""
     rows = docs.select(F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     if longest < 2:
         raise ValueError("a phrase has two words or more")
-    keys, known, totals = None, None, None
-    for name, sizes, part in (("words", (1,), 1), ("pairs", (2,), 1), ("longer", tuple(range(3, longest + 1)), 2)):
-        if not sizes:
-            continue
-        found = counted(rows, sizes, known, part)
-        found = written(found.where((F.col("n") >= least) | F.col("lang").isNotNull()), f"{folder}/{name}")
-        if totals is None:
-            totals = found.where("lang is not null").select("lang", "n")
-        found = found.where("lang is null").select("key")
-        keys = found if keys is None else keys.unionByName(found)
-        known = bit_table(found) if name != "longer" else known
-    return written(verified(rows, bit_table(keys), least, longest), f"{folder}/phrases"), totals
+    found = written(counted(rows, (1,), None, 1).where((F.col("n") >= least) | F.col("lang").isNotNull()), f"{folder}/words")
+    totals = found.where("lang is not null").select("lang", "n")
+    words = bit_table(found.where("lang is null"))
+    pairs = written(counted(rows, (2,), words, 1).where(F.col("n") >= least), f"{folder}/pairs")
+    longer = written(counted(rows, tuple(range(3, longest + 1)), bit_table(pairs), 2).where((F.col("n") >= least) | (F.col("n") == 0)), f"{folder}/longer")
+    known = bit_table(pairs.select("key").unionByName(longer.select("key")))
+    return written(verified(rows, known, least, longest), f"{folder}/phrases"), totals
 
 
 def _exact(column: str) -> Column:
