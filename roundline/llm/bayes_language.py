@@ -35,7 +35,7 @@ BUCKETS = 1 << 15
 ORDERS = (2, 3)
 MAX_LANGUAGES = 256
 UNDETERMINED = "und"
-_BLOCK_CHARS = 500_000
+_BLOCK_CHARS, _BLOCK_CELLS = 500_000, 4_000_000
 
 
 @cache
@@ -102,11 +102,7 @@ class LanguageModel:
         for owners, parts in _segments(texts):
             chars, at, found = cells(parts)
             for order in ORDERS:
-                rows = self.matrix[_hashed(chars, order)]
-                # ranges of a part, and between them the n-grams that span two parts
-                cut = np.stack((at[:-1], np.minimum(at[1:] - order + 1, len(rows))), axis=1).ravel()
-                rows = np.concatenate((rows, np.zeros((1, rows.shape[1]), dtype=rows.dtype)))
-                np.add.at(total, owners, np.add.reduceat(rows, cut, axis=0, dtype=np.float64)[::2])
+                self._add(total, np.array(owners), at, _hashed(chars, order), order)
                 np.add.at(grams, owners, np.diff(at) - order + 1)
             np.logical_or.at(has, owners, found)
         typical = (total - self.matrix[-1]) / np.maximum(1, grams)[:, None] - self.expected()
@@ -114,6 +110,19 @@ class LanguageModel:
         return p / p.sum(axis=1, keepdims=True), has, typical
 
 
+    def _add(self, total: np.ndarray, owners: np.ndarray, at: np.ndarray, h: np.ndarray, order: int) -> None:
+        """Adds the rows of the n-grams ``h`` of parts that begin at ``at`` to their owners'; as
+        many rows at once as ``_BLOCK_CELLS`` allows for the number of languages."""
+        part = np.repeat(np.arange(len(owners)), np.diff(at))[: len(h)]
+        inside = np.arange(len(h)) + order <= at[1:][part]  # not those that span two parts
+        part, h = part[inside], h[inside]
+        step = max(1, _BLOCK_CELLS // max(1, len(self.languages)))
+        for lo in range(0, len(h), step):
+            own = part[lo : lo + step]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            np.add.at(total, owners[own[first]], np.add.reduceat(self.matrix[h[lo : lo + step]], first, axis=0, dtype=np.float64))
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> LanguageModel:
     """Learns from all rows of ``docs`` that have a text and a language."""
 

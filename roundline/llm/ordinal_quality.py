@@ -130,16 +130,19 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS, buckets
     """Fits on documents joined with ``ratings`` (id, grade)."""
     rated = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.min("grade").alias("grade"))
     sample = rated.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)  # max_rows rows at most are broadcast
-    rows = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col).select("grade", "text")
+    # one text of each rated id, by digest, so that repeated ids change neither the number nor the choice of rows
+    met = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample.withColumnRenamed(id_col, "__id")), "__id")
+    rows = met.groupBy("__id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, block in text_blocks(column_bytes(batch.column(1))):
                 first, index, value = features(block, buckets)
                 cut = [slice(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array([index[c].tobytes() for c in cut], pa.binary()), pa.array([value[c].tobytes() for c in cut], pa.binary())], names=["grade", "index", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array([index[c].tobytes() for c in cut], pa.binary()), pa.array([value[c].tobytes() for c in cut], pa.binary()), batch.column(2).slice(at, len(block))], names=["grade", "index", "value", "place"])
 
-    got = rows.select(F.col("grade").cast("int"), "text").mapInArrow(run, "grade int, index binary, value binary").limit(max_rows).toArrow()
+    # at most max_rows rows, as the sample has; in one order, so that sums are the same in any partitioning
+    got = rows.select(F.col("grade").cast("int"), "text", F.xxhash64("__id")).mapInArrow(run, "grade int, index binary, value binary, place long").toArrow().sort_by("place")
     index, value = ([np.frombuffer(x, dtype=d) for x in got.column(c).to_pylist()] for c, d in (("index", "<i4"), ("value", "<f4")))
     first = np.concatenate(([0], np.cumsum([len(x) for x in index]))).astype(np.int64)
     whole = lambda parts, d: np.concatenate(parts) if parts else np.zeros(0, dtype=d)
