@@ -111,6 +111,19 @@ def noisy(rng, n):
     return out
 
 
+def shuffled_stream(spark, rows, path, late=40.0):
+    """``rows`` as a stream of files that overlap in time by less than ``late`` seconds, each
+    shuffled, and at last a row of another recording far ahead, which brings the watermark on."""
+    end = rows.agg(F.max("t")).first()[0]
+    jitter = rows.withColumn("file", F.floor((F.col("t") + F.pmod(F.xxhash64("stem", "t"), F.lit(int(late)))) / (end / 3)))
+    for i in range(5):
+        part = jitter.where(F.col("file") == i).drop("file").orderBy(F.xxhash64("t", "stem"))
+        if part.limit(1).count():
+            part.coalesce(1).write.mode("append").parquet(str(path / "in"))
+    spark.createDataFrame([("zz", end + 1e6)], "stem string, t double").join(rows.limit(0).drop("stem", "t"), F.lit(True), "left").select(rows.columns).coalesce(1).write.mode("append").parquet(str(path / "in"))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+
+
 def test_tracker_equals_brute_force_and_its_live_twin(spark, tmp_path):
     rng = random.Random(8)
     reads = {f"v{i}": noisy(rng, 150) for i in range(30)}
@@ -118,8 +131,7 @@ def test_tracker_equals_brute_force_and_its_live_twin(spark, tmp_path):
     batch = sorted((r.stem, r.t, r.kind, r.old, r.new) for r in tracker.tracked(rows).collect())
     assert batch == sorted((s, *e) for s, xs in reads.items() for e in slow_tracker(xs))
     assert {e[2] for e in batch} == {"kill", "reset"}
-    rows.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    stream = shuffled_stream(spark, rows, tmp_path)
     found = live.drained(spark, live.tracked(stream), f"file://{tmp_path}/live").collect()
     undone = Counter((r.stem, r.t, "kill", r.new, r.old) for r in found if r.kind == "undo")
     kept = Counter((r.stem, r.t, r.kind, r.old, r.new) for r in found if r.kind != "undo")
@@ -131,7 +143,7 @@ def states(rng, n):
 
 
 def test_live_twins_equal_batch(spark, tmp_path):
-    """Transitions, ends and runs over a stream in two batches, against the batch forms."""
+    """Transitions, ends and runs over shuffled micro-batches, against the batch forms."""
     rng = random.Random(3)
     rows = []
     for v in range(12):
@@ -141,9 +153,7 @@ def test_live_twins_equal_batch(spark, tmp_path):
             level = max(0, level + rng.choice([0, 0, 0, 1, -1])) if rng.random() < 0.4 else level
             rows.append((f"v{v}", float(i), s, level if rng.random() > 0.1 else None, rng.choice(["row_miss", "template"]) if rng.random() < 0.5 else "row_miss"))
     df = spark.createDataFrame(rows, "stem string, t double, state string, red long, method string")
-    df.where("t < 80").repartition(1).write.parquet(str(tmp_path / "in"))
-    df.where("t >= 80").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = lambda made=shuffled_stream(spark, df, tmp_path): made
     drained = lambda made, name: live.drained(spark, made, f"file://{tmp_path}/{name}")
     plain = lambda d, *c: sorted(map(tuple, d.select(*c).collect()))
     ends = plain(islands.streak_ends(df), "stem", "t", "eliminated")
@@ -156,6 +166,17 @@ def test_live_twins_equal_batch(spark, tmp_path):
     assert plain(drained(live.boundary_runs(stream(), "row_miss", 3), "runs"), "stem", "start", "last", "n") == plain(closed, "stem", "start", "last", "n")
 
 
+def test_silent_recordings_are_forgotten_and_late_readings_dropped(spark, tmp_path):
+    rows = [[("a", 10.0, 1), ("a", 11.0, 1), ("b", 10.0, 1)], [("a", 5000.0, 2), ("a", 5001.0, 2), ("b", 900.0, 1)], [("c", 5100.0, 1), ("b", 20.0, 1)], [("b", 9000.0, 2), ("b", 9001.0, 2)], [("z", 20000.0, 1)]]
+    for part in rows:
+        spark.createDataFrame(part, "stem string, t double, red long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("stem string, t double, red long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = lambda name, **kw: sorted(map(tuple, live.drained(spark, live.transitions(stream(), "red", **kw), f"file://{tmp_path}/{name}").collect()))
+    kept = [("a", 11.0, 5000.0, 1, 2, "win"), ("b", 900.0, 9000.0, 1, 2, "win")]
+    assert got("kept", late="30 seconds", idle="1 day") == kept
+    assert got("forgotten", late="30 seconds", idle="30 minutes") == []  # both are silent for longer: their values begin anew
+
+
 def test_skips_are_split_and_injected(spark):
     kills = spark.createDataFrame([("a", 50.0, 7, 9), ("b", 10.0, 6, 7), ("b", 60.0, 9, 10), ("c", 10.0, 6, 7), ("c", 60.0, 9, 10), ("d", 5.0, 1, 2)], "stem string, t double, from_k long, to_k long")
     miss = lambda s, *ts: [(s, t, None, "template_miss") for t in ts]
