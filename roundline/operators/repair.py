@@ -15,18 +15,19 @@ def gap_starts(reads: DataFrame) -> DataFrame:
     return runs.groupBy("stem", "run").agg(F.min("t").alias("gap")).select("stem", "gap")
 
 
-def split_skips(kills: DataFrame, reads: DataFrame, boundaries: DataFrame, low: int = 7) -> DataFrame:
+def split_skips(kills: DataFrame, reads: DataFrame, boundaries: DataFrame, gaps: DataFrame | None = None, low: int = 7) -> DataFrame:
     """Kills (stem, t, from_k, to_k) in which a step of two from ``low`` hides an
     unreadable value: where a boundary lies between the last sighting of ``low``
     and the kill, the first half moves to the last run of misses before the
     boundary.  Other kills stay as they are.
 
-    Only such steps are joined; a recording bounds all lists."""
+    Only such steps are joined; a recording bounds all lists.  ``gaps``: ``gap_starts`` of
+    the readings, where they are at hand."""
     skip = kills.where((F.col("from_k") == low) & (F.col("to_k") == low + 2)).select("stem", "t")
     seen = reads.where(F.col("k") == low).select("stem", F.col("t").alias("x"))
     last = skip.join(seen, "stem").where("x < t").groupBy("stem", "t").agg(F.max("x").alias("seen"))
     edge = last.join(boundaries.select("stem", F.col("t").alias("b")), "stem").where("b > seen and b < t").groupBy("stem", "t", "seen").agg(F.min("b").alias("b"))
-    hidden = edge.join(gap_starts(reads), "stem").where("gap > seen and gap < b").groupBy("stem", "t").agg(F.max("gap").alias("gap"))
+    hidden = edge.join(gap_starts(reads) if gaps is None else gaps, "stem").where("gap > seen and gap < b").groupBy("stem", "t").agg(F.max("gap").alias("gap"))
     both = kills.join(hidden.withColumns({"from_k": F.lit(low).cast("bigint"), "to_k": F.lit(low + 2).cast("bigint")}), ["stem", "t", "from_k", "to_k"], "left")
     step = lambda t, a, b: F.struct(t.alias("t"), F.lit(a).cast("bigint").alias("from_k"), F.lit(b).cast("bigint").alias("to_k"))
     same = F.struct("t", "from_k", "to_k")
@@ -34,7 +35,7 @@ def split_skips(kills: DataFrame, reads: DataFrame, boundaries: DataFrame, low:
     return both.select("stem", F.explode(made).alias("e")).select("stem", "e.*")
 
 
-def injected(kills: DataFrame, reads: DataFrame, boundaries: DataFrame, low: int = 7) -> DataFrame:
+def injected(kills: DataFrame, reads: DataFrame, boundaries: DataFrame, gaps: DataFrame | None = None, low: int = 7) -> DataFrame:
     """Kills and, where one reaches ``low`` and the next starts above the unreadable
     value after it, two more: to the unreadable value and to the one above it.
 
@@ -48,10 +49,10 @@ def injected(kills: DataFrame, reads: DataFrame, boundaries: DataFrame, low: int
     first = pair.join(seen, "stem", "left").groupBy("stem", "t", "next_t").agg(F.min(F.when((F.col("x") > F.col("t")) & (F.col("x") <= F.col("next_t") + 1.0), F.col("x"))).alias("x"))
     upper = first.select("stem", "t", F.coalesce("x", "next_t").alias("upper"))
     edge = upper.join(boundaries.select("stem", F.col("t").alias("b")), "stem", "left").groupBy("stem", "t", "upper").agg(F.min(F.when((F.col("b") > F.col("t")) & (F.col("b") < F.col("upper")), F.col("b"))).alias("b"))
-    gaps = edge.join(gap_starts(reads), "stem").where("gap > t and gap < upper").groupBy("stem", "t", "upper").agg(F.max(F.when(F.col("gap") < F.col("b"), F.col("gap"))).alias("before"), F.min("gap").alias("first"))
+    found = edge.join(gap_starts(reads) if gaps is None else gaps, "stem").where("gap > t and gap < upper").groupBy("stem", "t", "upper").agg(F.max(F.when(F.col("gap") < F.col("b"), F.col("gap"))).alias("before"), F.min("gap").alias("first"))
     number = lambda n: F.lit(n).cast("bigint")
-    lower = gaps.select("stem", F.coalesce("before", "first").alias("t"), number(low).alias("from_k"), number(low + 1).alias("to_k"))
-    above = gaps.select("stem", F.col("upper").alias("t"), number(low + 1).alias("from_k"), number(low + 2).alias("to_k"))
+    lower = found.select("stem", F.coalesce("before", "first").alias("t"), number(low).alias("from_k"), number(low + 1).alias("to_k"))
+    above = found.select("stem", F.col("upper").alias("t"), number(low + 1).alias("from_k"), number(low + 2).alias("to_k"))
     return kills.select("stem", "t", "from_k", "to_k").unionByName(lower).unionByName(above)
 
 

@@ -25,9 +25,12 @@ def _kills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("e18_skip_repair")
 def skip_repair(spark, sf_dir):
-    b = sequences.runs(spark, sf_dir).select("stem", ((F.col("start") + F.col("last")) / 2).alias("t"))
-    reads = A.hud_reads(spark, sf_dir)
-    return repair.injected(repair.split_skips(_kills(spark, sf_dir), reads, b), reads, b)
+    # each is used several times: written once
+    b = files.written(sequences.runs(spark, sf_dir).select("stem", ((F.col("start") + F.col("last")) / 2).alias("t")), "edges")
+    reads = files.written(A.hud_reads(spark, sf_dir).where("k in (7, 9) or method = 'template_miss'").select("stem", "rn", "t", "k", "method"), "sightings")
+    gaps = files.written(repair.gap_starts(A.hud_reads(spark, sf_dir)), "gaps")
+    kills = files.written(repair.split_skips(files.written(_kills(spark, sf_dir), "kills"), reads, b, gaps), "split")
+    return repair.injected(kills, reads, b, gaps)
 
 
 @plan("e19_kill_attribution")

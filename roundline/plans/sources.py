@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ..operators import islands, replay
 from ..sources import adapters as A
-from ..sources import files
+from ..sources import files, signal_source
 from . import judging, sequences
 from .base import plan
 
@@ -109,3 +110,25 @@ def write_guard(spark, sf_dir):
     except AnalysisException:
         refused = True
     return spark.read.option("header", True).schema("stem string, reads long").csv(path).withColumn("refused", F.lit(refused))
+
+
+@plan("a1_a2_signal_source", views="hud", sql="SELECT concat(stem, '.json') AS file, stem, 2 AS version, row_number() OVER (PARTITION BY stem ORDER BY t, rn) - 1 AS i, round(t, 3) AS t, k, round(conf, 3) AS conf, CASE WHEN method = 'click' THEN 'click' ELSE method END AS method, d, a FROM hud")
+def signal_documents(spark, sf_dir):
+    """Readings written as documents and read back through the data source."""
+    path = files.scratch(spark, "documents")
+    signal_source.write_signals(A.hud_reads(spark, sf_dir), path)
+    return signal_source.read_signals(spark, path).select("file", "stem", "version", "i", "t", "k", "conf", "method", "d", "a")
+
+
+@plan("a15_a18_incremental_replay", views="hud", sql=sequences.RUNS + ", m2 AS (SELECT median(CAST(stem[2:] AS BIGINT)) AS m FROM (SELECT DISTINCT stem FROM hud)) SELECT runs.*, CASE WHEN CAST(stem[2:] AS BIGINT) <= m THEN 1 ELSE 2 END AS run FROM runs, m2")
+def incremental_replay(spark, sf_dir):
+    """A first run over the older half of the recordings, a second over all: the results of the
+    first half are still those of the first run."""
+    folder = files.scratch(spark, "replay")
+    reads = A.hud_reads(spark, sf_dir)
+    number = F.substring("stem", 2, 20).cast("bigint")
+    older = reads.select("stem").distinct().agg(F.median(number)).first()[0]
+    compute = lambda rows: islands.status_runs(rows, "row_miss", sequences.MIN_RUN)
+    if older is not None:
+        replay.replayed(reads.where(number <= older), compute, folder)
+    return replay.replayed(reads, compute, folder)
