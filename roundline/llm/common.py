@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ def joined_to_one(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
     return rows.join(hot, key).unionByName(rest)
 
 
+def tidy(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """``run``, which at its end returns freed memory to the machine: Python workers are reused
+    by later stages, and would hold on to what their largest task took."""
+
+    def tidied(batches: Iterator[Any]) -> Iterator[Any]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
