@@ -30,6 +30,18 @@ class ChunkTable:
         self._chunks, self._encode, self._capacity = chunks, encode, capacity
         self._known: dict[str, bytes] = {}
 
+    def cut(self, text: str | None) -> list[str]:
+        return self._chunks(text) if text else []
+
+    def encoded(self, chunks: list[str]) -> list[bytes]:
+        return [np.asarray(i, dtype="<u4").tobytes() for i in self._encode(chunks)]
+
+    def with_known(self, known: dict[str, bytes], more: int) -> ChunkTable:
+        """A table that begins with the ids of ``known`` chunks and remembers ``more`` others."""
+        out = ChunkTable(self._chunks, self._encode, len(known) + more)
+        out._known = dict(known)
+        return out
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         cut = [self._chunks(t) if t else [] for t in texts]
@@ -40,7 +52,7 @@ class ChunkTable:
         look = known.__getitem__
         out = [b"".join(map(look, c)) for c in cut]
         full = len(known) > self._capacity
-        for c in new:
+        for c in new:  # never those that were there before
             if full or len(c) > LONG_CHUNK:
                 del known[c]
         return out

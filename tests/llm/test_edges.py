@@ -46,3 +46,27 @@ def test_language_blocks_shrink_with_the_languages(monkeypatch):
     small = model.posteriors(texts)
     assert max(taken) == 100 and len(taken) > 20
     assert np.allclose(whole[0], small[0], atol=1e-9) and (whole[1] == small[1]).all()
+
+
+def test_chunk_table_over_many_tasks(spark, monkeypatch):
+    """Words that several tasks have are in the table, once each; results are the library's."""
+    import numpy as np
+    import public_tokenizers
+    from roundline.llm import sentencepiece_codec as codec
+    from roundline.llm import tokens
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = tokens.piece_processor(model)
+    texts = [f"the shared words  of{' ' * (i % 3)} all own{i} é▁x {'y' * 70}" for i in range(40)] + ["", None, " ", "\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    table = codec.chunk_table(df, model)
+    chunks = table.column(0).to_pylist()
+    assert {"the", "shared", "words"} <= set(chunks) and not [c for c in chunks if c.startswith("own") or len(c) > tokens.LONG_CHUNK]
+    assert len(set(chunks)) == len(chunks) and all(np.frombuffer(i, "<u4").tolist() == (sp.encode(c) if c else [sp.piece_to_id("▁")]) for c, i in zip(chunks, table.column(1).to_pylist(), strict=True))
+    assert codec.chunk_table(df, model, most=2).num_rows == 2
+    for most, own in ((codec.TABLE_CHUNKS, codec.OWN_CHUNKS), (1, 1)):
+        monkeypatch.setattr(codec, "OWN_CHUNKS", own)
+        monkeypatch.setattr(codec.chunk_table, "__defaults__", ("text", most))
+        for r in codec.encode_decode(df, model).collect():
+            ids = [*sp.encode(texts[r.doc_id] or ""), 2]
+            assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == sp.decode(ids) and r.n_tokens == len(ids)
