@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import partitions, table
+from .common import partitions, table, tidy
 
 #: words of the broadcast table, words that a worker adds of its own, and distinct words that a task counts at once
-TABLE_CHUNKS, OWN_CHUNKS, _COUNTED = 300_000, 100_000, 1_000_000
+TABLE_CHUNKS, OWN_CHUNKS, _COUNTED = 200_000, 100_000, 200_000
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -63,9 +63,9 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text", most: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(known.encoded(b.column(0).to_pylist()), pa.binary())], names=["chunk", "ids"])
 
-    sums = docs.select(text_col).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    sums = docs.select(text_col).mapInArrow(tidy(count), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
     top = sums.where("parts > 1").orderBy(F.desc("n"), "chunk").limit(most).select("chunk")
-    return top.repartition(partitions(docs.sparkSession), "chunk").mapInArrow(segment, "chunk string, ids binary").toArrow()
+    return top.repartition(partitions(docs.sparkSession), "chunk").mapInArrow(tidy(segment), "chunk string, ids binary").toArrow()
 
 
 #: the worker's table for the last run: (name of the run, table)
