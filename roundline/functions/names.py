@@ -57,6 +57,11 @@ def names_match(a: Column, b: Column) -> Column:
     return _match(a, b, stripped(a), stripped(b))
 
 
+def normal_match(na: Column, nb: Column, ca: Column, cb: Column) -> Column:
+    """``texts_match`` for normal and kept forms made beforehand."""
+    return _match(na, nb, ca, cb)
+
+
 def forms_match(na: Column, nb: Column, ca: Column, cb: Column) -> Column:
     """Whether normal forms, or the kept parts, are one name; for forms made beforehand."""
     parts = (ca != "") & (cb != "") & ((ca == cb) | _contains(ca, cb, 4) | _match(ca, cb, ca, cb))

@@ -12,8 +12,12 @@ key that both sides have:
 * containment: the shorter name is looked up by its rarest run of four characters among
   all runs of the longer ones.
 
-So no match is missed, and the pairs that meet grow with the matches.  Candidates are
-verified by the caller.
+So no match is missed, and the pairs that meet grow with the matches.  The texts of a
+recording that has ``SMALL`` of them at most are all compared instead: that is less work than
+the keys of the index.  Candidates are verified by the caller.
+
+Exploded keys are far more than the texts' size tells Spark, so no join of them may be a
+broadcast: all are hinted.
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import names
+from ..sources import files
 
+#: distinct texts of a side up to which a recording's pairs are all compared, and of one block of
+#: them that meets another in one place
+SMALL = 1000
 #: most edits between matching names, the shortest run that counts as contained, and the
 #: length up to which deletions are indexed (strings that differ by MOST_EDITS from it too)
 MOST_EDITS, GRAM, DELETED = 3, 4, 16
@@ -113,27 +121,75 @@ def _narrow(f: DataFrame, wide: DataFrame, by: str, text: str) -> DataFrame:
     counts = wide.where("key like 'g%'").groupBy(by, "key").agg(F.count("*").alias("n"))
     grams = f.select(by, text, F.explode(_tagged("g", _grams(F.col("c")))).alias("key"))
     # a run that no partner has rules containment out, so its count of none comes first
-    rarest = grams.join(counts, [by, "key"], "left").groupBy(by, text).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
+    rarest = grams.hint("merge").join(counts, [by, "key"], "left").groupBy(by, text).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
     pieces_ = f.select(by, text, F.explode(F.array_distinct(F.concat(_tagged("p", _pieces(F.col("n"))), _tagged("p", _pieces(other))))).alias("key"))
     return rarest.select(by, text, "k.key").unionByName(pieces_)
 
 
+def _crossed(f: DataFrame, g: DataFrame, sizes: DataFrame, by: str, text: str) -> DataFrame:
+    """(by, x, nx, cx, y, ny, cy): all texts of ``f`` with all of ``g`` in each group of ``sizes``
+    (by, f_texts, g_texts).  Large groups meet in blocks, so no task or key holds one whole."""
+    spark = f.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda c: F.ceil(F.col(c) / SMALL).cast("int")
+    own = lambda c: F.pmod(F.xxhash64(text), blocks(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    side = lambda d, to, i, j: d.hint("merge").join(sizes, by).select(by, F.col(text).alias(to), F.col("n").alias(f"n{to}"), F.col("c").alias(f"c{to}"), i.alias("__i"), j.alias("__j"))
+    x, y = side(f, "x", own("f_texts"), F.lit(0)).drop("__j"), side(g, "y", F.lit(0), own("g_texts")).drop("__i")
+    x = x.hint("merge").join(sizes.select(by, all_of("g_texts").alias("__j")), by)
+    y = y.hint("merge").join(sizes.select(by, all_of("f_texts").alias("__i")), by)
+    # a partition's pairs are many more than its bytes tell, so the number of partitions is fixed
+    keys = [by, "__i", "__j"]
+    return x.repartition(n, *keys).hint("merge").join(y.repartition(n, *keys), keys).drop("__i", "__j")
+
+
+def _prepared(left: DataFrame, right: DataFrame | None, by: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forms of both sides and (by, f_texts, g_texts) of the groups that both have: written once."""
+    f = files.written(forms(left.where(F.col(text).isNotNull()), by, text), "names")
+    g = f if right is None else files.written(forms(right.where(F.col(text).isNotNull()), by, text), "names")
+    count = lambda d, to: d.groupBy(by).agg(F.count("*").alias(to))
+    return f, g, files.written(count(f, "f_texts").join(count(g, "g_texts"), by), "sizes")
+
+
+def all_pairs(texts: DataFrame, by: str = "stem", text: str = "text") -> DataFrame:
+    """(by, x, y, nx, ny, cx, cy): all pairs x < y of a group's distinct texts, with the normal and
+    kept forms of both."""
+    f, g, sizes = _prepared(texts, None, by, text)
+    return _crossed(f, g, sizes, by, text).where("x < y")
+
+
+def formed_candidates(left: DataFrame, right: DataFrame | None = None, by: str = "stem", text: str = "text") -> DataFrame:
+    """``candidates`` with the normal and kept forms of both texts (nx, ny, cx, cy)."""
+    f, g, sizes = _prepared(left, right, by, text)
+    few = F.greatest("f_texts", "g_texts") <= SMALL
+    near = _crossed(f, g, sizes.where(few), by, text).where(names.forms_match(*(F.col(c) for c in ("nx", "ny", "cx", "cy"))))
+    large = sizes.where(~few).select(by)
+    far = _indexed(f.hint("merge").join(large, by), None if right is None else g.hint("merge").join(large, by), by, text)
+    form = lambda c: {f"n{c}": names.normal(F.col(c)), f"c{c}": names.core(F.col(c))}
+    return (near.where("x < y") if right is None else near).unionByName(far.withColumns(form("x") | form("y")))
+
+
 def candidates(left: DataFrame, right: DataFrame | None = None, by: str = "stem", text: str = "text") -> DataFrame:
     """(by, x, y): pairs of distinct texts of ``left`` and ``right`` that may match, each once;
     with one side only, pairs with x < y.  Null texts match nothing."""
-    f = forms(left.where(F.col(text).isNotNull()), by, text)
-    g = f if right is None else forms(right.where(F.col(text).isNotNull()), by, text)
+    return formed_candidates(left, right, by, text).select(by, "x", "y")
+
+
+def _indexed(f: DataFrame, g: DataFrame | None, by: str, text: str) -> DataFrame:
+    """(by, x, y) that share a key of the index, each once; ``g`` None: pairs of ``f`` with x < y."""
+    one_side, g = g is None, f if g is None else g
     name = lambda d, to: d.withColumnRenamed(text, to)
+    met = lambda a, b: a.hint("merge").join(b, [by, "key"]).select(by, "x", "y")
     wf = _wide(f, by, text)
-    wg = wf if right is None else _wide(g, by, text)
-    pairs = name(_alike(f, by, text), "x").join(name(_alike(g, by, text), "y"), [by, "key"])
-    pairs = pairs.unionByName(name(_narrow(f, wg, by, text), "x").join(name(wg, "y"), [by, "key"]))
-    if right is not None:
-        pairs = pairs.unionByName(name(_narrow(g, wf, by, text), "y").join(name(wf, "x"), [by, "key"]))
-        return pairs.select(by, "x", "y").distinct()
+    wg = wf if one_side else _wide(g, by, text)
+    pairs = met(name(_alike(f, by, text), "x"), name(_alike(g, by, text), "y"))
+    pairs = pairs.unionByName(met(name(_narrow(f, wg, by, text), "x"), name(wg, "y")))
+    if not one_side:
+        return pairs.unionByName(met(name(_narrow(g, wf, by, text), "y"), name(wf, "x"))).distinct()
     return pairs.where("x <> y").select(by, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def matches(left: DataFrame, right: DataFrame | None = None, by: str = "stem", text: str = "text") -> DataFrame:
     """(by, x, y): pairs of distinct texts that are one name by ``names.texts_match``."""
-    return candidates(left, right, by, text).where(names.texts_match(F.col("x"), F.col("y")))
+    one_name = names.normal_match(*(F.col(c) for c in ("nx", "ny", "cx", "cy")))
+    return formed_candidates(left, right, by, text).where(one_name).select(by, "x", "y")

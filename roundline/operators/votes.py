@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..sources import files
 from . import name_index
 
 CLUSTERS = "stem string, rank long, canonical string, core string, weight double, samples long, best_conf double, variants array<string>"
@@ -59,9 +60,9 @@ def clusters(votes: DataFrame) -> DataFrame:
 
     Candidates come from the name index over the distinct texts of a recording; the fold
     sees the matched pairs only."""
-    d = summed(votes).withColumn("r", F.row_number().over(W.partitionBy("stem").orderBy(F.desc("weight"), "first")))
-    one_name = names.forms_match(names.normal(F.col("x")), names.normal(F.col("y")), names.core(F.col("x")), names.core(F.col("y")))
-    pairs = name_index.candidates(d).where(one_name)
+    d = files.written(summed(votes), "texts").withColumn("r", F.row_number().over(W.partitionBy("stem").orderBy(F.desc("weight"), "first")))
+    one_name = names.forms_match(*(F.col(c) for c in ("nx", "ny", "cx", "cy")))
+    pairs = name_index.formed_candidates(d).where(one_name).select("stem", "x", "y")
     rank = lambda side, to: d.select("stem", F.col("text").alias(side), F.col("r").alias(to))
     links = pairs.join(rank("x", "__x"), ["stem", "x"]).join(rank("y", "__y"), ["stem", "y"])
     links = links.groupBy("stem", F.greatest("__x", "__y").alias("r")).agg(F.sort_array(F.collect_list(F.least("__x", "__y"))).alias("leaders"))

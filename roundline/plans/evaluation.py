@@ -59,7 +59,7 @@ def own_cluster(spark, sf_dir):
     v = stripped_votes(spark, sf_dir)
     members = files.written(votes.clusters(v).select("stem", "rank", "canonical", F.explode("variants").alias("x")), "members")
     strong = v.where("weight > 2").select("stem", "text")
-    hit = members.join(name_index.matches(members.select("stem", F.col("x").alias("text")), strong), ["stem", "x"])
+    hit = members.hint("merge").join(name_index.matches(members.select("stem", F.col("x").alias("text")), strong), ["stem", "x"])
     return hit.groupBy("stem").agg(F.min("rank").alias("rank"), F.min_by("canonical", "rank").alias("canonical"))
 
 

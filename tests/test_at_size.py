@@ -1,7 +1,7 @@
 """Steps whose cost would outgrow the tables: what is joined, broadcast or held at once."""
 
 from pyspark.sql import functions as F
-from roundline.operators import verify
+from roundline.operators import name_index, verify
 
 
 def plan_of(df):
@@ -14,3 +14,25 @@ def test_repeats_of_rows_are_not_broadcast(spark, tmp_path):
     pairs = verify._swapped(spark.read.parquet(f"{tmp_path}/rows"), ["x"], ("stem", "seg"), 3, 42)
     assert "SortMergeJoin [rank" in plan_of(pairs)
     assert sorted(r["count"] for r in pairs.groupBy("repeat").count().collect()) == [50] * 4
+
+
+def test_keys_of_names_are_not_broadcast(spark, tmp_path):
+    """Neither the keys of large recordings nor the pairs of small ones are broadcast."""
+    spark.createDataFrame([("s", f"name{i}") for i in range(30)], "stem string, text string").write.parquet(f"{tmp_path}/names")
+    t = spark.read.parquet(f"{tmp_path}/names")
+    assert "BroadcastHashJoin" not in plan_of(name_index.matches(t)) + plan_of(name_index.matches(t, t))
+
+
+def test_small_and_large_recordings_have_the_same_matches(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"s{i % 2}", t) for i, t in enumerate(["null", "nu11", "abcdef", "abcdxf", "xxabcdef", "zz", "z", "player one", "playerone", "qqqqqqqq", None] * 2)], "stem string, text string")
+    found = []
+    for small in (name_index.SMALL, 1):  # of two texts on, the index
+        monkeypatch.setattr(name_index, "SMALL", small)
+        found.append([sorted(map(tuple, d.collect())) for d in (name_index.matches(rows), name_index.matches(rows, rows.where("text > 'b'")))])
+    assert found[0] == found[1] and found[0][0]
+
+
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(name_index, "SMALL", 4)
+    rows = spark.createDataFrame([("s", f"n{i % 23}") for i in range(40)] + [("t", "a")], "stem string, text string")
+    assert name_index.all_pairs(rows).count() == 23 * 22 // 2
