@@ -49,7 +49,7 @@ def mss(spark, sf_dir):
 @plan("b3_time_texts", sql="""SELECT event_id,
   concat(floor(s / 60)::BIGINT, ':', lpad(printf('%.2f', s - floor(s / 60) * 60), 5, '0')) AS mss_hundredths,
   concat(r // 3600, ':', lpad(((r % 3600) // 60)::VARCHAR, 2, '0'), ':', lpad((r % 60)::VARCHAR, 2, '0')) AS hms,
-  concat(lpad((r // 3600)::VARCHAR, 2, '0'), 'h', lpad(((r % 3600) // 60)::VARCHAR, 2, '0'), 'm', lpad((r % 60)::VARCHAR, 2, '0'), 's') AS stamp
+  concat(lpad((r // 3600)::VARCHAR, greatest(2, length((r // 3600)::VARCHAR))::INTEGER, '0'), 'h', lpad(((r % 3600) // 60)::VARCHAR, 2, '0'), 'm', lpad((r % 60)::VARCHAR, 2, '0'), 's') AS stamp
  FROM (SELECT event_id, s, CAST(round_even(s, 0) AS BIGINT) AS r FROM (SELECT event_id, CAST(event_id AS DOUBLE) / 4 AS s FROM events))""")
 def time_texts(spark, sf_dir):
     s = F.col("event_id").cast("double") / 4

@@ -1,6 +1,9 @@
 """Steps whose cost would outgrow the tables: what is joined, broadcast or held at once."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
+from roundline import registry
 from roundline.operators import name_index, verify
 
 
@@ -36,3 +39,14 @@ def test_all_pairs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(name_index, "SMALL", 4)
     rows = spark.createDataFrame([("s", f"n{i % 23}") for i in range(40)] + [("t", "a")], "stem string, text string")
     assert name_index.all_pairs(rows).count() == 23 * 22 // 2
+
+
+def test_stamps_of_a_hundred_hours(spark, tmp_path):
+    """The SQL once cut hours to two digits."""
+    spark.range(1_439_990, 1_440_010).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    df = registry.queries()["b3_time_texts"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    theirs = c.execute(registry.oracle_sql()["b3_time_texts"]).fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(theirs)
+    assert "100h00m00s" in {r[3] for r in theirs}
