@@ -108,6 +108,12 @@ def match_score(a: Column, b: Column) -> Column:
     return _let(a, b, _score)
 
 
+def pair_match(a: Column, b: Column, na: Column, nb: Column, ca: Column, cb: Column) -> tuple[Column, Column, Column]:
+    """``texts_match``, ``cores_match`` and ``match_score`` for forms made beforehand."""
+    x = {"a": a, "b": b, "na": na, "nb": nb, "ca": ca, "cb": cb}
+    return _texts(x), _cores(x), _score(x)
+
+
 def header_base(text: Column) -> Column:
     head = F.split(F.replace(text, F.lit(" "), F.lit("")), r"\(")[0]
     return F.regexp_replace(head, "[^가-힣a-zA-Z]", "")

@@ -401,21 +401,18 @@ def normal_names(spark, sf_dir):
     return A.votes(spark, sf_dir).select("ord", names.normal(t).alias("normal"), names.stripped(t).alias("stripped"), names.core(t).alias("core"))
 
 
-_DISTINCT = ", s AS (SELECT DISTINCT stem, " + _STRIP("text") + " AS text FROM votes)"
+_DISTINCT = ", s AS (SELECT DISTINCT stem, " + _STRIP("text") + " AS text FROM source_votes)"
 
 
-_MATCHED = f"{sql_match(_NORM('a.text'), _NORM('b.text'))}"
-
-
-@plan("s4_levenshtein", views="votes", sql=_DISTINCT + f" SELECT a.stem, a.text AS x, b.text AS y, levenshtein(a.text, b.text) AS distance FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text WHERE {_MATCHED}")
+@plan("s4_levenshtein", views="source_votes", sql=_DISTINCT + " SELECT a.stem, a.text AS x, b.text AS y, levenshtein(a.text, b.text) AS distance FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text")
 def levenshtein(spark, sf_dir):
-    """Edits between the names of a recording that are the same but for reading errors."""
-    return name_index.matches(stripped_votes(spark, sf_dir)).select("stem", "x", "y", F.levenshtein("x", "y").cast("bigint").alias("distance"))
+    """Edits between all distinct names of a source."""
+    return name_index.all_pairs(stripped_votes(spark, sf_dir)).select("stem", "x", "y", F.levenshtein("x", "y").cast("bigint").alias("distance"))
 
 
 def stripped_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # of kept characters, as DuckDB's distance counts bytes
-    return A.votes(spark, sf_dir).select("stem", names.stripped(F.col("text")).alias("text"))
+    return A.source_votes(spark, sf_dir).select("stem", names.stripped(F.col("text")).alias("text"))
 
 
 _NEAR_NULL = """CASE ord % 6 WHEN 0 THEN 'nu11' WHEN 1 THEN ' Null ' WHEN 2 THEN 'nulk' WHEN 3 THEN 'nothing' WHEN 4 THEN text ELSE 'mull' END"""
@@ -430,12 +427,12 @@ def null_names(spark, sf_dir):
     return v.select("ord", names.is_null_name(names.normal(n)).alias("is_null_name"), names.is_null_text(n).alias("is_null_text"), names.canonical(n).alias("canonical"))
 
 
-@plan("s6_s8_name_match", views="votes", sql=_DISTINCT + f""" SELECT a.stem, a.text AS x, b.text AS y, {sql_match(_NORM('a.text'), _NORM('b.text'))} AS matched, {sql_cores('a.text', 'b.text')} AS cores, round({sql_score('a.text', 'b.text')}, 9) AS score
- FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text WHERE {sql_cores('a.text', 'b.text')}""")
+@plan("s6_s8_name_match", views="source_votes", sql=_DISTINCT + f""" SELECT a.stem, a.text AS x, b.text AS y, {sql_match(_NORM('a.text'), _NORM('b.text'))} AS matched, {sql_cores('a.text', 'b.text')} AS cores, round({sql_score('a.text', 'b.text')}, 9) AS score
+ FROM s a JOIN s b ON a.stem = b.stem AND b.text > a.text""")
 def name_match(spark, sf_dir):
-    """Pairs of names of a recording that match whole or by their cores."""
-    x, y = F.col("x"), F.col("y")
-    return name_index.candidates(stripped_votes(spark, sf_dir)).where(names.cores_match(x, y)).select("stem", "x", "y", names.texts_match(x, y).alias("matched"), names.cores_match(x, y).alias("cores"), F.round(names.match_score(x, y), 9).alias("score"))
+    """All pairs of distinct names of a source: whether they match whole or by their cores, and how well."""
+    matched, cores, score = names.pair_match(*(F.col(c) for c in ("x", "y", "nx", "ny", "cx", "cy")))
+    return name_index.all_pairs(stripped_votes(spark, sf_dir)).select("stem", "x", "y", matched.alias("matched"), cores.alias("cores"), F.round(score, 9).alias("score"))
 
 
 _HEADERS = ["스카우터 (L)", "스카무터2 (L)", "Scouter Z", "(L)", "player one", "  ", "[]", "K 12/3", "win", "x", "77 12", "스무무터"]

@@ -50,3 +50,16 @@ def test_stamps_of_a_hundred_hours(spark, tmp_path):
     theirs = c.execute(registry.oracle_sql()["b3_time_texts"]).fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(theirs)
     assert "100h00m00s" in {r[3] for r in theirs}
+
+
+def names_of_sources(spark, data):
+    from roundline.functions import names
+    from roundline.sources import adapters as A
+
+    return A.source_votes(spark, data).select("stem", names.stripped(F.col("text")).alias("text")).distinct()
+
+
+@pytest.mark.parametrize("name", ["s4_levenshtein", "s6_s8_name_match"])
+def test_all_names_of_a_source_are_compared(spark, data, name):
+    sizes = [r["count"] for r in names_of_sources(spark, data).groupBy("stem").count().collect()]
+    assert registry.queries()[name](spark, data).count() == sum(n * (n - 1) // 2 for n in sizes)
