@@ -63,3 +63,8 @@ def names_of_sources(spark, data):
 def test_all_names_of_a_source_are_compared(spark, data, name):
     sizes = [r["count"] for r in names_of_sources(spark, data).groupBy("stem").count().collect()]
     assert registry.queries()[name](spark, data).count() == sum(n * (n - 1) // 2 for n in sizes)
+
+
+def test_confirmation_looks_through_whole_sources(spark, data):
+    stems = {r.stem for r in registry.queries()["c13_cross_confirmation"](spark, data).select("stem").distinct().collect()}
+    assert stems and all(s.startswith("src") for s in stems)
