@@ -68,3 +68,8 @@ def test_all_names_of_a_source_are_compared(spark, data, name):
 def test_confirmation_looks_through_whole_sources(spark, data):
     stems = {r.stem for r in registry.queries()["c13_cross_confirmation"](spark, data).select("stem").distinct().collect()}
     assert stems and all(s.startswith("src") for s in stems)
+
+
+def test_team_mates_are_those_of_the_whole_source(spark, data):
+    stems = {r.stem for r in registry.queries()["c24_team_by_names"](spark, data).select("stem").distinct().collect()}
+    assert stems and all(s.startswith("src") for s in stems)
