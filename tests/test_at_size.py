@@ -73,3 +73,8 @@ def test_confirmation_looks_through_whole_sources(spark, data):
 def test_team_mates_are_those_of_the_whole_source(spark, data):
     stems = {r.stem for r in registry.queries()["c24_team_by_names"](spark, data).select("stem").distinct().collect()}
     assert stems and all(s.startswith("src") for s in stems)
+
+
+def test_explicit_sources_come_first(spark, data):
+    """Recordings numbered from v00000 never had an explicit folder."""
+    assert {r.source for r in registry.queries()["a21_source_fallback"](spark, data).collect()} == {"explicit", "convention"}
