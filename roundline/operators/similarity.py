@@ -1,9 +1,9 @@
 """Similarity, clustering and scoring of glyph vectors.
 
-Vectors are arrays of 0 and 1.  Similar pairs come from a prefix filter: of two
-vectors with a similarity of ``least`` or more each has, among its first
-``n - ceil(least n) + 1`` ones, one that the other has among its first, so only
-vectors that share such a place meet and no pair is lost.
+Vectors are arrays of 0 and 1.  Similar pairs come from all pairs of a class, as dense
+vectors share places with nearly all others and no filter on places keeps them apart:
+blocks of packed vectors meet, and a product of two matrices counts the common ones of
+all their pairs.  A task holds two blocks and hands on the similar pairs only.
 """
 
 from __future__ import annotations
@@ -11,15 +11,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import folds
 
 #: prototypes that one broadcast may hold
 MOST_PROTOTYPES = 10_000
+#: vectors of a block, and rows of a matrix of counts held at once
+BLOCK, ROWS = 4096, 512
 
 
 def binary(vector: Column, threshold: float = 0.0) -> Column:
@@ -49,22 +53,74 @@ def shifted(bits: Column, by: int) -> Column:
     return F.concat(zeros, F.slice(bits, 1, n - by)) if by > 0 else F.concat(F.slice(bits, 1 - by, n + by), zeros)
 
 
+def _blocks(vectors: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, width, block, blocks, ids, bits): vectors of a class and length in blocks of about
+    ``BLOCK``, packed.  Vectors that are null or hold null are like no other."""
+    sound = vectors.where(F.col(by).isNotNull() & F.col("bits").isNotNull() & F.forall("bits", lambda x: x.isNotNull()))
+    sound = sound.select(by, F.size("bits").alias("width"), F.col(key).cast("long").alias("id"), F.col("bits").cast("array<tinyint>").alias("bits"))
+    sizes = sound.groupBy(by, "width").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a class and length
+    rows = sound.join(F.broadcast(sizes), [by, "width"]).withColumn("block", F.pmod(F.xxhash64("id", "bits"), "blocks").cast("int"))
+    kind = rows.schema[by].dataType.simpleString()
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        bits = np.packbits(np.array(part.bits.to_list(), dtype=np.uint8).reshape(len(part), -1), axis=1)
+        first = part[[by, "width", "block", "blocks"]].iloc[:1]
+        return first.assign(ids=[part.id.to_numpy(dtype=np.int64).tobytes()], bits=[bits.tobytes()])
+
+    return rows.groupBy(by, "width", "block").applyInPandas(pack, f"{by} {kind}, width int, block int, blocks int, ids binary, bits binary")
+
+
+def _moved(x: np.ndarray, by: int) -> np.ndarray:
+    """Rows of bits moved ``by`` places to the right (left, if negative), zeros moving in."""
+    out = np.zeros_like(x)
+    width = x.shape[1]
+    if abs(by) < width:
+        out[:, max(0, by) : width + min(0, by)] = x[:, max(0, -by) : width - max(0, by)]
+    return out
+
+
+def _best(a: np.ndarray, b: np.ndarray, shifts: tuple[int, ...], of_first: bool) -> np.ndarray:
+    """Similarities of all rows of ``a`` and ``b``, the best over shifts of one of them."""
+    best = np.zeros((len(a), len(b)))
+    for s in shifts:
+        x, y = (_moved(a, s), b) if of_first else (a, _moved(b, s))
+        both = (x @ y.T).astype(np.float64)
+        either = x.sum(axis=1, dtype=np.float64)[:, None] + y.sum(axis=1, dtype=np.float64)[None, :] - both
+        np.maximum(best, np.divide(both, either, out=np.zeros_like(both), where=either > 0), out=best)
+    return best
+
+
 def similar_pairs(vectors: DataFrame, least: float, shifts: tuple[int, ...] = (0,), by: str = "label", key: str = "vec_id") -> DataFrame:
     """(by, a, b, iou): pairs a < b of one class whose similarity, the best over shifts
-    of b, is ``least`` (over 0) or more.  Equal vectors are compared once a class."""
-    distinct = vectors.groupBy(by, "bits").agg(F.min(key).alias("one"))
-
-    def headed(bits: Column) -> Column:
-        ones = F.filter(F.transform(bits, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
-        return F.slice(ones, 1, F.greatest(F.lit(0), F.size(ones) - F.ceil(F.size(ones) * least - 1e-9).cast("int") + 1))
-
-    a = distinct.select(by, F.col("one").alias("x"), F.col("bits").alias("bits_x"), F.explode(headed(F.col("bits"))).alias("place"))
-    moved = F.explode(F.array(*(F.struct(F.lit(s).alias("by"), shifted(F.col("bits"), s).alias("bits")) for s in shifts)))
-    b = distinct.select(by, F.col("one").alias("y"), moved.alias("m")).select(by, "y", F.col("m.bits").alias("bits_y"), F.explode(headed(F.col("m.bits"))).alias("place"))
-    met = a.join(b, [by, "place"]).groupBy(by, "x", "y").agg(F.max(iou(F.col("bits_x"), F.col("bits_y"))).alias("iou")).where(F.col("iou") >= least)
-    members = vectors.select(by, key, "bits").join(distinct, [by, "bits"]).select(by, key, "one")
-    first, second = (members.select(by, F.col(key).alias(k), F.col("one").alias(o)) for k, o in (("a", "x"), ("b", "y")))
-    return met.join(first, [by, "x"]).join(second, [by, "y"]).where("a < b").select(by, "a", "b", F.round("iou", 9).alias("iou"))
+    of b, is ``least`` (over 0) or more."""
+    spark = vectors.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = files.written(_blocks(vectors, by, key), "blocks")
+    left = blocks.select(by, "width", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("ids").alias("ids_i"), F.col("bits").alias("bits_i"))
+    right = blocks.select(by, "width", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("ids").alias("ids_j"), F.col("bits").alias("bits_j"))
+    keys = [by, "width", "i", "j"]
+    met = left.repartition(n, *keys).hint("merge").join(right.repartition(n, *keys), keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                label, width, i, j, *parts = (c[r] for c in batch.columns)
+                width, one_block = width.as_py(), i.as_py() == j.as_py()
+                ids = [np.frombuffer(p.as_py(), dtype=np.int64) for p in parts[::2]]
+                a, b = (np.unpackbits(np.frombuffer(p.as_py(), dtype=np.uint8).reshape(len(x), -1), axis=1)[:, :width].astype(np.float32) for p, x in zip(parts[1::2], ids, strict=True))
+                for at in range(0, len(a), ROWS):
+                    own = ids[0][at : at + ROWS, None]
+                    first = own < ids[1][None, :]  # else ``a`` is the later one, which moves
+                    like = _best(a[at : at + ROWS], b, shifts, False)
+                    if shifts != (0,) and not one_block:
+                        like = np.where(first, like, _best(a[at : at + ROWS], b, shifts, True))
+                    # each pair of one block is there in both orders
+                    x, y = np.nonzero((like >= least) & (first if one_block else own != ids[1][None, :]))
+                    p, q = own[x, 0], ids[1][y]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(label, len(x)), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(like[x, y])], names=[by, "a", "b", "iou"])
+
+    kind = blocks.schema[by].dataType.simpleString()
+    return met.select(*keys, "ids_i", "bits_i", "ids_j", "bits_j").mapInArrow(run, f"{by} {kind}, a long, b long, iou double").withColumn("iou", F.round("iou", 9))
 
 
 def medoids(members: DataFrame, most: int = 60, by: str = "label", key: str = "vec_id") -> DataFrame:
