@@ -103,3 +103,9 @@ def test_similar_pairs_meet_in_blocks(spark, monkeypatch):
         want = {(la, a, b): max(iou(x, moved(y, s)) for s in shifts) for a, la, x in sound for b, lb, y in sound if a < b and la == lb and len(x) == len(y)}
         got = {(r.label, r.a, r.b): r.iou for r in similarity.similar_pairs(df, 0.5, shifts).collect()}
         assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items() if v >= 0.5} and got
+
+
+def test_bands_are_counted_by_value(spark, data):
+    """Rows of a group do not meet in pairs."""
+    df = registry.queries()["c26_densest_band"](spark, data)
+    assert "Join" not in plan_of(df)
