@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from roundline import registry
-from roundline.operators import name_index, similarity, verify
+from roundline.operators import boosting, name_index, similarity, verify
 
 
 def plan_of(df):
@@ -109,3 +110,23 @@ def test_bands_are_counted_by_value(spark, data):
     """Rows of a group do not meet in pairs."""
     df = registry.queries()["c26_densest_band"](spark, data)
     assert "Join" not in plan_of(df)
+
+
+def test_models_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """A pass over one part of rows is several tasks, with the sums of one task; many models of
+    several shapes by matrix products equal few models one by one."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(1, 12), rng.randrange(2), bytes([rng.randrange(9), rng.randrange(4)])) for _ in range(300)]
+    spark.createDataFrame(rows, "model int, y int, bins binary").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    t = spark.read.parquet(f"{tmp_path}/rows")
+    own = [[sum(1 for m, y, _ in rows if m == i and y == c) for c in (0, 1)] for i in range(12)]
+    counts = np.array(own, dtype=float).sum(axis=0) - np.array(own, dtype=float)
+    made = []
+    for models, many in ((64, 100), (3, 2)):
+        monkeypatch.setattr(boosting, "_MODELS", models)
+        monkeypatch.setattr(boosting, "_MANY", many)
+        made.append(boosting.boosted(t, 12, 2, counts, rounds=3, bins=16))
+    one, dealt = made
+    for a, b in zip(one.leaf, dealt.leaf, strict=True):
+        assert a == pytest.approx(b, abs=1e-12)
+    assert len({tuple(f) for f in np.concatenate(one.leaf).T.round(9).tolist()}) > 1
