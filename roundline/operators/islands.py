@@ -93,20 +93,33 @@ def streak_ends(states: DataFrame, active: int = 3, ended: int = 3, gap: float =
     return folds.folded(rows, by, ["t", "state"], lambda held, row: eliminated(held, *row, active, ended, gap), f"{by} string, t double, eliminated string")
 
 
+def confirmed_changes(reads: DataFrame, values: list[str], by: str = "stem", t: str = "t", least: int = 2, order: tuple[str, ...] = ()) -> DataFrame:
+    """Changes of each of ``values`` between values seen ``least`` times in a row, nulls left out:
+    (by, t_lo, t_hi, old, new, kind, side: the column's name).
+
+    ``t_hi`` is the new run's first time, ``t_lo`` the last time before it that the old value was
+    seen.  A fall is a ``reset``, a rise a ``win``.  All columns are running values over one order
+    (``t``, then ``order``), so one sort serves them all; ``values`` have one type."""
+    w = W.partitionBy(by).orderBy(t, *order)
+    so_far, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    names = [(v, f"__{i}") for i, v in enumerate(values)]
+    rows = reads.select(by, t, *order, *(F.col(v).alias(n) for v, n in names))
+    was = lambda c, over: F.last(c, ignorenulls=True).over(over)
+    # the reading's place among those with a value, and where its run began
+    rows = rows.withColumns({f"{n}n": F.count(n).over(so_far) for _, n in names} | {f"{n}p": was(n, before) for _, n in names})
+    new = {n: F.col(n).isNotNull() & ~F.col(n).eqNullSafe(F.col(f"{n}p")) for _, n in names}
+    rows = rows.withColumns({f"{n}r": was(F.when(new[n], F.struct(F.col(f"{n}n").alias("n"), F.col(t).alias("t"))), so_far) for _, n in names})
+    sure = {n: F.col(n).isNotNull() & (F.col(f"{n}n") - F.col(f"{n}r.n") + 1 == least) for _, n in names}
+    rows = rows.withColumns({f"{n}s": was(F.when(sure[n], F.col(n)), so_far) for _, n in names} | {f"{n}o": was(F.when(sure[n], F.col(n)), before) for _, n in names})
+    # sightings of the value that is sure
+    rows = rows.withColumns({f"{n}l": was(F.when(F.col(n) == F.col(f"{n}s"), F.col(t)), before) for _, n in names})
+    found = [F.when(sure[n] & (F.col(n) != F.col(f"{n}o")), F.struct(F.col(f"{n}l").alias("t_lo"), F.col(f"{n}r.t").alias("t_hi"), F.col(f"{n}o").alias("old"), F.col(n).alias("new"), F.when(F.col(n) > F.col(f"{n}o"), "win").otherwise("reset").alias("kind"), F.lit(v).alias("side"))) for v, n in names]
+    return rows.select(by, F.explode(F.array_compact(F.array(*found))).alias("__c")).select(by, "__c.*")
+
+
 def confirmed_transitions(reads: DataFrame, value: str, by: str = "stem", t: str = "t", least: int = 2) -> DataFrame:
-    """Changes between values seen ``least`` times in a row: (by, t_lo, t_hi, old, new, kind).
-
-    ``t_hi`` is the new run's first time, ``t_lo`` the last time before it that
-    the old value was seen: a running last sighting of each value, in which the
-    changes ask for their old value.  A fall is a ``reset``, a rise a ``win``."""
-    runs = marked_runs(reads.where(F.col(value).isNotNull()), F.col(value), by, t).groupBy(by, "run").agg(F.first(value).alias("v"), F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n"))
-    sure = runs.where(F.col("n") >= least).withColumn("p", F.lag("v").over(W.partitionBy(by).orderBy("first"))).where(F.col("p") != F.col("v"))
-    seen = runs.select(by, "v", "first", "last", F.lit(0).alias("asks"), F.lit(None).cast(reads.schema[value].dataType).alias("new"))
-    asks = sure.select(by, F.col("p").alias("v"), "first", F.lit(None).cast("double").alias("last"), F.lit(1).alias("asks"), F.col("v").alias("new"))
-    # at equal times the change comes first: the old value's run began earlier
-    before = W.partitionBy(by, "v").orderBy("first", F.desc("asks")).rowsBetween(W.unboundedPreceding, 0)
-    both = seen.unionByName(asks).withColumn("t_lo", F.max("last").over(before)).where("asks = 1")
-    return both.select(by, "t_lo", F.col("first").alias("t_hi"), F.col("v").alias("old"), "new", F.when(F.col("new") > F.col("v"), "win").otherwise("reset").alias("kind"))
+    """``confirmed_changes`` of one value, without its side."""
+    return confirmed_changes(reads, [value], by, t, least).drop("side")
 
 
 def segments(boundaries: DataFrame, totals: DataFrame, least: float = 0.5, by: str = "stem", t: str = "t") -> DataFrame:

@@ -126,9 +126,7 @@ EVENTS = _TRANSITIONS.format(x="red") + _TRANSITIONS.format(x="blue") + ", event
 
 
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.score_reads(spark, sf_dir)
-    sides = [islands.confirmed_transitions(s, x).withColumn("side", F.lit(x)) for x in ("red", "blue")]
-    return sides[0].unionByName(sides[1])
+    return islands.confirmed_changes(A.score_reads(spark, sf_dir), ["red", "blue"], order=("rn",))
 
 
 plan("e8_transitions", views="score", sql=EVENTS + " SELECT * FROM events8")(score_events)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from roundline import registry
-from roundline.operators import boosting, name_index, similarity, verify
+from roundline.operators import boosting, islands, name_index, similarity, verify
 
 
 def plan_of(df):
@@ -130,3 +130,26 @@ def test_models_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
     for a, b in zip(one.leaf, dealt.leaf, strict=True):
         assert a == pytest.approx(b, abs=1e-12)
     assert len({tuple(f) for f in np.concatenate(one.leaf).T.round(9).tolist()}) > 1
+
+
+def test_changes_of_both_sides_share_one_sort(spark, data):
+    """Readings are sorted once for their number and once for all changes."""
+    plan = plan_of(registry.queries()["e8_transitions"](spark, data))
+    assert plan.split("Initial Plan")[-1].count("Sort [") <= 2
+
+
+def test_changes_of_equal_times_and_nulls(spark):
+    """Readings of one time go by ``order``; three in a row, unsure sightings of the old value count."""
+    rows = [("a", 1.0, 2, 5), ("a", 1.0, 1, 5), ("a", 2.0, 3, None), ("a", 3.0, 4, 5), ("a", 4.0, 5, 7), ("a", 5.0, 6, 5), ("a", 6.0, 7, 7), ("a", 6.0, 8, 7), ("a", 6.5, 9, None), ("a", 7.0, 10, 7), ("a", 8.0, 11, 7)]
+    df = spark.createDataFrame(rows, "stem string, t double, rn int, v long")
+    got = islands.confirmed_changes(df, ["v"], least=3, order=("rn",)).collect()
+    assert [tuple(r) for r in got] == [("a", 5.0, 6.0, 5, 7, "win", "v")]
+
+
+def test_rounds_of_the_verifier_are_made_once(spark, data, monkeypatch):
+    from roundline.plans import learning
+
+    made, timelines = [], learning.A.timelines
+    monkeypatch.setattr(learning.A, "timelines", lambda *a: made.append(1) or timelines(*a))
+    _, rows, _ = learning.labelled_aces(spark, data)
+    assert len(made) == 1 and rows.columns[-1] == "label"
