@@ -100,8 +100,9 @@ def ace_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_aces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
     """(features of all aces, of the labelled ones with ``label``, folder): written tables."""
     folder = files.scratch(spark, "verifier")
-    aces = files.written(ace_features(spark, sf_dir), "aces")
-    labels = verify.ace_labels(A.timelines(spark, sf_dir), A.true_aces(spark, sf_dir))
+    rounds = files.written(A.timelines(spark, sf_dir), "rounds")  # features and labels take them four times
+    aces = files.written(verify.ace_features(rounds, A.hud_reads(spark, sf_dir), A.score_wins(spark, sf_dir)), "aces")
+    labels = verify.ace_labels(rounds, A.true_aces(spark, sf_dir))
     return aces, files.written(aces.join(labels, ["stem", "seg"]), "labelled"), folder
 
 
