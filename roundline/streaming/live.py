@@ -5,8 +5,8 @@ the watermark has passed them, and timers then take them in order of time, so th
 in which they came make no difference: results are those of the batch operators over all
 that the watermark has passed.  Readings that come behind the watermark are dropped by Spark.
 
-State per recording is what waits and a few values (a tracker keeps the readings of its
-window).  A recording that is silent for ``idle`` loses its state; a later reading begins
+State per recording is what waits, one packed table a micro-batch, and a few values (a tracker
+keeps the readings of its window).  A recording that is silent for ``idle`` loses its state; a later reading begins
 anew.  Streams have ``stem`` and ``t`` in seconds, and may have their own timestamp ``ts``.
 """
 
@@ -16,8 +16,10 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -37,31 +39,40 @@ _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 class _InOrder(StatefulProcessor):
     """Gives a recording's rows to ``step`` in order of time, once the watermark has passed them."""
 
-    def __init__(self, rows: str, state: str, out: list[str], step: Callable, idle: int):
+    def __init__(self, rows: pa.Schema, state: str, out: list[str], step: Callable, idle: int):
         self._rows, self._state, self._out, self._step, self._idle = rows, state, out, step, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._rows)
+        # rows are packed, as each element of a state is sent to the task by itself
+        self._waiting = handle.getListState("waiting", "packed binary")
         self._held = handle.getValueState("held", self._state)
         self._last = handle.getValueState("last", "at long")
-        self._names = [c.split()[0] for c in self._rows.split(", ")]
-        # pandas makes floats of nullable integers, which a state of integers does not take
-        self._kinds = [{"double": float, "string": str}.get(c.split()[1], int) for c in self._rows.split(", ")]
+        self._names = self._rows.names
 
-    def _plain(self, rows: pd.DataFrame) -> list[tuple]:
-        columns = [[None if pd.isna(v) else kind(v) for v in rows[n]] for n, kind in zip(self._names, self._kinds, strict=True)]
-        return list(zip(*columns, strict=True))
+    def _packed(self, rows: pa.Table) -> tuple[bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self._rows) as out:
+            out.write_table(rows)
+        return (sink.getvalue().to_pybytes(),)
+
+    def _unpacked(self) -> pd.DataFrame:
+        parts = [pa.ipc.open_stream(packed).read_all() for (packed,) in self._waiting.get()]
+        return pa.concat_tables(parts).to_pandas() if parts else pd.DataFrame(columns=self._names)
+
+    def _table(self, rows: pd.DataFrame) -> pa.Table:
+        # pandas makes floats of nullable integers
+        return pa.Table.from_pandas(rows[self._names], schema=self._rows, preserve_index=False)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        self._waiting.appendList(self._plain(new))
+        self._waiting.appendValue(self._packed(self._table(new)))
         self._handle.registerTimer(int(new["at_ms"].min()) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self._waiting.get()), columns=self._names)
+        rows = self._unpacked()
         ready = rows["at_ms"] < now
         due = rows[ready].sort_values(["t", *(n for n in self._names if n not in ("t", "at_ms"))], kind="stable") if ready.any() else rows[:0]
         if len(due):
@@ -78,7 +89,7 @@ class _InOrder(StatefulProcessor):
             self._last.update((int(due["at_ms"].iloc[-1]),))
             rest = rows[~ready]
             if len(rest):
-                self._waiting.put(self._plain(rest))
+                self._waiting.put([self._packed(self._table(rest))])
                 self._handle.registerTimer(int(rest["at_ms"].min()) + 1)
             else:
                 self._waiting.clear()
@@ -99,7 +110,7 @@ def _stateful(stream: DataFrame, schema: str, state: str, step: Callable, column
     ts = F.col("ts") if "ts" in stream.columns else F.timestamp_micros(((F.col("t") + 86_400) * 1_000_000).cast("long"))
     timed = stream.withColumn("ts", ts).where(F.col("ts").isNotNull() & F.col("t").isNotNull())
     rows = timed.withWatermark("ts", late).select(by, "ts", F.unix_millis("ts").alias("at_ms"), *columns)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("at_ms", *columns).schema)
+    kinds = to_arrow_schema(rows.select("at_ms", *columns).schema)
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     gap = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {idle})").first()[0]

@@ -4,9 +4,12 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from roundline import registry
+from roundline.streaming import live
 from roundline.operators import boosting, islands, name_index, similarity, verify
 
 
@@ -153,3 +156,16 @@ def test_rounds_of_the_verifier_are_made_once(spark, data, monkeypatch):
     monkeypatch.setattr(learning.A, "timelines", lambda *a: made.append(1) or timelines(*a))
     _, rows, _ = learning.labelled_aces(spark, data)
     assert len(made) == 1 and rows.columns[-1] == "label"
+
+
+def test_waiting_readings_are_packed(spark):
+    """A micro-batch's readings of a recording are one element of its state, with their nulls."""
+    schema = pa.schema([("at_ms", pa.int64()), ("t", pa.float64()), ("red", pa.int64()), ("s", pa.string())])
+    own, kept = live._InOrder(schema, "n long", [], None, 1), []
+    own._names, own._waiting = schema.names, type("State", (), {"get": lambda self: iter(kept)})()
+    rows = pd.DataFrame({"at_ms": [1, 2], "t": [0.5, None], "red": [None, 7.0], "s": ["x", None]})
+    assert list(own._unpacked().columns) == schema.names and not len(own._unpacked())
+    kept += [own._packed(own._table(rows)), own._packed(own._table(rows[1:]))]
+    got = own._unpacked()
+    assert [len(kept), len(got), got["at_ms"].tolist()] == [2, 3, [1, 2, 2]]
+    assert got["red"].isna().tolist() == [True, False, False] and got["red"][2] == 7 and got["s"][0] == "x" and got["s"].isna()[2]
