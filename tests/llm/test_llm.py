@@ -686,6 +686,37 @@ def test_near_copies_turns(spark, monkeypatch, few, small, chunk):
     assert got == alike(rows)
 
 
+@pytest.mark.parametrize("members", [6, 30])
+def test_near_copies_hand_on_no_more_rows_than_heads(spark, members):
+    """Classes that meet under many heads: rows in proportion to the heads, each pair once."""
+    from roundline.llm import shingle_join
+
+    rows = [(t, 1000 * (t // 5) + c, 100, t % 5) for t in range(200) for c in range(members)]
+    rows += [(10_000 + t, c, 100, 5 + t) for t in range(2) for c in (70_000, 70_001)]  # fewer than SHARED heads in common
+    rows += [(20_000 + t, c, n, 0) for t in range(5) for c, n in ((80_000, 100), (80_001, 200))]  # of no like sizes
+    heads = spark.createDataFrame(rows, "token long, cls long, n int, pos int")
+    met = shingle_join._met(heads)
+    assert met.count() <= len(rows)
+    got = sorted(tuple(r) for r in shingle_join._close_pairs(met).collect())
+    assert got == [(1000 * g + a, 1000 * g + b) for g in range(40) for a in range(members) for b in range(a + 1, members)]
+
+
+@pytest.mark.parametrize("small", [2, 3, 32])
+def test_near_copies_at_the_least_similarity(spark, monkeypatch, small):
+    """Sets of 4 to 14 shingles, many of just 0.8; a pair's heads lie in small and in large groups."""
+    from roundline.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "SMALL", small)
+    rng, rows = random.Random(11), []
+    for base in range(40):
+        words = [f"b{base}w{i}" for i in range(rng.randrange(8, 19))]
+        cuts = [words, words[1:], words[:-1], words[2:], words[:-2], [*words, "z"], ["z", *words[1:]]]
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(cuts)]
+    assert sum(9 * len(a & b) == 4 * (len(a) + len(b)) for i in range(0, len(rows), 7) for a in [grams(rows[i][1])] for j in range(i + 1, i + 7) for b in [grams(rows[j][1])]) > 5
+    got = {r.doc_id: r.component_id for r in shingle_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == alike(rows)
+
+
 def test_one_of_each_keeps_one_row(spark):
     """Repeated ids, rows without id and rows that share all columns: one row of each group stays."""
     from roundline.llm import shingle_join
