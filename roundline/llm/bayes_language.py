@@ -45,26 +45,28 @@ def _letters() -> np.ndarray:
 
 
 def _segments(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Blocks of (text index, piece of it); pieces of a long text overlap by the longest n-gram less one."""
+    """Blocks of (text index, piece of it between spaces); of a long text a piece goes on by the
+    longest n-gram less one into the next, and its n-grams are those that begin in its first
+    ``_BLOCK_CHARS``, so each n-gram is in one piece."""
     owners, parts, size = [], [], 0
     for i, t in enumerate(texts):
-        t = (t or "").lower()
-        for at in range(0, max(1, len(t)), _BLOCK_CHARS):
-            part = t[max(0, at - max(ORDERS) + 1) if at else 0 : at + _BLOCK_CHARS]
+        t = f" {(t or '').lower()} "
+        for at in range(0, len(t) - min(ORDERS) + 1, _BLOCK_CHARS):
+            part = t[at : at + _BLOCK_CHARS + max(ORDERS) - 1]
             if parts and size + len(part) > _BLOCK_CHARS:
                 yield owners, parts
                 owners, parts, size = [], [], 0
             owners.append(i)
             parts.append(part)
-            size += len(part) + 2
+            size += len(part)
     if parts:
         yield owners, parts
 
 
 def cells(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cells, first cell of each part, whether the part has a letter), for all orders one after the other."""
-    chars = np.frombuffer("".join(f" {p} " for p in parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
-    size = np.fromiter((len(p) + 2 for p in parts), dtype=np.int64, count=len(parts))
+    chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+    size = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts))
     end = np.cumsum(size)
     letter = _letters()[chars]
     chars[~letter] = 32
@@ -82,6 +84,16 @@ def _hashed(chars: np.ndarray, order: int) -> np.ndarray:
     return (h >> np.uint32(17)).astype(np.int32)  # 15 bits
 
 
+def _inside(at: np.ndarray, n: int, order: int) -> np.ndarray:
+    """Which of ``n`` n-grams lie in one part and are its own; parts begin at ``at``."""
+    inside = np.ones(n + 1, dtype=bool)
+    for k in range(1, order):  # n-grams that span two parts
+        inside[np.minimum(at[1:] - k, n)] = False
+    for k in range(max(ORDERS) - order):  # those that the next piece has
+        inside[at[:-1][np.diff(at) >= _BLOCK_CHARS + order + k] + _BLOCK_CHARS + k] = False
+    return inside[:n]
+
+
 @dataclass
 class LanguageModel:
     """``matrix``: log-probability of each cell (rows) in each language; the last row holds the priors."""
@@ -103,7 +115,7 @@ class LanguageModel:
             chars, at, found = cells(parts)
             for order in ORDERS:
                 self._add(total, np.array(owners), at, _hashed(chars, order), order)
-                np.add.at(grams, owners, np.diff(at) - order + 1)
+                np.add.at(grams, owners, np.minimum(np.diff(at) - order + 1, _BLOCK_CHARS))
             np.logical_or.at(has, owners, found)
         typical = (total - self.matrix[-1]) / np.maximum(1, grams)[:, None] - self.expected()
         p = np.exp(total - total.max(axis=1, keepdims=True) if total.size else total)
@@ -114,7 +126,7 @@ class LanguageModel:
         """Adds the rows of the n-grams ``h`` of parts that begin at ``at`` to their owners'; as
         many rows at once as ``_BLOCK_CELLS`` allows for the number of languages."""
         part = np.repeat(np.arange(len(owners)), np.diff(at))[: len(h)]
-        inside = np.arange(len(h)) + order <= at[1:][part]  # not those that span two parts
+        inside = _inside(at, len(h), order)
         part, h = part[inside], h[inside]
         step = max(1, _BLOCK_CELLS // max(1, len(self.languages)))
         for lo in range(0, len(h), step):
@@ -140,10 +152,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
                     chars, at, _ = cells(parts)
                     for order in ORDERS:
                         h = _hashed(chars, order)
-                        inside = np.ones(len(h) + 1, dtype=bool)
-                        for k in range(1, order):  # n-grams that span two parts
-                            inside[np.minimum(at[1:] - k, len(h))] = False
-                        sums[lang][:-1] += np.bincount(h[inside[: len(h)]], minlength=BUCKETS)
+                        sums[lang][:-1] += np.bincount(h[_inside(at, len(h), order)], minlength=BUCKETS)
         for lang, s in sums.items():
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(s[at])], names=["lang", "cell", "n"])

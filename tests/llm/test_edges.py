@@ -48,6 +48,23 @@ def test_language_blocks_shrink_with_the_languages(monkeypatch):
     assert np.allclose(whole[0], small[0], atol=1e-9) and (whole[1] == small[1]).all()
 
 
+def test_language_pieces_count_each_ngram_once(spark, monkeypatch):
+    """Texts longer than a piece: counts and scores are those of the whole text."""
+    block = bayes_language._BLOCK_CHARS
+    texts = [("abcdefg hij"[:k] * block)[: block + n] for n, k in zip((-3, -2, -1, 0, 1, block), (11, 10, 9, 7, 5, 3), strict=True)]
+    langs = [f"l{i}" for i in range(len(texts))]
+    model = bayes_language.train(spark.createDataFrame(list(zip(texts, langs, strict=True)), "text string, lang string"))
+    assert model.languages == langs
+    for i, text in enumerate(texts):
+        chars = np.frombuffer(f" {text} ".encode("utf-32-le"), dtype="<u4")
+        n = sum(np.bincount(bayes_language._hashed(chars, order), minlength=bayes_language.BUCKETS) for order in bayes_language.ORDERS) + 0.5
+        assert np.abs(model.matrix[:-1, i] - np.log(n / n.sum()).astype(np.float32)).max() == 0
+    few = ["abc defg hij" * 9, "a", "", "hijhij" * 40, "x" * 49, "x" * 48, "x" * 47, None]
+    whole = model.posteriors(few)
+    monkeypatch.setattr(bayes_language, "_BLOCK_CHARS", 50)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(whole, model.posteriors(few), strict=True))
+
+
 def test_chunk_table_over_many_tasks(spark, monkeypatch):
     """Words that several tasks have are in the table, once each; results are the library's."""
     import numpy as np
